@@ -23,6 +23,19 @@ VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of a record's block before it continues in a further record, and of a chunk of the transfer framing.
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 4 << 10
+#: Payload bytes of an archive, where there is enough for one archive a core.
+ARCHIVE_BYTES = 256 << 20
+
+
+#: Bytes of records that a Python worker gathers before it hands them on.
+HELD_BYTES = 4 << 20
+
+
+def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The rows of a batch, a few at a time as Python values."""
+    for i in range(0, batch.num_rows, 64):
+        part = batch.slice(i, 64)
+        yield from zip(*(part.column(k).to_pylist() for k in names))
 
 
 def sha1_base32(data: bytes) -> str:
@@ -83,13 +96,13 @@ def records(key: str, page: int | None, url: str | None, payload: bytes, digest:
         yield _header([("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", own), *kind, ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", total), ("Content-Length", len(part))]) + part
 
 
-def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Gzipped WARC files below path, a record per row, longer blocks in segments.
 
     Of rows with equal payloads of at least least_bytes, that with the smallest id is the response and the others are
     revisits of it; smaller ones are all responses. A null payload is empty. Rows that repeat the smallest id are
     responses too, so none is lost; a row with a null id revisits the smallest id of its payload, or is a response if
-    there is none. An empty table gives no record. The join on the digest is split by Spark where one payload is hot.
+    there is none. An empty table gives no record. Archives are not many small files: their number follows archive_bytes. The join on the digest is split by Spark where one payload is hot.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
@@ -101,20 +114,48 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
         n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             out, held = [], 0
-            for page, target, data, first in zip(*(batch.column(k).to_pylist() for k in ("id", "url", "body", "refers"))):
+            for page, target, data, first in rows_of(batch, "id", "url", "body", "refers"):
                 n += 1
                 out += records(f"{part}-{n}-{page}", page, target, data, sha1_base32(data), first, segment_bytes, chunk_bytes)
                 held += len(data)
-                if held > 8 << 20:
+                if held > HELD_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    archives = planned.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
+    size = pages.agg(F.sum(F.octet_length(F.col(payload)))).first()[0] or 0
+    files = max(pages.sparkSession.sparkContext.defaultParallelism, size // archive_bytes)
+    archives = planned.coalesce(files).mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
     archives.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-PARSED = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_length long, origin string, segment int, total long, block binary"
+PARSED = "page_id long, url string, record_type string, refers_to long, payload_digest string, origin string, segment int, total long, block binary"
+PAGES = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
+ARROW = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, (_, t) in zip(columns, fields)], names=[k for k, _ in fields])
+
+
+def page_of(head: dict, block: bytes) -> tuple:
+    """A row of PAGES from a whole record: framing decoded, digest verified against the header."""
+    digest, length, data = head.get("warc-payload-digest"), head.get("warc-payload-length"), None
+    digest = digest and digest.removeprefix("sha1:")
+    if head["warc-type"] == "response":
+        http, _, body = block.partition(b"\r\n\r\n")
+        data = unchunked(body) if b"transfer-encoding: chunked" in http.lower() else body
+        length, own = len(data), sha1_base32(data)
+        if digest not in (None, own):
+            raise ValueError("a payload doesn't have the digest of its record")
+        digest = own
+    return (_number(head, "warc-page-id"), head.get("warc-target-uri"), head["warc-type"], _number(head, "warc-refers-to-page-id"), data, None if length is None else int(length), digest)
+
+
+def _number(head: dict, key: str) -> int | None:
+    return int(head[key]) if key in head else None
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -147,94 +188,71 @@ def _raw(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def parse(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
-    """The records below path that are whole, or those that are segments of a longer one."""
+    """The records below path that are segments of a longer one, as PARSED, or the pages of the whole ones, as PAGES."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            for x in batch.column(0):
-                yield x.as_py()
+            for (x,) in rows_of(batch, "value"):
+                yield x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
+    def segment(head: dict, block: bytes) -> tuple:
+        origin = head.get("warc-segment-origin-id", head["warc-record-id"])
+        return (_number(head, "warc-page-id"), head.get("warc-target-uri"), head["warc-type"], _number(head, "warc-refers-to-page-id"), head.get("warc-payload-digest"), origin, _number(head, "warc-segment-number"), _number(head, "warc-segment-total-length"), block)
 
-        def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
-            columns = list(zip(*rows)) or [()] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f"c{i}" for i in range(len(kinds))])
+    schema, row = (PARSED, segment) if segmented else (PAGES, page_of)
 
-        whole = lambda head, key: int(head[key]) if key in head else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for head, block in _raw(pieces(batches)):
-            if head.get("warc-type") not in ("response", "revisit", "continuation") or ("warc-segment-number" in head) != segmented:
-                continue
-            origin = head.get("warc-segment-origin-id", head["warc-record-id"])
-            rows.append((whole(head, "warc-page-id"), head.get("warc-target-uri"), head["warc-type"], whole(head, "warc-refers-to-page-id"), head.get("warc-payload-digest"), whole(head, "warc-payload-length"), origin, whole(head, "warc-segment-number"), whole(head, "warc-segment-total-length"), block))
-            held += len(block)
-            if held > 8 << 20:
-                yield batch()
+            if head.get("warc-type") in ("response", "revisit", "continuation") and ("warc-segment-number" in head) == segmented:
+                rows.append(row(head, block))
+                held += len(block)
+            if held > HELD_BYTES:
+                yield _batch(rows, schema)
                 rows, held = [], 0
-        yield batch()
+        yield _batch(rows, schema)
 
     lines = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(run, PARSED)
+    return lines.mapInArrow(run, schema)
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
-    """One record for each origin: blocks in the order of their segment numbers, with the total length verified.
+    """The pages of segmented records: blocks in the order of their segment numbers, with the total length verified.
 
     A gap in the numbers, a repeated number, a missing first or last record or a wrong length raises. A record in
     segments is gathered in one task, as its payload is one value in the end.
     """
-    first = F.filter("parts", lambda p: p["segment"] == 1)[0]
-    grouped = segments.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block", "page_id", "url", "record_type", "payload_digest", "total"))).alias("parts"))
+    names = ("segment", "block", "page_id", "url", "record_type", "refers_to", "payload_digest", "total")
+    grouped = segments.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("parts"))
     numbers = F.transform("parts", lambda p: p["segment"])
-    grouped = grouped.withColumn("good", (numbers == F.sequence(F.lit(1), F.size("parts"))) & F.element_at("parts", -1)["total"].isNotNull())
+    first, last = F.element_at("parts", 1), F.element_at("parts", -1)
+    flat = grouped.select(*(first[k].alias(k) for k in names[2:7]), last["total"].alias("total"), F.transform("parts", lambda p: p["block"]).alias("blocks"), (numbers == F.sequence(F.lit(1), F.size("parts"))).alias("good"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = []
-            for good, parts, total in zip(*(batch.column(k).to_pylist() for k in ("good", "blocks", "total"))):
-                block = b"".join(parts)
-                if not good or len(block) != total:
+            rows, held = [], 0
+            for page, url, kind, refers, digest, total, blocks, good in rows_of(batch, *names[2:8], "blocks", "good"):
+                block = b"".join(blocks)
+                if not good or kind == "continuation" or len(block) != total:
                     raise ValueError("a segmented record is incomplete or has a wrong length")
-                blocks.append(block)
-            keep = [batch.column(k) for k in ("page_id", "url", "record_type", "payload_digest", "origin")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(blocks, pa.binary())], names=["page_id", "url", "record_type", "payload_digest", "origin", "block"])
+                head = {"warc-page-id": page, "warc-target-uri": url, "warc-type": kind, "warc-refers-to-page-id": refers, "warc-payload-digest": digest}
+                rows.append(page_of({k: v for k, v in head.items() if v is not None}, block))
+                held += len(block)
+                if held > HELD_BYTES:
+                    yield _batch(rows, PAGES)
+                    rows, held = [], 0
+            yield _batch(rows, PAGES)
 
-    flat = grouped.select(first["page_id"].alias("page_id"), first["url"].alias("url"), first["record_type"].alias("record_type"), first["payload_digest"].alias("payload_digest"), "origin", F.coalesce("good", F.lit(False)).alias("good"), F.element_at("parts", -1)["total"].alias("total"), F.transform("parts", lambda p: p["block"]).alias("blocks"))
-    return flat.mapInArrow(join, "page_id long, url string, record_type string, payload_digest string, origin string, block binary")
+    return flat.mapInArrow(join, PAGES)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The pages of the archives below path: page_id, url, record_type, refers_to, payload (null for a revisit), payload_bytes, payload_digest.
+    """The pages of the archives below path, as PAGES; a revisit's payload is null.
 
     Only segments are shuffled, to meet at their origin; whole records are decoded where they are read. Each
     payload's digest is verified against its header.
     """
-    columns = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_length", "block"]
-    joined = reassemble(parse(spark, path, True)).withColumns({"refers_to": F.lit(None).cast("long"), "payload_length": F.lit(None).cast("long")})
-    every = parse(spark, path, False).select(columns).unionByName(joined.select(columns))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads, sizes, digests = [], [], []
-            for kind, block, digest, length in zip(*(batch.column(k).to_pylist() for k in ("record_type", "block", "payload_digest", "payload_length"))):
-                digest = digest and digest.removeprefix("sha1:")
-                data = None
-                if kind == "response":
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    data = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                    length, own = len(data), sha1_base32(data)
-                    if digest not in (None, own):
-                        raise ValueError("a payload doesn't have the digest of its record")
-                    digest = own
-                payloads.append(data)
-                sizes.append(length)
-                digests.append(digest)
-            keep = [batch.column(k) for k in columns[:4]]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=[*columns[:4], "payload", "payload_bytes", "payload_digest"])
-
-    return every.mapInArrow(decode, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return parse(spark, path, False).unionByName(reassemble(parse(spark, path, True)))
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
