@@ -78,11 +78,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def steps(offs: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of at most so many bytes, or of one longer document."""
+def steps(offs: np.ndarray, most: int = STEP_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of at most so many bytes and rows, or of one longer document."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
+        j = max(i + 1, min(int(np.searchsorted(offs, offs[i] + most, "right")) - 1, i + rows))
         yield i, min(j, n)
         i = j
 

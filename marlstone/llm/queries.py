@@ -61,4 +61,48 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.chat import collapse
+
+    return collapse(read(spark, sf_dir, "conversations")).select("conv_id", "n_turns", "kept", "covered_by", F.sha2(F.coalesce("rendered", F.lit("")), 256).alias("rendered_sha256"))
+
+
+SQL["op5_chat"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns,
+  string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS body FROM t GROUP BY 1),
+n AS (SELECT *, len(turns) AS n FROM c),
+p AS (SELECT conv_id, n, turns, unnest(range(1, n)) AS k FROM n),
+q AS (SELECT turns[1:k] AS turns, conv_id AS longer, n AS size FROM p),
+b AS (SELECT turns, first(longer ORDER BY size DESC, longer) AS covers FROM q GROUP BY 1),
+m AS (SELECT n.*, b.covers, min(conv_id) OVER (PARTITION BY n.turns) AS rep FROM n LEFT JOIN b ON n.turns = b.turns)
+SELECT conv_id, n::BIGINT AS n_turns, covers IS NULL AND rep = conv_id AS kept,
+  CASE WHEN covers IS NOT NULL THEN covers WHEN rep <> conv_id THEN rep END AS covered_by,
+  sha256(CASE WHEN covers IS NULL AND rep = conv_id THEN body ELSE '' END) AS rendered_sha256 FROM m
+"""
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "votes", "p_weak", "score", "accepted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null ids are held out."""
+    from marlstone.llm.language import fit, fold, identify
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)))
+    model = fit(docs.where("not held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
