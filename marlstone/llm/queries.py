@@ -105,4 +105,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.jaccard import jaccard_join
+
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
