@@ -150,11 +150,18 @@ class Leaders:
 
     Two classes of similarity 0.8 are at most 0.2 apart; one lies within 0.4 of a leader, so the other lies within
     0.6 of it, and both are tied to it. Beyond LEADERS leaders a class that resembles none is tied to the first one.
+    Ties that join nothing new are left out: there are fewer of them than classes and leaders.
     """
 
     def __init__(self) -> None:
+        self.group: list[int] = []
         self.keys, self.rows = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
 
+    def root(self, x: int) -> int:
+        while self.group[x] != x:
+            x = self.group[x]
+        return x
+
     def add(self, keys: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
         for i in range(0, len(keys), 1024):
             k, r = keys[i : i + 1024], rows[i : i + 1024]
@@ -165,14 +172,35 @@ class Leaders:
                     break
                 self.keys, self.rows = np.append(self.keys, k[alone[0]]), np.concatenate([self.rows, r[alone[:1]]])
                 near = np.concatenate([near, estimated(r, r[alone[:1]])], 1)
+            self.group += range(len(self.group), len(self.keys))
             a, b = np.nonzero(near >= NEAR)
-            yield np.stack([k[a], self.keys[b]], 1)
+            first = b[np.searchsorted(a, a)]
+            yield np.stack([k[a[b == first]], self.keys[b[b == first]]], 1)
+            for x, y in np.unique(np.stack([first, b], 1), axis=0).tolist():
+                x, y = self.root(x), self.root(y)
+                if x != y:
+                    self.group[max(x, y)] = min(x, y)
+                    yield self.keys[[[x, y]]]
             alone = near.max(1, initial=-1) < LEAD
             yield np.stack([k[alone], np.full(int(alone.sum()), self.keys[0])], 1)
 
 
+def leaders_of(buckets: int, m: int, which: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of m places of each bucket the first place that the bucket's pairs (i, j) connect it with."""
+    tied = np.zeros((buckets, m, m), bool)
+    tied[:, np.arange(m), np.arange(m)] = True
+    tied[which, i, j] = tied[which, j, i] = True
+    lead = np.tile(np.arange(m), (buckets, 1))
+    while True:
+        new = np.where(tied, lead[:, None, :], m).min(2)
+        if (new == lead).all():
+            return lead
+        lead = new
+
+
 def candidates(bands: DataFrame) -> DataFrame:
-    """Pairs (a, b) of k64 from rows sorted by band: likely pairs of small buckets, ties to leaders of large ones."""
+    """Pairs (a, b) of k64 from rows sorted by band, which connect what likely pairs connect: each class of a small
+    bucket is tied to the first one that its likely pairs lead to, each class of a large bucket to leaders."""
 
     def emit(pairs: np.ndarray) -> pa.RecordBatch:
         a, b = pairs.min(1), pairs.max(1)
@@ -199,7 +227,9 @@ def candidates(bands: DataFrame) -> DataFrame:
                     some = at[part : part + max(1, 200_000 // len(i)), None]
                     a, b = (some + i).ravel(), (some + j).ravel()
                     left = likely(row[a], row[b])
-                    yield np.stack([key[a[left]], key[b[left]]], 1)
+                    lead = leaders_of(len(some), m, left // len(i), i[left % len(i)], j[left % len(i)])
+                    which, place = np.nonzero(lead != np.arange(m))
+                    yield np.stack([key[some[which, 0] + place], key[some[which, 0] + lead[which, place]]], 1)
 
         for batch in batches:
             band, key = batch.column("band").to_numpy(), batch.column("k64").to_numpy()
