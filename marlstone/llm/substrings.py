@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import BYTE_VALUES, DOWN, UP, mix, settle, span_hashes, steps, text_buffers
@@ -78,17 +78,23 @@ def stretches(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tupl
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """id, key, anchor, own, begin, n: a row per stretch of the documents (id, key, text)."""
+    """id, key, anchor, own, begins, n: a row per document and different stretch, with all places where it begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffers(batch.column("text"))
             for i, j in steps(offs, 4 << 20):
                 doc, begin, n, anchor, own = stretches(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
-                rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(anchor), pa.array(own), pa.array(begin), pa.array(n)], names=["id", "key", "anchor", "own", "begin", "n"])
+                order = np.lexsort((begin, own, anchor, doc))
+                doc, begin, n, anchor, own = (x[order] for x in (doc, begin, n, anchor, own))
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | (n[1:] != n[:-1])
+                first = np.flatnonzero(new)
+                rows = pa.array(doc[first] + i)
+                begins = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(begin.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(anchor[first]), pa.array(own[first]), begins, pa.array(n[first].astype(np.int32))], names=["id", "key", "anchor", "own", "begins", "n"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, anchor long, own long, begin long, n long")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, anchor long, own long, begins array<int>, n int")
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -132,7 +138,7 @@ def _runs(flags: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """id, key, begin, n of the repeated windows among stretches (anchor, id, key, begin, copies, bytes), sorted by anchor and position."""
+    """id, key, begin, n of the repeated windows among different stretches (anchor, id, key, begin, copies, bytes), sorted by anchor and position."""
     kind = dict(rows.dtypes)["id"]
 
     def find(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -142,10 +148,11 @@ def matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         row = np.repeat(np.arange(len(n)), n)
         inside = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         earlier, later = previous_factors(suffix_ranks(data, offs[row] + inside, length))
-        flags = earlier if keep_first else earlier | later | (t.column("copies").to_numpy() > 1)[row]
+        # Without keep_first, all windows of a stretch of several copies are known to be repeated.
+        flags = earlier if keep_first else (earlier | later) & (t.column("copies").to_numpy() == 1)[row]
         at, size = _runs(flags, row)
         own = pa.array(row[at])
-        return pa.RecordBatch.from_arrays([t.column("id").take(own), t.column("key").take(own), pa.array(t.column("begin").to_numpy()[row[at]] + inside[at]), pa.array(size)], names=["id", "key", "begin", "n"])
+        return pa.RecordBatch.from_arrays([t.column("id").take(own), t.column("key").take(own), pa.array((t.column("begin").to_numpy()[row[at]] + inside[at]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["id", "key", "begin", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,7 +178,7 @@ def matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         if held:
             yield find(held)
 
-    return rows.mapInArrow(run, f"id {kind}, key long, begin long, n long")
+    return rows.mapInArrow(run, f"id {kind}, key long, begin int, n int")
 
 
 def _extracted(found: DataFrame, length: int, crowded: bool) -> DataFrame:
@@ -198,14 +205,14 @@ def _extracted(found: DataFrame, length: int, crowded: bool) -> DataFrame:
                     a = at[w] + o - offs[s]
                     one, two = span_hashes(values, a, a + length), span_hashes(mix(values), a, a + length)
                     own = pa.array(doc[w])
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("id").take(own), batch.column("key").take(own), pa.array(begin[part][w] + o), pa.array(copies[part][w])], names=["one", "two", "id", "key", "begin", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("id").take(own), batch.column("key").take(own), pa.array((begin[part][w] + o).astype(np.int32)), pa.array(copies[part][w])], names=["one", "two", "id", "key", "begin", "copies"])
                 else:
                     data = [buf[x : x + y].tobytes() for x, y in zip(at.tolist(), (n[part] + length - 1).tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), batch.column("id").take(rows), batch.column("key").take(rows), pa.array(begin[part]), pa.array(copies[part]), pa.array(data, pa.binary())], names=["anchor", "id", "key", "begin", "copies", "bytes"])
 
     if crowded:
-        return found.mapInArrow(run, f"one long, two long, id {kind}, key long, begin long, copies long")
-    return found.mapInArrow(run, f"anchor long, id {kind}, key long, begin long, copies long, bytes binary")
+        return found.mapInArrow(run, f"one long, two long, id {kind}, key long, begin int, copies long")
+    return found.mapInArrow(run, f"anchor long, id {kind}, key long, begin int, copies long, bytes binary")
 
 
 def _joined(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -225,33 +232,43 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     """
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     all_ = anchored(docs.where(F.octet_length("text") >= length), length, gram)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "begin")
-    # With keep_first the first place of an anchor tells the stretch that stays.
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("begins")[0].alias("begin"))
     more = [F.min(order).alias("first")] if keep_first else []
-    flagged = settle(all_.groupBy("anchor").agg(F.count("*").alias("size"), F.min("own").alias("a"), F.max("own").alias("b"), *more).where("size > 1").withColumn("equal", F.col("a") == F.col("b")).drop("a", "b"))
-    shared = all_.drop("own").join(flagged, "anchor")
-    if keep_first:
-        shared = shared.where(~F.col("equal") | (F.col("first") != order)).drop("first")
-    shared = shared.groupBy("id", "key", "anchor", "begin", "n", "equal", "size").agg(F.count("*").alias("copies"))
-    mark = F.struct("begin", "n", "anchor", "copies")
-    own = lambda c: F.filter(F.collect_list(F.when(c, mark)), lambda x: x.isNotNull())
-    crowded = F.col("size") > crowd
-    marks = settle(shared.groupBy("id", "key").agg(own(F.col("equal")).alias("sure"), own(~F.col("equal") & ~crowded).alias("marks"), own(~F.col("equal") & crowded).alias("crowded")))
-
+    flagged = settle(all_.groupBy("anchor").agg(F.sum(F.size("begins")).alias("size"), F.min("own").alias("a"), F.max("own").alias("b"), *more).where("size > 1").withColumn("equal", F.col("a") == F.col("b")).drop("a", "b", "size"))
+    shared = all_.join(flagged, "anchor")
+    shared = shared.groupBy("id", "key", "anchor", "own", "begins", "n", "equal", *(["first"] if keep_first else [])).agg((F.count("*") * F.size("begins")).alias("copies"))
+    # Where all stretches of an anchor are equal, all (but the first) are repeated.
+    rest = lambda first: F.when(first, F.slice("begins", F.lit(2), F.greatest(F.lit(0), F.size("begins") - 1))).otherwise(F.col("begins"))
+    none = F.lit(None).cast("struct<begin: int, n: int, anchor: bigint, copies: bigint>")
+    equal = shared.where("equal").select("id", "key", (rest(F.col("first") == order) if keep_first else F.col("begins")).alias("sure"), "n", none.alias("mark"), F.lit(False).alias("crowded"))
+    # Elsewhere so are the copies of a stretch; one of each different stretch is compared with the others.
+    alike = Window.partitionBy("anchor", "own")
+    mixed = shared.where("not equal").withColumn("rank", F.row_number().over(alike.orderBy(order))).withColumn("copies", F.sum("copies").over(alike))
+    mixed = mixed.withColumn("different", F.sum((F.col("rank") == 1).cast("long")).over(Window.partitionBy("anchor")))
+    lone = (F.col("rank") == 1) if keep_first else (F.col("copies") == 1)
+    mark = F.when(F.col("rank") == 1, F.struct(F.col("begins")[0].alias("begin"), "n", "anchor", "copies"))
+    sure = rest(lone) if keep_first else F.when(~lone, F.col("begins")).otherwise(F.array().cast("array<int>"))
+    mixed = mixed.select("id", "key", sure.alias("sure"), "n", mark.alias("mark"), (F.col("different") > crowd).alias("crowded"))
+    own = lambda c, x: F.filter(F.collect_list(F.when(c, x)), lambda y: y.isNotNull())
     window = F.struct("begin", "n")
+    placed = F.struct("sure", "n")
+    marks = settle(
+        equal.unionByName(mixed).groupBy("id", "key").agg(own(F.size("sure") > 0, placed).alias("sure"), own(~F.col("crowded"), F.col("mark")).alias("marks"), own(F.col("crowded"), F.col("mark")).alias("crowded"))
+    )
+    sure = F.flatten(F.transform("sure", lambda x: F.transform(x["sure"], lambda y: F.struct(y.alias("begin"), x["n"].alias("n")))))
+
     found = _joined(docs, marks.where(F.size("marks") > 0).select("id", "key", "marks"), "inner")
     sorted_ = _extracted(found, length, False).repartition("anchor").sortWithinPartitions("anchor", F.col("id").asc_nulls_last(), "key", "begin")
     windows = matched(sorted_, length, keep_first)
     if not marks.where(F.size("crowded") > 0).isEmpty():
         found = _joined(docs, marks.where(F.size("crowded") > 0).select("id", "key", F.col("crowded").alias("marks")), "inner")
         each = settle(_extracted(found, length, True))
-        twice = each.groupBy("one", "two").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.min(order).alias("first")).where("rows > 1" if keep_first else "copies > 1")
-        again = each.drop("copies").join(twice, ["one", "two"])
-        again = again.where(F.col("first") != order) if keep_first else again
-        windows = windows.unionByName(again.select("id", "key", "begin", F.lit(1).cast("long").alias("n")))
+        place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "begin")
+        twice = each.groupBy("one", "two").agg(F.count("*").alias("rows"), F.min(place).alias("first")).where("rows > 1")
+        again = each.join(twice, ["one", "two"]).where(F.col("first") != place if keep_first else F.col("copies") == 1)
+        windows = windows.unionByName(again.select("id", "key", "begin", F.lit(1).cast("int").alias("n")))
     later = windows.groupBy("id", "key").agg(F.collect_list(window).alias("later"))
-    sure = marks.where(F.size("sure") > 0).select("id", "key", F.transform("sure", lambda x: F.struct(x["begin"].alias("begin"), x["n"].alias("n"))).alias("later"))
-    both = later.unionByName(sure).groupBy("id", "key").agg(F.flatten(F.collect_list("later")).alias("windows"))
+    both = later.unionByName(marks.where(F.size("sure") > 0).select("id", "key", sure.alias("later"))).groupBy("id", "key").agg(F.flatten(F.collect_list("later")).alias("windows"))
     return _removed(_joined(docs, both, "left").select("id", "text", "windows"), length, kept).withColumnRenamed("id", id)
 
 
