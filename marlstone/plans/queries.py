@@ -1,4 +1,450 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries: each applies an operator to the driver's tables; SQL holds the same in DuckDB's terms."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions import dates, text, vectors
+from marlstone.functions.geo import geo_distance_m
+from marlstone.operators import aggregates as A
+from marlstone.operators import fusion, knn, mutations, scoring, sparse
+from marlstone.operators.filters import Filter, where
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: A fixed "now" for queries with ages.
+NOW = 1_705_276_800_000
+WORDS = "the of and that tion"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def vecs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def query_vector(spark: SparkSession, d: str, key: int = 0) -> list[float]:
+    return read(spark, d, "embeddings").where(F.col("vec_id") == key).select("embedding").first()[0]
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with the metadata of the documents of the same id."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
+    return vecs(spark, d).join(docs, "id")
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with tags, a place, and a size that every seventh lacks."""
+    k = F.col("p_partkey")
+    return read(spark, d, "part").select(
+        k.alias("id"), F.split("p_type", " ").alias("tags"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"),
+        F.when(k % 7 != 0, F.col("p_size").cast("long")).alias("size"), (k % 2 == 0).alias("even"),
+        ((k * 37 % 1800) / 10.0 - 90).alias("lat"), ((k * 91 % 3600) / 10.0 - 180).alias("lon"),
+    )
+
+
+ITEMS = """i AS (SELECT p_partkey AS id, string_split(p_type, ' ') AS tags, p_brand AS brand, p_retailprice AS price,
+  CASE WHEN p_partkey % 7 <> 0 THEN p_size::BIGINT END AS size, p_partkey % 2 = 0 AS even,
+  (p_partkey * 37 % 1800) / 10.0 - 90 AS lat, (p_partkey * 91 % 3600) / 10.0 - 180 AS lon FROM part)"""
+Q = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+_L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+
+
+def _unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT)"
+
+
+def sql_distance(metric: str, a: str = "embedding", b: str = "q") -> str:
+    if metric == "l2":
+        return _L2.format(a=a, b=b)
+    if metric == "ip":
+        return "-" + _DOT.format(a=a, b=b)
+    return "greatest(0, 1 - " + _DOT.format(a=_unit(a), b=_unit(b)) + ")"
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+def _knn(metric: str, spark: SparkSession, d: str) -> DataFrame:
+    return rounded(knn.knn(vecs(spark, d), query_vector(spark, d), 10, metric), "distance")
+
+
+def _batch(metric: str, spark: SparkSession, d: str) -> DataFrame:
+    q = vecs(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return rounded(knn.knn_join(q, vecs(spark, d), 10, metric), "distance", digits=5).select("query_id", "rank", "id", "distance")
+
+
+for m in vectors.METRICS:
+    register(f"knn_{m}", f"""WITH {Q}, s AS (SELECT vec_id AS id, {sql_distance(m)} AS d FROM embeddings, q)
+      SELECT (row_number() OVER (ORDER BY d, id))::INT AS rank, id, round(d, 6) + 0.0 AS distance FROM s ORDER BY d, id LIMIT 10""")(partial(_knn, m))
+    register(f"knn_batch_{m}", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {sql_distance(m, 'b.embedding', 'a.embedding')} AS d
+      FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM s)
+      SELECT query_id, rank::INT AS rank, id, round(d, 5) + 0.0 AS distance FROM r WHERE rank <= 10""")(partial(_batch, m))
+
+
+@register("knn_filtered", f"""WITH {Q}, s AS (SELECT vec_id AS id, {sql_distance('cosine')} AS d FROM embeddings JOIN documents ON vec_id = doc_id, q WHERE lang = 'en' AND n_chars >= 200)
+  SELECT (row_number() OVER (ORDER BY d, id))::INT AS rank, id, round(d, 6) + 0.0 AS distance FROM s ORDER BY d, id LIMIT 10""")
+def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
+    flt = Filter.eq("lang", "en") & Filter.ge("n_chars", 200)
+    return rounded(knn.knn(stored(spark, d), query_vector(spark, d), 10, "cosine", flt=flt), "distance")
+
+
+@register("knn_among", f"""WITH {Q}, s AS (SELECT vec_id AS id, {sql_distance('l2')} AS d FROM embeddings, q WHERE vec_id IN (3, 5, 8, 13, 21, 34, 55, 89))
+  SELECT (row_number() OVER (ORDER BY d, id))::INT AS rank, id, round(d, 6) + 0.0 AS distance FROM s ORDER BY d, id LIMIT 5""")
+def knn_among(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(knn.among(vecs(spark, d), [3, 5, 8, 13, 21, 34, 55, 89, 5, -1], query_vector(spark, d), 5), "distance")
+
+
+@register("knn_truncated", f"""WITH {Q}, s AS (SELECT vec_id AS id, {sql_distance('cosine', 'embedding[1:16]', 'q[1:16]')} AS d FROM embeddings, q)
+  SELECT (row_number() OVER (ORDER BY d, id))::INT AS rank, id, round(d, 6) + 0.0 AS distance FROM s ORDER BY d, id LIMIT 10""")
+def knn_truncated(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(knn.knn(vecs(spark, d), query_vector(spark, d), 10, "cosine", dims=16), "distance")
+
+
+@register("knn_by_id", f"""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id AS id, {sql_distance('l2')} AS d FROM embeddings, q WHERE vec_id <> 7)
+  SELECT (row_number() OVER (ORDER BY d, id))::INT AS rank, id, round(d, 6) + 0.0 AS distance FROM s ORDER BY d, id LIMIT 10""")
+def knn_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(knn.knn_by_id(vecs(spark, d), 7, 10), "distance")
+
+
+@register("range_l2", f"WITH {Q}, s AS (SELECT vec_id AS id, {sql_distance('l2')} AS d FROM embeddings, q) SELECT id, round(d, 6) + 0.0 AS distance FROM s WHERE d <= 1.44")
+def range_l2(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(knn.range_search(vecs(spark, d), query_vector(spark, d), vectors.l2_radius(1.2)), "distance")
+
+
+@register("range_cosine", f"WITH {Q}, s AS (SELECT vec_id AS id, {sql_distance('cosine')} AS d FROM embeddings, q) SELECT id, round(d, 6) + 0.0 AS distance FROM s WHERE d <= 0.8 ORDER BY d, id LIMIT 50")
+def range_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(knn.range_search(vecs(spark, d), query_vector(spark, d), 0.8, 50, "cosine"), "distance")
+
+
+@register("lists_all_probes", SQL["knn_l2"])
+def lists_all_probes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(knn.InvertedLists.train(vecs(spark, d), 16).search(query_vector(spark, d), 10, 16), "distance")
+
+
+@register("lists_recall")
+def lists_recall(spark: SparkSession, d: str) -> DataFrame:
+    lists, q = knn.InvertedLists.train(vecs(spark, d), 16), query_vector(spark, d)
+    as_list = lambda x: x.withColumn("query_id", F.lit(0))
+    return knn.recall(as_list(lists.search(q, 10, 8)), as_list(lists.search(q, 10, 16)))
+
+
+@register("normalize", f"SELECT vec_id AS id, round(list_sum(list_transform({_unit('embedding')}, lambda x: x::DOUBLE * x::DOUBLE)), 5) AS length FROM embeddings")
+def normalize(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors.normalize(F.col("vector"))
+    return vecs(spark, d).select("id", F.round(vectors.dot(v, v), 5).alias("length"))
+
+
+@register("relevance", f"""WITH {Q} SELECT vec_id AS id, round(1 / (1 + greatest(0, {sql_distance('l2')})), 6) AS l2, round(1 / (1 + exp({sql_distance('ip')})), 6) AS ip,
+  round(least(1, greatest(0, 1 - {sql_distance('cosine')} / 2)), 6) AS cosine FROM embeddings, q""")
+def relevance(spark: SparkSession, d: str) -> DataFrame:
+    q = vectors.literal(query_vector(spark, d))
+    return vecs(spark, d).select("id", *(F.round(vectors.relevance(vectors.distance(F.col("vector"), q, m), m), 6).alias(m) for m in vectors.METRICS))
+
+
+FILTERS: dict[str, tuple[Filter, str]] = {
+    "eq": (Filter.eq("brand", "Brand#11"), "brand = 'Brand#11'"),
+    "ne": (Filter.ne("size", 3), "size <> 3"),
+    "not_eq": (~Filter.eq("size", 3), "size IS NULL OR size <> 3"),
+    "lt": (Filter.lt("size", 10.5), "size < 10.5"),
+    "le": (Filter.le("size", 10), "size <= 10"),
+    "gt": (Filter.gt("price", 1500), "price > 1500"),
+    "ge": (Filter.ge("price", 1500.5), "price >= 1500.5"),
+    "between": (Filter.between("size", 5, 9.5), "size BETWEEN 5 AND 9.5"),
+    "in": (Filter.in_("size", [1, 2.0, 3.5, 40]), "size IN (1, 2, 40)"),
+    "in_none": (Filter.in_("size", []), "false"),
+    "bool": (Filter.eq("even", True), "even"),
+    "exists": (Filter.exists("size"), "size IS NOT NULL"),
+    "missing": (Filter.missing("size"), "size IS NULL"),
+    "has_tag": (Filter.has_tag("tags", "TIN"), "list_contains(tags, 'TIN')"),
+    "any_tag": (Filter.has_any_tag("tags", ["TIN", "SMALL", "x"]), "list_has_any(tags, ['TIN', 'SMALL', 'x'])"),
+    "all_tags": (Filter.has_all_tags("tags", ["TIN", "SMALL"]), "list_has_all(tags, ['TIN', 'SMALL'])"),
+    "and_or_not": (~((Filter.lt("size", 20) & Filter.eq("even", True)) | Filter.gt("price", 1400)), "NOT (coalesce(size < 20 AND even, false) OR price > 1400)"),
+    "geo_radius": (Filter.geo_radius("lat", "lon", 48.0, 11.0, 2_000_000), "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND 2 * 6371008.8 * asin(sqrt(least(1, greatest(0, pow(sin(radians(48 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48)) * pow(sin(radians(11 - lon) / 2), 2))))) <= 2000000"),
+    "geo_box": (Filter.geo_box("lat", "lon", -30, 170, 30, -160), "lat BETWEEN -30 AND 30 AND (lon >= 170 OR lon <= -160)"),
+}
+
+
+def _filtered(flt: Filter, spark: SparkSession, d: str) -> DataFrame:
+    return where(items(spark, d), flt).select("id")
+
+
+for k, (flt, condition) in FILTERS.items():
+    register(f"filter_{k}", f"WITH {ITEMS} SELECT id FROM i WHERE {condition}")(partial(_filtered, flt))
+
+
+@register("geo_distance", f"WITH {ITEMS} SELECT id, round(2 * 6371008.8 * asin(sqrt(least(1, greatest(0, pow(sin(radians(48 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48)) * pow(sin(radians(11 - lon) / 2), 2))))), 2) AS metres FROM i")
+def geo_distance(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).select("id", F.round(geo_distance_m(F.col("lat"), F.col("lon"), 48.0, 11.0), 2).alias("metres"))
+
+
+@register("count_where", f"WITH {ITEMS} SELECT count(*)::BIGINT AS n FROM i WHERE size > 10")
+def count_where(spark: SparkSession, d: str) -> DataFrame:
+    return where(items(spark, d), Filter.gt("size", 10)).agg(F.count("*").alias("n"))
+
+
+@register("facet_values", f"""WITH {ITEMS}, c AS (SELECT brand AS value, count(*) AS count FROM i GROUP BY 1)
+  SELECT (row_number() OVER (ORDER BY count DESC, value))::INT AS place, value, count::BIGINT AS count FROM c ORDER BY count DESC, value LIMIT 10""")
+def facet_values(spark: SparkSession, d: str) -> DataFrame:
+    return A.facet_values(items(spark, d), A.FacetRequest("brand"))
+
+
+@register("facet_tags", f"""WITH {ITEMS}, c AS (SELECT value, count(*) AS count FROM (SELECT DISTINCT id, unnest(tags) AS value FROM i) GROUP BY 1)
+  SELECT (row_number() OVER (ORDER BY count DESC, value))::INT AS place, value, count::BIGINT AS count FROM c""")
+def facet_tags(spark: SparkSession, d: str) -> DataFrame:
+    return A.facet_values(items(spark, d), A.FacetRequest("tags", 0))
+
+
+@register("facet_summary", f"""WITH {ITEMS}, c AS (SELECT size, count(*) AS n FROM i WHERE price > 1200 AND size IS NOT NULL GROUP BY 1),
+  r AS (SELECT *, row_number() OVER (ORDER BY n DESC, size) AS p FROM c)
+  SELECT (SELECT count(size) FROM i WHERE price > 1200)::BIGINT AS total, (SELECT count(*) - count(size) FROM i WHERE price > 1200)::BIGINT AS missing,
+  (SELECT count(*) FROM c)::BIGINT AS distinct, (SELECT coalesce(sum(n), 0) FROM r WHERE p > 10)::BIGINT AS other""".replace("AS distinct", 'AS "distinct"'))
+def facet_summary(spark: SparkSession, d: str) -> DataFrame:
+    return A.facet_summary(items(spark, d), A.FacetRequest("size"), Filter.gt("price", 1200))
+
+
+@register("facet_ranges", f"""WITH {ITEMS}, b AS (SELECT * FROM (VALUES (0, NULL, 1000.0), (1, 1000.0, 1300.0), (2, 1300.0, 5000.0), (3, 5000.0, NULL)) t(bucket, low, high))
+  SELECT bucket::INT AS bucket, low::DOUBLE AS low, high::DOUBLE AS high, (SELECT count(*) FROM i WHERE (low IS NULL OR price >= low) AND (high IS NULL OR price < high))::BIGINT AS count FROM b""")
+def facet_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return A.facet_ranges(items(spark, d), A.FacetRequest("price", bounds=(1000, 1300, 5000)))
+
+
+@register("facets_for_ids", f"""WITH {ITEMS}, c AS (SELECT brand AS value, count(*) AS count FROM i WHERE id IN (1, 2, 3, 50, 60) GROUP BY 1)
+  SELECT (row_number() OVER (ORDER BY count DESC, value))::INT AS place, value, count::BIGINT AS count FROM c""")
+def facets_for_ids(spark: SparkSession, d: str) -> DataFrame:
+    return A.facet_values(items(spark, d).where(F.col("id").isin(1, 2, 3, 50, 60)), A.FacetRequest("brand"))
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
+
+
+TOKENS = r"""t AS (SELECT doc_id AS id, lang, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM documents WHERE text <> '')"""
+POSTINGS = TOKENS + """, e AS (SELECT id, lang, len(w) AS len, unnest(w) AS term FROM t), p AS (SELECT id, lang, term, len, count(*) AS f FROM e GROUP BY ALL),
+  pw AS (SELECT id, lang, term, f, f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / 100.0)) AS weight FROM p), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+  qw AS (SELECT term, ln(1 + ((SELECT count(*) FROM t) - df + 0.5) / (df + 0.5)) AS w FROM df WHERE term IN ('the', 'of', 'and', 'that', 'tion')),
+  s AS (SELECT id, lang, round(sum(weight * w), 9) AS score FROM pw JOIN qw USING (term) GROUP BY ALL)"""
+
+
+@register("tokenize", f"WITH {TOKENS} SELECT id, len(w)::BIGINT AS n, coalesce(w[1], '') AS first FROM t")
+def tokenize(spark: SparkSession, d: str) -> DataFrame:
+    w = text.tokenize(F.col("text"))
+    return texts(spark, d).where("text <> ''").select("id", F.size(w).cast("long").alias("n"), F.coalesce(F.get(w, 0), F.lit("")).alias("first"))
+
+
+@register("term_id", """SELECT DISTINCT p_brand AS token, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, len(p_brand) + 1), lambda i: ascii(p_brand[i])::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS id FROM part""")
+def term_id(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_brand").alias("token")).distinct().select("token", text.term_id(F.col("token")).alias("id"))
+
+
+@register("bm25_weights", f"WITH {POSTINGS} SELECT id, term, f::BIGINT AS frequency, round(weight, 6) AS weight FROM pw")
+def bm25_weights(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sparse.postings(texts(spark, d)), "weight")
+
+
+@register("bm25_df", f"WITH {POSTINGS} SELECT term, df::BIGINT AS df FROM df")
+def bm25_df(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.document_frequency(sparse.postings(texts(spark, d)))
+
+
+@register("bm25_fit", f"WITH {TOKENS} SELECT round(avg(len(w)), 6) AS average_length FROM t")
+def bm25_fit(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(round(sparse.BM25().fit(texts(spark, d)).average_length, 6),)], "average_length double")
+
+
+RANKED = "SELECT (row_number() OVER (ORDER BY score DESC, id))::INT AS rank, id, round(score, 6) AS score FROM s {} ORDER BY s.score DESC, id LIMIT 10"
+
+
+@register("bm25_search", f"WITH {POSTINGS} " + RANKED.format(""))
+def bm25_search(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sparse.bm25_search(texts(spark, d), WORDS, 10), "score")
+
+
+@register("bm25_filtered", f"WITH {POSTINGS} " + RANKED.format("WHERE lang = 'en'"))
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sparse.bm25_search(texts(spark, d), WORDS, 10, flt={"lang": "en"}), "score")
+
+
+@register("sparse_topk", """WITH p AS (SELECT p_partkey AS id, p_partkey % 10 AS term, 1.0 AS w FROM part UNION ALL SELECT p_partkey, 30, 0.25 + p_size FROM part),
+  s AS (SELECT id, sum(w * CASE term WHEN 3 THEN 2.0 ELSE 0.5 END) AS score FROM p WHERE term IN (3, 30) GROUP BY 1) """ + RANKED.format(""))
+def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(k.alias("id"), F.array(k % 10, F.lit(30).cast("long")).alias("indices"), F.array(F.lit(1.0), 0.25 + F.col("p_size")).alias("values"))
+    weights = spark.createDataFrame([(3, 2.0), (30, 0.5)], "term long, weight double")
+    return rounded(sparse.top(sparse.sparse_scores(sparse.sparse_postings(rows), weights), 10), "score")
+
+
+def _sides() -> str:
+    return f"""WITH {POSTINGS}, {Q}, a AS (SELECT vec_id AS id, {sql_distance('cosine')} AS d FROM embeddings JOIN documents ON vec_id = doc_id, q),
+      v AS (SELECT id, d, row_number() OVER (ORDER BY d, id) AS rank FROM a ORDER BY d, id LIMIT 40), x AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank
+      FROM s WHERE id IN (SELECT vec_id FROM embeddings) ORDER BY score DESC, id LIMIT 40)"""
+
+
+def _hybrid(method: str, spark: SparkSession, d: str) -> DataFrame:
+    df = texts(spark, d).join(vecs(spark, d).drop("label"), "id", "left")
+    n = fusion.depth(10)
+    v = knn.knn(df, query_vector(spark, d), n, "cosine")
+    x = sparse.bm25_search(df, WORDS, n, flt=None)
+    known = vecs(spark, d).select("id")
+    posts = sparse.postings(df)
+    scores = sparse.sparse_scores(posts, sparse.query_weights(posts, df.where("text <> ''").count(), WORDS)).join(known, "id", "left_semi")
+    x = sparse.top(scores, n)
+    lists = [v.select("rank", "id", (-F.col("distance")).alias("similarity")), x.select("rank", "id", F.col("score").alias("similarity"))]
+    fused = fusion.rrf(lists, [1.0, 2.0]) if method == "rrf" else fusion.weighted(lists, [1.0, 2.0])
+    return rounded(sparse.top(fused, 10), "score", digits=5)
+
+
+register("rrf", _sides() + """, s2 AS (SELECT id, sum(w) AS score FROM (SELECT id, 1.0 / (60 + rank) AS w FROM v UNION ALL SELECT id, 2.0 / (60 + rank) FROM x) GROUP BY 1)
+  SELECT (row_number() OVER (ORDER BY score DESC, id))::INT AS rank, id, round(score, 5) AS score FROM s2 ORDER BY s2.score DESC, id LIMIT 10""")(partial(_hybrid, "rrf"))
+register("weighted_fusion", _sides() + """, s2 AS (SELECT id, sum(w) AS score FROM (SELECT id, ((SELECT max(d) FROM v) - d) / ((SELECT max(d) - min(d) FROM v)) AS w FROM v
+  UNION ALL SELECT id, 2.0 * (score - (SELECT min(score) FROM x)) / (SELECT max(score) - min(score) FROM x) FROM x) GROUP BY 1)
+  SELECT (row_number() OVER (ORDER BY score DESC, id))::INT AS rank, id, round(score, 5) AS score FROM s2 ORDER BY s2.score DESC, id LIMIT 10""")(partial(_hybrid, "weighted"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors and texts fused by reciprocal ranks, with a filter."""
+    df = texts(spark, d).join(vecs(spark, d), "id", "left")
+    return fusion.hybrid(df, 10, query_vector(spark, d), WORDS, flt=Filter.eq("lang", "en"))
+
+
+register("hybrid_search")(flagship)
+
+
+def _ages(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).withColumn("made", F.lit(NOW) - F.col("id") * 86_400_000).withColumn("score", 1 / (1 + F.col("price") % 97))
+
+
+AGES = ITEMS + f", g AS (SELECT *, {NOW} - id * 86400000 AS made, 1 / (1 + price % 97) AS base FROM i)"
+CHANGES = {
+    "decay_exp": (scoring.RecencyDecay("made", NOW, 30 * 86_400_000, floor=0.1), "base * greatest(0.1, pow(2, -(greatest(0, %d - made) / 2592000000.0)))" % NOW),
+    "decay_linear": (scoring.RecencyDecay("made", NOW, 30 * 86_400_000, "linear"), "base * greatest(0, 1 - greatest(0, %d - made) / 5184000000.0)" % NOW),
+    "multiply": (scoring.FieldMultiplier("size", 2, 20, 0.5), "base * CASE WHEN size IS NULL THEN 0.5 ELSE least(greatest(size, 2), 20) END"),
+    "boost": (scoring.MatchBoost(Filter.gt("size", 30) & Filter.has_tag("tags", "TIN"), 0.25), "base + CASE WHEN size > 30 AND list_contains(tags, 'TIN') THEN 0.25 ELSE 0 END"),
+}
+
+
+def _changed(modifier, spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scoring.modified(_ages(spark, d), "score", [modifier]).select("id", "score"), "score")
+
+
+for k, (modifier, expression) in CHANGES.items():
+    register(f"modifier_{k}", f"WITH {AGES} SELECT id, round({expression}, 6) + 0.0 AS score FROM g")(partial(_changed, modifier))
+
+
+@register("rescored", f"""WITH {AGES}, p AS (SELECT *, row_number() OVER (ORDER BY base DESC, id) AS r FROM g ORDER BY base DESC, id LIMIT 40),
+  m AS (SELECT id, r, base * CASE WHEN size IS NULL THEN 0.5 ELSE least(greatest(size, 2), 20) END AS s FROM p)
+  SELECT id, round(s, 6) AS score, (row_number() OVER (ORDER BY s DESC, r))::INT AS rank FROM m ORDER BY s DESC, r LIMIT 10""")
+def rescored(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scoring.rescored(_ages(spark, d), "score", [CHANGES["multiply"][0]], 10).select("id", "score", "rank"), "score")
+
+
+@register("mmr")
+def mmr(spark: SparkSession, d: str) -> DataFrame:
+    near = knn.knn(vecs(spark, d), query_vector(spark, d), 40, "cosine", columns=["vector"])
+    return scoring.diverse(near.withColumn("score", vectors.relevance(F.col("distance"), "cosine")), 10, 0.3).select("rank", "id")
+
+
+@register("group_by_best", f"""WITH {Q}, s AS (SELECT vec_id AS id, label, {sql_distance('l2')} AS d FROM embeddings, q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, id) AS place FROM s), f AS (SELECT label, row_number() OVER (ORDER BY d, id) AS g FROM r WHERE place = 1)
+  SELECT g::INT AS group_rank, place::INT AS place, label, id, round(d, 6) + 0.0 AS distance FROM r JOIN f USING (label) WHERE place <= 3 AND g <= 4""")
+def group_by_best(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.search_groups(vecs(spark, d), query_vector(spark, d), "label", 4, 3), "distance")
+
+
+def _means(negative: bool) -> str:
+    u = _unit("embedding")
+    part = lambda ids: f"(SELECT list(m ORDER BY p) FROM (SELECT p, avg(x) AS m FROM (SELECT unnest({u})::DOUBLE AS x, unnest(range(1, 65)) AS p FROM embeddings WHERE vec_id IN ({ids})) GROUP BY p))"
+    q = f"list_transform(list_zip({part('1, 2')}, {part('3')}), lambda z: (2 * z[1] - z[2])::FLOAT)" if negative else f"list_transform({part('1, 2')}, lambda z: z::FLOAT)"
+    return f"""WITH q AS (SELECT {q} AS q), s AS (SELECT vec_id AS id, {sql_distance('cosine')} AS d FROM embeddings, q WHERE vec_id NOT IN ({'1, 2, 3' if negative else '1, 2'}))
+      SELECT (row_number() OVER (ORDER BY d, id))::INT AS rank, id, round(d, 5) + 0.0 AS distance FROM s ORDER BY d, id LIMIT 10"""
+
+
+register("recommend", _means(False))(lambda s, d: rounded(A.recommend(vecs(s, d), [1, 2]), "distance", digits=5))
+register("recommend_negative", _means(True))(lambda s, d: rounded(A.recommend(vecs(s, d), [1, 2], [3]), "distance", digits=5))
+
+
+@register("scan_page", f"WITH {ITEMS} SELECT id, brand FROM i WHERE id > 100 AND size < 20 ORDER BY id LIMIT 25")
+def scan_page(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.page(items(spark, d), 25, after=100, flt=Filter.lt("size", 20)).select("id", "brand")
+
+
+@register("remove_where", f"WITH {ITEMS} SELECT id FROM i WHERE size IS NULL OR size >= 20")
+def remove_where(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.remove_where(items(spark, d), Filter.lt("size", 20)).select("id")
+
+
+@register("remove_ids", f"WITH {ITEMS} SELECT id FROM i WHERE id NOT IN (1, 5, 9)")
+def remove_ids(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.remove(items(spark, d), [1, 5, 9, 9, -4]).select("id")
+
+
+@register("set_metadata_where", f"WITH {ITEMS} SELECT id, CASE WHEN even THEN 'x' ELSE brand END AS brand, CASE WHEN even THEN NULL ELSE size END AS size FROM i")
+def set_metadata_where(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.set_metadata_where(items(spark, d), Filter.eq("even", True), {"brand": "x", "size": None}).select("id", "brand", "size")
+
+
+@register("upsert_last_wins", f"WITH {ITEMS} SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE brand END AS brand FROM i")
+def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    old = items(spark, d).select("id", "brand")
+    new = old.where("id % 3 = 0").select("id", F.lit("old").alias("brand"), F.lit(1).alias("n")).unionByName(old.where("id % 3 = 0").select("id", F.lit("new").alias("brand"), F.lit(2).alias("n")))
+    return mutations.upsert(old, new, order="n")
+
+
+@register("remove_expired", f"SELECT event_id AS id FROM events WHERE epoch_us(ts) // 1000 + 86400000 >= {NOW}")
+def remove_expired(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), (ms + 86_400_000).alias("_expires_at"))
+    return mutations.alive(rows, NOW).select("id")
+
+
+@register("parse_date", "SELECT event_id AS id, (epoch_us(ts) // 1000)::BIGINT AS ms FROM events")
+def parse_date(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), dates.date_ms(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("ms"))
+
+
+@register("format_date", "SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS date FROM events")
+def format_date(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), dates.date_text(F.unix_millis(F.col("ts").cast("timestamp"))).alias("date"))
+
+
+@register("sq8_bounds", """WITH e AS (SELECT unnest(range(0, 64))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
+  SELECT dim, round(min(x), 7) AS low, round((max(x) - min(x)) / 255, 9) AS step FROM e GROUP BY 1""")
+def sq8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    from marlstone.operators.codecs import scalar_bounds
+
+    return rounded(rounded(scalar_bounds(vecs(spark, d)), "low", digits=7), "step", digits=9)
+
+
+def _codec(name: str, spark: SparkSession, d: str) -> DataFrame:
+    """The share of the ten exact neighbours that a two-stage search on codes finds."""
+    from marlstone.operators import codecs
+
+    df, q = vecs(spark, d), query_vector(spark, d)
+    model = codecs.train(df, name)
+    found = codecs.coded_knn(codecs.encode(df, model), model, q, 10)
+    as_list = lambda x: x.withColumn("query_id", F.lit(name))
+    return knn.recall(as_list(found), as_list(knn.knn(df, q, 10)))
+
+
+for k in ("sq8", "binary", "pq", "f16", "bf16", "rabitq"):
+    register(f"codec_{k}")(partial(_codec, k))
