@@ -20,9 +20,15 @@ from marlstone.llm.packing import pack
 from marlstone.llm.quality import classify
 
 
+def _guarded(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What keep() keeps of docs, with other columns under names that its own can't clash with."""
+    safe = [c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(docs.columns)]
+    return keep(docs.toDF(*safe)).select(safe).toDF(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the quality classifier rejects go."""
-    return classify(docs).where("accepted").select(docs.columns)
+    return _guarded(docs, lambda d: classify(d).where("accepted"))
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -49,7 +55,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents with a window of a benchmark item go."""
-    return without_documents(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).select(docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _guarded(docs, lambda d: without_documents(decontaminate(d, items)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
