@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import analyze, tokenize
+from marlstone.functions.text import analyze
 from marlstone.operators.filters import where
 
 
@@ -34,26 +35,35 @@ class BM25:
         return BM25(self.k1, self.b, mean or 100.0, self.unicode, self.stop_words, self.stemming)
 
 
-def postings(df: DataFrame, model: BM25 = BM25(), id: str = "id", text: str = "text") -> DataFrame:
-    """id, term, frequency, weight: the weight of each term of each document."""
-    tokens = df.where(F.col(text) != "").select(F.col(id).alias("id"), model.tokens(F.col(text)).alias("tokens"))
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as there are cores, if a small or single file would leave cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def postings(df: DataFrame, model: BM25 = BM25(), id: str = "id", text: str = "text", terms: Sequence[str] | None = None) -> DataFrame:
+    """id, term, frequency, weight: the weight of each term of each document, or of some terms only."""
+    texts = spread(df.where(F.col(text) != "").select(F.col(id).alias("id"), F.col(text).alias("text")), "id")
+    tokens = texts.select("id", model.tokens(F.col("text")).alias("tokens"))
     each = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    each = each if terms is None else each.where(F.col("term").isin(list(terms)))
     counted = each.groupBy("id", "term", "length").agg(F.count("*").alias("frequency"))
     f, norm = F.col("frequency"), model.k1 * (1 - model.b + model.b * F.col("length") / model.average_length)
     return counted.select("id", "term", "frequency", (f * (model.k1 + 1) / (f + norm)).alias("weight"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
+    # Reading the frequency keeps the plan below alike for this and the scores, so that its exchange is reused.
+    return posts.groupBy("term").agg(F.sum((F.col("frequency") > 0).cast("long")).alias("df"))
 
 
 def query_weights(posts: DataFrame, documents: int, query: str, model: BM25 = BM25()) -> DataFrame:
     """term, weight of a query: the idf of each term, once for each time it occurs; terms of no document are left out."""
     spark = posts.sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(model.tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    # a query's terms are few
-    df = document_frequency(posts.join(F.broadcast(asked.select("term")), "term", "left_semi"))
+    df = document_frequency(posts)
     idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # a query's terms are few
     return df.join(F.broadcast(asked), "term").select("term", (idf * F.col("times")).alias("weight"))
 
 
@@ -74,7 +84,9 @@ def top(scores: DataFrame, k: int, id: str = "id") -> DataFrame:
 
 def bm25_search(df: DataFrame, query: str, k: int, model: BM25 = BM25(), id: str = "id", text: str = "text", flt=None) -> DataFrame:
     """rank, id, score. Statistics cover all documents with a text; the filter applies to the results."""
-    posts = postings(df, model, id, text)
+    spark = df.sparkSession
+    terms = spark.createDataFrame([(query,)], "q string").select(model.tokens(F.col("q"))).first()[0]
+    posts = postings(df, model, id, text, terms)  # other terms are never shuffled
     documents = df.where(F.col(text) != "").count()
     scores = sparse_scores(posts, query_weights(posts, documents, query, model))
     if flt is not None:

@@ -304,9 +304,8 @@ def _hybrid(method: str, spark: SparkSession, d: str) -> DataFrame:
     df = texts(spark, d).join(vecs(spark, d).drop("label"), "id", "left")
     n = fusion.depth(10)
     v = knn.knn(df, query_vector(spark, d), n, "cosine")
-    x = sparse.bm25_search(df, WORDS, n, flt=None)
     known = vecs(spark, d).select("id")
-    posts = sparse.postings(df)
+    posts = sparse.postings(df, terms=WORDS.split())
     scores = sparse.sparse_scores(posts, sparse.query_weights(posts, df.where("text <> ''").count(), WORDS)).join(known, "id", "left_semi")
     x = sparse.top(scores, n)
     lists = [v.select("rank", "id", (-F.col("distance")).alias("similarity")), x.select("rank", "id", F.col("score").alias("similarity"))]

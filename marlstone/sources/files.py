@@ -71,7 +71,7 @@ def fbin_bytes(rows: np.ndarray) -> bytes:
 
 
 #: The fixed header of an hnswlib index file: eleven fields, little-endian, as its public source writes them.
-_HEADER = struct.Struct("<QQQQQQiIQQQdQ")
+_HEADER = "<QQQQQQiIQQQdQ"
 #: The bit of an element's third byte that marks it as deleted.
 _DELETED = 0x01
 
@@ -80,12 +80,13 @@ def read_hnswlib(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """id, vector of the elements of hnswlib index files that aren't marked as deleted."""
 
     def parse(data) -> Iterator[pa.RecordBatch]:
-        if len(data) < _HEADER.size:
+        head = struct.calcsize(_HEADER)
+        if len(data) < head:
             raise FormatError("an index file is shorter than its header")
-        _, most, count, size, label_at, data_at, *_ = _HEADER.unpack(data[: _HEADER.size].to_pybytes())
-        if count > most or size < dim * 4 + 8 or len(data) < _HEADER.size + count * size or data_at + 4 * dim > label_at or label_at + 8 > size:
+        _, most, count, size, label_at, data_at, *_ = struct.unpack(_HEADER, data[:head].to_pybytes())
+        if count > most or size < dim * 4 + 8 or len(data) < head + count * size or data_at + 4 * dim > label_at or label_at + 8 > size:
             raise FormatError("an index file is damaged, or of another dimension")
-        rows = np.frombuffer(data, np.uint8, count * size, _HEADER.size).reshape(count, size)
+        rows = np.frombuffer(data, np.uint8, count * size, head).reshape(count, size)
         live = rows[rows[:, 2] & _DELETED == 0]
         vectors = np.ascontiguousarray(live[:, data_at : data_at + 4 * dim]).view("<f4")
         yield from _vectors(np.ascontiguousarray(live[:, label_at : label_at + 8]).view("<i8").ravel(), vectors)
