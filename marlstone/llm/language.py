@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     """A model from documents with a language; None if there are none.
 
     Document frequencies cover all of them; centroids are fitted on about `sample` of each language, chosen by a hash
-    (and never more than twice as many rows in all). The number of languages is taken to be small.
+    (and never on more than twice as many of one language; equal texts of a language count once). The number of languages is taken to be small.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -123,10 +123,12 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     df, n = document_frequencies(known, "text")
     idf = np.log((1 + n) / (1 + df)) + 0.1
     cut = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1 << 30, int((sample << 30) / v) + 1))) for k, v in sizes.items()))
-    some = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < cut).select("text", "lang")
+    some = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < cut).select("text", "lang").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    some = some.withColumn("place", place).where(F.col("place") <= 2 * sample).select("text", "lang")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("v", T.BinaryType())])
     as_rows = lambda buf, offs: [pa.array([x.tobytes() for x in vectors(buf, offs, idf)], pa.binary())]
-    got = _mapped(some, "text", schema, ["lang"], as_rows).orderBy("lang", "v").limit(2 * sample * len(sizes)).toArrow()
+    got = _mapped(some, "text", schema, ["lang"], as_rows).orderBy("lang", "v").toArrow()
     rows = np.frombuffer(b"".join(got["v"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     label = np.array(got["lang"].to_pylist(), object)
     rows, label = rows[rows.any(1)], label[rows.any(1)]

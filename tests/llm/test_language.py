@@ -43,3 +43,11 @@ def test_nothing_learned(spark):
     assert m.fit(empty(spark)) is None
     assert {r.lang_pred for r in m.identify(odd(spark), None).collect()} == {"und"}
     assert m.identify(empty(spark), None).count() == 0
+
+
+def test_a_repeated_row_leaves_the_other_languages_their_sample(spark):
+    cut = int((5 << 30) / 3000) + 1
+    hot = spark.range(100_000).where(F.pmod(F.xxhash64("id", F.lit("aaa bbb")), F.lit(1 << 30)) < cut).first().id  # a row that is in the sample
+    rows = [(hot, "aaa bbb", "a")] * 3000 + [(k, f"zzz yyy {'xyz'[k % 3] * 3}", "z") for k in range(5)]
+    model = m.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=5)
+    assert set(model.names) == {"a", "z"}
