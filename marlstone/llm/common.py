@@ -152,17 +152,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b): root is the smallest node of its component.
 
     Alternates the large-star and small-star steps, whose rows never exceed twice the edges; a hub's rows are
-    spread by its neighbours' keys after each step. Null ends are left out. No edges: no rows.
+    spread by its neighbours' keys after each step. They go on until nothing changes. Null ends are left out. No edges: no rows.
     """
     from pyspark.sql import functions as F
 
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -83,3 +83,12 @@ def test_pruning_follows_the_posterior():
 
 def test_empty(spark):
     assert m.jaccard_join(empty(spark)).count() == 0
+
+
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    """However few rounds a bound would leave."""
+    from marlstone.llm import common
+
+    monkeypatch.setattr(common, "range", lambda *_: [0], raising=False)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    assert {tuple(r) for r in common.components(edges).collect()} == {(k, 0) for k in range(31)}
