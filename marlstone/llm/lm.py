@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import os
+import pickle
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BLANK, Words, settle, steps, table, text_buffers
+from marlstone.llm.common import BLANK, Words, mix, settle, steps, table, text_buffers
 
-#: An n-gram is in the trie if it makes up this share of all tokens (and stands twice at least): so no level, whatever
-#: the corpus, has more than 1 / SHARE entries, which bounds what is broadcast.
-SHARE = 2e-6
+#: An n-gram that stands so often is in the model, at every size of the corpus.
+LEAST = 2
+#: The share of all tokens that an n-gram must make up besides, to be in the trie of train(): none.
+SHARE = 0.0
 #: Taken from each count of an n-gram and given to what its context hasn't been seen with.
 DISCOUNT = 0.75
 #: Words of the corpus up to which all counts are broadcast; beyond it those of rare words are joined.
@@ -25,6 +30,12 @@ BROADCAST_WORDS = 8_000_000
 END = np.uint64(0x5EED0FE2D0F7E875)
 #: Tokens that a task counts before it hands the counts on.
 HELD = 4_000_000
+#: Bytes of text in a block, whose distinct n-grams are looked up together, and of all texts for each shard of the model.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 6 << 20
+#: Shards of pairs and triples for each shard of words.
+PER_WORDS = 8
+#: Steps of log10 between the 8-bit codes of a shard's chances, the same in all shards; the last code stands for none.
+STEP, NONE = 0.0375, 255
 
 
 class EliasFano:
@@ -278,15 +289,16 @@ def _sorted(df: DataFrame, unsigned: bool = False) -> tuple[np.ndarray, np.ndarr
 
 
 def train(texts: DataFrame, share: float = SHARE) -> tuple[Counts, DataFrame]:
-    """Frequent n-grams of a column of texts, and the counts of all words (key, n).
+    """Frequent n-grams of a column of texts, and the counts of all words (key, n): a model that each task holds whole.
 
+    With a share it stays small whatever the corpus; without one use corpus_scores() for a corpus of any size.
     Pairs are counted among frequent words only, triples among frequent pairs: no more frequent one can be missed, as
     an n-gram is no more frequent than its parts. Each of the three lists has 1 / share entries at most.
     """
     vocabulary = settle(_counted(texts, lambda h, first: h.view(np.int64)))
     total, words = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    least = max(2, math.ceil(share * total))
+    least = max(LEAST, math.ceil(share * total))
     hash_, count = _sorted(vocabulary.where(F.col("n") >= least), True)
     context = texts.sparkSession.sparkContext
     known = context.broadcast((hash_, np.searchsorted(hash_, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))))
@@ -380,3 +392,288 @@ def score(docs: DataFrame, counts: Counts, vocabulary: DataFrame, text: str = "t
         more, extra = F.coalesce("__more", F.lit(0.0)), F.coalesce("__known", F.lit(0))
         out = head.join(sums, "__row", "left").select(*keep, "n_tokens", (F.col("n_known") + extra).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
     return out.withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True))
+
+
+def code(chance: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.log10(chance) / -STEP), 0, NONE - 1).astype(np.uint8)
+
+
+def chance(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == NONE, 0.0, 10 ** (codes * -STEP))
+
+
+def split(h: np.ndarray, low: int = 64) -> list[np.ndarray]:
+    """The lowest 48 or 64 bits of hashes as columns, which pack better."""
+    return [h.astype(np.uint32), *((h >> np.uint64(k)).astype(np.uint16) for k in range(32, low, 16))]
+
+
+def joint(columns: list[np.ndarray]) -> np.ndarray:
+    out = columns[0].astype(np.uint64)
+    for k, x in enumerate(columns[1:]):
+        out |= x.astype(np.uint64) << np.uint64(32 + 16 * k)
+    return out
+
+
+class Grams:
+    """The distinct words, pairs and triples of a block's tokens, and for each token those that it ends, or -1.
+
+    A pair is its first word and its second, a triple its first pair and its third word; all are sorted. The shard of a
+    triple is that of its first pair, so a context and its successors meet. A shard knows a pair by 62 bits of hash
+    (its number included) and the third word of a triple by 48 bits besides its pair.
+    """
+
+    def __init__(self, h: np.ndarray, bounds: np.ndarray, shards: int) -> None:
+        inside = np.ones(len(h), bool)
+        inside[bounds[:-1]] = False
+        self.words, self.word = np.unique(h, return_inverse=True)
+        n = max(1, len(self.words))
+        self.pair, self.triple = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
+        at = np.flatnonzero(inside)
+        key, self.pair[at] = np.unique(self.word[at - 1] * n + self.word[at], return_inverse=True)
+        self.first, self.second = key // n, key % n
+        at = at[self.pair[at - 1] >= 0]
+        key, self.triple[at] = np.unique(self.pair[at - 1] * n + self.word[at], return_inverse=True)
+        self.context, self.third = key // n, key % n
+        # ranges of hashes, so that a word's place in the block tells its shard and its place there
+        groups = max(1, shards // PER_WORDS)
+        self.word_shard = ((self.words >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+        self.word_starts = np.searchsorted(self.word_shard, np.arange(groups + 1))
+        key = mix(mix(self.words[self.first]) + self.words[self.second]) >> np.uint64(2)
+        self.pair_shard, self.key = (key % np.uint64(shards)).astype(np.int64), key // np.uint64(shards)
+        self.by_pair = np.argsort(self.pair_shard, kind="stable")
+        self.by_triple = np.argsort(self.pair_shard[self.context], kind="stable")
+
+    def requests(self, train: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """Kind, shard and contents of a block's requests. train: whether a token counts, and not only asks."""
+        counts = [np.bincount(k[train & (k >= 0)], minlength=n).astype(np.int32) for k, n in ((self.word, len(self.words)), (self.pair, len(self.first)), (self.triple, len(self.context)))]
+        for s, w in parts(self.word_shard, np.arange(len(self.words))):
+            yield WORDS, s, packed(self.words[w], counts[0][w])
+        successors = np.bincount(self.context, minlength=len(self.first)).astype(np.int32)
+        starts = np.diff(self.word_starts).astype(np.int32)
+        triples = dict(parts(self.pair_shard[self.context], self.by_triple))
+        for s, p in parts(self.pair_shard, self.by_pair):
+            t = triples.get(s, np.zeros(0, np.int64))
+            by = np.diff(self.first[p], prepend=0).astype(np.int32)
+            yield PAIRS, s, packed(split(self.key[p]), by, counts[1][p], successors[p], split(self.words[self.third[t]], 48), counts[2][t], starts)
+
+
+def parts(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and its places in order."""
+    found, start = np.unique(shard[order], return_index=True)
+    for s, part in zip(found.tolist(), np.split(order, start[1:]) if len(found) else []):
+        yield s, part
+
+
+class Shard:
+    """The trie of the pairs of a shard and their successors, by places in its own sorted word hashes."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, context: np.ndarray, third: np.ndarray, n3: np.ndarray) -> None:
+        """Counted pairs and triples, which may repeat; context: the row of a triple's pair."""
+        keys, row, of = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(of, n, len(keys)).astype(np.int64)
+        kept = total >= LEAST
+        self.keys, self.count = EliasFano.encode(keys[kept].astype(np.int64)), total[kept]
+        #: The first row of each pair.
+        self.row = row[kept]
+        entry = np.where(kept, np.cumsum(kept) - 1, -1)[of[context]]
+        some = np.flatnonzero(entry >= 0)
+        entry, third, n3 = entry[some], third[some], n3[some]
+        order = np.lexsort((third, entry))
+        entry, third = entry[order], third[order]
+        new = np.concatenate([np.ones(min(1, len(entry)), bool), (entry[1:] != entry[:-1]) | (third[1:] != third[:-1])])
+        total = np.bincount(np.cumsum(new) - 1, n3[order], int(new.sum())).astype(np.int64)
+        kept = total >= LEAST
+        entry, third, total = entry[new][kept], third[new][kept], total[kept]
+        self.words = np.unique(third)
+        self.successors = Level.encode(entry, np.searchsorted(self.words, third), len(self.count))
+        seen = (total - DISCOUNT) / self.count[entry]
+        self.seen, self.left = code(seen), code(np.maximum(1 - np.bincount(entry, seen, len(self.count)), 1e-9))
+
+    def ask(self, key: np.ndarray, successors: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The count of each pair, or 0; what it leaves to shorter contexts; and the chance of each of its successors."""
+        count, left, seen = np.zeros(len(key), np.int64), np.full(len(key), NONE, np.uint8), np.full(len(third), NONE, np.uint8)
+        if not len(self.count):
+            return count, left, seen
+        key = key.astype(np.int64)
+        pair = np.minimum(self.keys.successor(key), self.keys.n - 1)
+        hit = self.keys.access(pair) == key
+        count[hit], left[hit] = self.count[pair[hit]], self.left[pair[hit]]
+        if len(self.words):
+            context = np.repeat(np.where(hit, pair, -1), successors)
+            word = np.minimum(np.searchsorted(self.words, third), len(self.words) - 1)
+            some = np.flatnonzero((context >= 0) & (self.words[word] == third))
+            at = self.successors.find(context[some], word[some])
+            seen[some[at >= 0]] = self.seen[at[at >= 0]]
+        return count, left, seen
+
+
+#: Kinds of rows on their way: requests about words and pairs, sums of the pairs a word begins, answers, and texts.
+WORDS, PAIRS, SUMS, PAIR_ANSWERS, WORD_ANSWERS, TEXTS = range(6)
+ROWS = "to long, kind int, part int, block long, body binary"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=NAMES)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Rows of docs in blocks, as Arrow streams; bytes: of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            name = int.from_bytes(os.urandom(8), "little") >> 1
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bytes", "body"])
+
+        for batch in batches:
+            _, offs = text_buffers(batch.column("__text"))
+            for i, j in steps(offs):
+                held.append(batch.slice(i, j - i))
+                size += int(offs[j] - offs[i])
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    held, size = [], 0
+        if held:
+            yield block()
+
+    return table(docs.mapInArrow(run, "block long, bytes long, body binary"), "blocks")
+
+
+def _opened(body: bytes, shards: int) -> tuple[pa.Table, np.ndarray, Grams]:
+    """The documents of a block, the bounds of their tokens, and their n-grams."""
+    docs = pa.ipc.open_stream(body).read_all()
+    buf, offs = text_buffers(docs["__text"])
+    found, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in steps(offs):
+        h, b = tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        found.append(h)
+        bounds.append(b[1:] + bounds[-1][-1])
+    bounds = np.concatenate(bounds)
+    return docs, bounds, Grams(np.concatenate(found), bounds, shards)
+
+
+def corpus_scores(docs: DataFrame, train: str, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """What score() gives, under the model of the rows of docs whose column train is true, for a corpus of any size.
+
+    Every word, and every pair and triple that stands LEAST times in training, is in the model. Nothing of it is
+    broadcast: blocks of texts send their distinct n-grams, with what training adds to their counts, to shards by a hash
+    of the words (pairs, and the triples that they begin) or word; a shard sums the counts, makes its trie and answers.
+    Shards and blocks grow in number with the texts, not in size.
+    """
+    new = ["n_tokens", "n_known", "base_score", "score"]
+    keep = [c for c in docs.columns if c not in (text, "train_tokens", *new)]
+    slim = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.coalesce(F.col(train), F.lit(False)).alias("__train"))
+    blocks = _blocks(slim)
+    shards = max(1, math.ceil((blocks.agg(F.sum("bytes")).first()[0] or 0) / shard_bytes))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                docs, bounds, grams = _opened(body.as_buffer(), shards)
+                mine = np.repeat(docs["__train"].to_numpy(), np.diff(bounds))
+                # requests about words travel along with some shard's
+                rows = [(s if kind == PAIRS else (s * PER_WORDS + name % PER_WORDS) % shards, kind, s, name, x) for kind, s, x in grams.requests(mine)]
+                del docs, bounds, grams, mine
+                for i in range(0, len(rows), 16):
+                    yield from _rows(rows[i : i + 16]).to_batches()
+
+    def pairs(got: pa.Table) -> pa.Table:
+        rows = [(x["part"], WORDS, x["part"], x["block"], x["body"]) for x in got.filter(pa.compute.equal(got["kind"], WORDS)).to_pylist()]
+        asked = got.filter(pa.compute.equal(got["kind"], PAIRS)).select(["part", "block", "body"]).to_pylist()
+        if not asked:
+            return _rows(rows)
+        asks = [unpacked(x["body"]) for x in asked]
+        key, third = (np.concatenate([joint(a[k]) for a in asks]) for k in (0, 4))
+        n, successors, n3 = (np.concatenate([a[k] for a in asks]) for k in (2, 3, 5))
+        shard = Shard(key, n, np.repeat(np.arange(len(key)), successors), third, n3)
+        first = np.cumsum([0, *(len(a[1]) for a in asks)])
+        del key, third, n, successors, n3
+        sums: dict[int, list[tuple]] = {}
+        for k, (x, a) in enumerate(zip(asked, asks)):
+            rows.append((x["block"], PAIR_ANSWERS, x["part"], x["block"], packed(*shard.ask(joint(a[0]), a[3], joint(a[4])))))
+            # the first block with a pair names its first word, by its place among the words of that block
+            mine = (shard.row >= first[k]) & (shard.row < first[k + 1])
+            word, of = np.unique(np.cumsum(a[1], dtype=np.int64)[shard.row[mine] - first[k]], return_inverse=True)
+            total, number = np.bincount(of, shard.count[mine], len(word)).astype(np.int64), np.bincount(of, minlength=len(word)).astype(np.int32)
+            starts = np.cumsum(np.append(0, a[6]))
+            group = np.searchsorted(starts, word, "right") - 1
+            for g, at in parts(group, np.arange(len(word))):
+                sums.setdefault(g, []).append((x["block"], (word[at] - starts[g]).astype(np.int32), total[at], number[at]))
+        rows += [(g, SUMS, g, 0, packed(*x)) for g, x in sums.items()]
+        return _rows(rows)
+
+    def words(got: pa.Table) -> pa.Table:
+        rows = got.select(["kind", "part", "block", "body"]).to_pylist()
+        asked = [(x, *unpacked(x["body"])) for x in rows if x["kind"] == WORDS]
+        known = np.unique(np.concatenate([a[1] for a in asked]))
+        count, total, number = (np.zeros(len(known), np.int64) for _ in range(3))
+        place = {x["block"]: np.searchsorted(known, h) for x, h, _ in asked}
+        for x, _, n in asked:
+            count[place[x["block"]]] += n
+        for x in rows:
+            for block, at, t, n in unpacked(x["body"]) if x["kind"] == SUMS else ():
+                total[place[block][at]] += t
+                number[place[block][at]] += n
+        out = []
+        for x, _, _ in asked:
+            at = place[x["block"]]
+            out.append((x["block"], WORD_ANSWERS, x["part"], x["block"], packed(count[at], total[at], number[at])))
+        one = np.concatenate([[1], np.zeros(len(out) - 1, np.int64)])
+        return _rows(out).append_column("tokens", pa.array(one * count.sum())).append_column("words", pa.array(one * (count > 0).sum()))
+
+    asked = blocks.select("block", "body").mapInArrow(ask, ROWS)
+    answers = table(asked.groupBy("to").applyInArrow(pairs, ROWS), "pairs")
+    # the requests' shuffle files go when Spark sees that nothing refers to them any more
+    del asked
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    more = table(answers.where(F.col("kind").isin(WORDS, SUMS)).groupBy("to").applyInArrow(words, f"{ROWS}, tokens long, words long"), "words")
+    seen, different = more.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    scale = seen + 0.1 * (different + 1)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in slim.dtypes if c not in ("__text", "__train")), "n_tokens long, n_known long, base_score double, score double"])
+
+    def finish(got: pa.Table) -> pa.Table:
+        rows = sorted(got.select(["kind", "part", "body"]).to_pylist(), key=lambda x: (x["kind"], x["part"]))
+        docs, bounds, g = _opened(rows[-1]["body"], shards)
+
+        def told(kind: int, k: int, order: np.ndarray, none: type) -> np.ndarray:
+            out = np.empty(len(order), none)
+            out[order] = np.concatenate([np.zeros(0, none), *(a[k] for a in answered[kind])])
+            return out
+
+        answered = {kind: [unpacked(x["body"]) for x in rows if x["kind"] == kind] for kind in (PAIR_ANSWERS, WORD_ANSWERS)}
+        count, total, number = (told(WORD_ANSWERS, k, np.arange(len(g.words)), np.int64) for k in range(3))
+        count2, left3 = told(PAIR_ANSWERS, 0, g.by_pair, np.int64), chance(told(PAIR_ANSWERS, 1, g.by_pair, np.uint8))
+        seen3 = chance(told(PAIR_ANSWERS, 2, g.by_triple, np.uint8))
+        left2 = np.maximum(1 - (total - DISCOUNT * number) / np.maximum(1, count), 1e-9)
+        p1 = ((count + 0.1) / scale)[g.word]
+        p = p1.copy()
+        at = np.flatnonzero(g.pair >= 0)
+        v, n = g.word[at - 1], count2[g.pair[at]]
+        p[at] = np.where(n > 0, (n - DISCOUNT) / np.maximum(1, count[v]), 0) + left2[v] * p[at]
+        at = np.flatnonzero(g.triple >= 0)
+        context = g.pair[at - 1]
+        p[at] = np.where(count2[context] > 0, seen3[g.triple[at]] + left3[context] * p[at], p[at])
+        sums = [np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64)[g.word], np.log10(p1), np.log10(p))]
+        return pa.table([*(docs[c] for c in keep), pa.array(np.diff(bounds)), *map(pa.array, sums)], names=[*keep, *new])
+
+    texts = blocks.select(F.col("block").alias("to"), F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), "block", "body")
+    rows = texts.unionByName(answers.where(F.col("kind") == PAIR_ANSWERS)).unionByName(more.select(NAMES))
+    return rows.groupBy("to").applyInArrow(finish, schema).withColumn("train_tokens", F.lit(seen).cast("long"))

@@ -120,11 +120,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null ids are held out."""
     from marlstone.llm.language import fold
-    from marlstone.llm.lm import score, train
+    from marlstone.llm.lm import corpus_scores
 
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(True)).alias("held_out"), "text")
-    counts, vocabulary = train(docs.where("not held_out").select("text"))
-    return score(docs, counts, vocabulary).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return corpus_scores(docs.withColumn("seen", ~F.col("held_out")), "seen").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from helpers import BLANK, ODD, TRANSLATE, empty, odd
@@ -122,3 +123,29 @@ def test_empty(spark):
     assert m.score(empty(spark), counts, vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("shard_bytes", [m.SHARD_BYTES, 40_000])
+def test_corpus_scores(spark, shard_bytes):
+    docs = odd(spark).withColumn("seen", F.expr("doc_id < 7"))
+    plain = Plain([t for i, t in ODD if i is not None and i < 7], 0)
+    got = m.corpus_scores(docs, "seen", shard_bytes=shard_bytes).select("doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens").collect()
+    expected = [(i, len(tokens(t)), sum(plain.c1[x] > 0 for x in tokens(t)), sum(math.log10(plain.p(x)) for x in tokens(t)), plain.score(t)) for i, t in ODD]
+    key = lambda r: (str(r[0]), r[1], round(r[3], 3))
+    for r, e in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
+        assert r[:3] == e[:3] and r[3] == pytest.approx(e[3]) and abs(r[4] - e[4]) < 0.02 * e[1] and r[5] == plain.n
+    assert m.corpus_scores(empty(spark).withColumn("seen", F.lit(True)), "seen").count() == 0
+
+
+def test_what_stands_twice_counts_at_every_size(spark, tmp_path):
+    """Beside 1.2 million tokens a passage that stands twice is still known (its share is less than 2e-6)."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    passage = " ".join(f"rare{k}" for k in range(30))
+    filler = [(k, " ".join(f"w{(k * 7919 + j * j) % 3001}" for j in range(3000))) for k in range(500)]
+    free = range(500, 600)
+    twice = [i for i in free if not held(i)][:2] + [i for i in free if held(i)][:1]
+    rows = filler + [(i, passage) for i in twice]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{path}/documents.parquet")
+    plain = Plain([t for i, t in rows if not held(i)], 0)
+    assert plain.c1["rare1"] == 2 < 2e-6 * plain.n
+    got = op10_language_model(spark, path).where("doc_id >= 500").collect()
+    assert len(got) == 3 and all(abs(r.score - plain.score(passage)) < 0.02 * r.n_tokens for r in got)
