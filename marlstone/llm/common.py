@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -63,6 +64,19 @@ def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix((sums[end] - sums[begin]) * DOWN.upto(len(values) + 1)[begin] + (end - begin).astype(np.uint64))
 
 
+def chained(values: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of size values from begin on, each mixed into the ones before it; equal runs of values have equal hashes."""
+    h = mix(size.astype(np.uint64) + np.uint64(seed))
+    least = int(size.min(initial=1 << 62)) if len(size) else 0
+    for k in range(int(size.max(initial=0))):
+        if k < least:
+            h = mix(h * np.uint64(BASE) + values[begin + k])
+        else:
+            live = np.flatnonzero(size > k)
+            h[live] = mix(h[live] * np.uint64(BASE) + values[begin[live] + k])
+    return h
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and len + 1 offsets; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -87,8 +101,17 @@ def steps(offs: np.ndarray, most: int = STEP_BYTES, rows: int = 1 << 30) -> Iter
         i = j
 
 
+#: Bytes of a word that its key holds as they are; longer words are known by a digest.
+PLAIN = 15
+_HEAD = np.array([0, *(((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(1, 9))], np.uint64)
+
+
 class Words:
-    """The words of documents: places in buf, 64-bit hashes, and for each document the range of its words."""
+    """The words of documents: places in buf, keys, hashes, and for each document the range of its words.
+
+    The key of a word is 128 bits (head, tail): its bytes and its length, so that words of up to PLAIN bytes are equal
+    when their keys are, or 120 bits of BLAKE2b of a longer one. hash and hash2 are 64 bits of the key each.
+    """
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, table: np.ndarray = ALNUM) -> None:
         low = table[buf]
@@ -102,7 +125,27 @@ class Words:
             last[edges - 1] = inside[edges - 1]
         self.low, self.begin, self.end = low, np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.begin, offs)
-        self.hash = span_hashes(BYTE_VALUES[low], self.begin, self.end)
+        self.head, self.tail = self._keys()
+        self.hash = mix(mix(self.head) + self.tail * np.uint64(BASE))
+        self._hash2: np.ndarray | None = None
+
+    def _keys(self) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.concatenate([self.low, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+        size = self.end - self.begin
+        head = eight[self.begin].astype(np.uint64) & _HEAD[np.minimum(size, 8)]
+        tail = eight[np.minimum(self.begin + 8, len(self.low))].astype(np.uint64) & _HEAD[np.clip(size - 8, 0, 7)]
+        tail |= np.minimum(size, 255).astype(np.uint64)
+        for k in np.flatnonzero(size > PLAIN).tolist():
+            d = hashlib.blake2b(self.low[self.begin[k] : self.end[k]], digest_size=16).digest()
+            head[k], tail[k] = int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big") | 0xFF
+        return head, tail
+
+    @property
+    def hash2(self) -> np.ndarray:
+        if self._hash2 is None:
+            self._hash2 = mix(mix(self.tail ^ np.uint64(0x5851F42D4C957F2D)) + self.head * np.uint64(0xD1342543DE82EF95))
+        return self._hash2
 
     def __len__(self) -> int:
         return len(self.begin)
@@ -114,18 +157,49 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.low[self.begin[i] : self.end[i]].tobytes()
 
-    def windows(self, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each window of n words inside one document; short: also one window of all words of a shorter document."""
+    def places(self, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First word and number of words of each window of n words inside one document; short: also one window of all words of a shorter document."""
         d = self.document()
         at = np.flatnonzero(d[: len(d) - n + 1] == d[n - 1 :]) if len(d) >= n else np.zeros(0, np.int64)
-        end = at + n
+        size = np.full(len(at), n, np.int64)
         if short:
             few = np.diff(self.bounds)
             few = np.flatnonzero((few > 0) & (few < n))
-            at, end = np.concatenate([at, self.bounds[few]]), np.concatenate([end, self.bounds[few + 1]])
+            at, size = np.concatenate([at, self.bounds[few]]), np.concatenate([size, np.diff(self.bounds)[few]])
             order = np.argsort(at, kind="stable")
-            at, end = at[order], end[order]
-        return at, span_hashes(self.hash, at, end)
+            at, size = at[order], size[order]
+        return at, size
+
+    def windows(self, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of each window, as in places()."""
+        at, size = self.places(n, short)
+        return at, chained(self.hash, at, size)
+
+
+def same_words(a: Words, at: np.ndarray, b: Words, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size words of a from at on are those of b from to on, by their keys."""
+    same = np.ones(len(at), bool)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(same & (size > k))
+        i, j = at[live] + k, to[live] + k
+        same[live] = (a.head[i] == b.head[j]) & (a.tail[i] == b.tail[j])
+    return same
+
+
+def distinct(h: np.ndarray, same) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different item, in the order of their hashes h, and the number of each item's own.
+
+    same(i, j) tells which items i are items j. Items of one hash that differ are told apart by it.
+    """
+    _, at, of = np.unique(h, return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(~same(np.arange(len(h)), at[of]))
+    while len(wrong):
+        here, first, own = np.unique(h[wrong], return_index=True, return_inverse=True)
+        new = wrong[first]
+        of[wrong] = len(at) + own
+        at = np.concatenate([at, new])
+        wrong = wrong[~same(wrong, at[of[wrong]])]
+    return at, of
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

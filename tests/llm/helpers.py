@@ -34,3 +34,9 @@ def odd(spark, *more):
 
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def thue_morse(n=1024):
+    """Two different words whose difference any polynomial hash modulo 2^64 with an odd base misses."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -1,6 +1,8 @@
 import hashlib
 
-from helpers import ODD, empty, odd, prose, words
+import numpy as np
+
+from helpers import ODD, empty, odd, prose, thue_morse, words
 from marlstone.llm import decontaminate as m
 
 
@@ -29,7 +31,7 @@ ITEMS = [(1, prose(2, 25)), (1, prose(2, 25)), (12, "word"), (3, None), (4, ""),
 
 def test_odd_rows_against_brute_force(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for size in (m.BLOCK_BYTES, 200):  # in one block, and in several
+    for size in (m.BLOCK_BYTES, 200):  # broadcast, and joined
         found = m.decontaminate(odd(spark), items, block_bytes=size)
         got = m.digest(found).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(ODD, ITEMS)
@@ -50,3 +52,27 @@ def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert m.digest(m.decontaminate(empty(spark), items)).count() == 0
     assert {r.contaminated for r in m.digest(m.decontaminate(odd(spark), items)).collect()} == {False}
+
+
+def test_the_set_takes_a_small_multiple_of_its_text():
+    items = [(str(k), " ".join(f"w{(k * 7919 + j * j) % 300_007}" for j in range(1000))) for k in range(300)]
+    size = sum(len(t) for _, t in items)
+    assert m.Benchmark(items, 10).nbytes() < 6 * size
+
+
+def test_long_words_that_agree_in_a_polynomial_differ():
+    """Two words of 1,024 letters that any hash by powers of an odd base modulo 2^64 takes for one."""
+    one, other = thue_morse()
+    bench = m.Benchmark([("1", one)], 10)
+    for text, n in ((one, 1), (other, 0)):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        assert len(bench.hits(m.Words(buf, np.array([0, len(buf)])))[0]) == n
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(m, "chained", lambda h, at, size: size.astype(np.uint64))
+    monkeypatch.setattr(m.Words, "windows", lambda self, n: (self.places(n)[0], np.full(len(self.places(n)[0]), n, np.uint64)))
+    bench = m.Benchmark([("1", prose(3, 12)), ("2", prose(4, 12)), ("3", prose(3, 11))], 10)
+    buf = np.frombuffer(prose(3, 40).encode(), np.uint8)
+    begin, _, window = bench.hits(m.Words(buf, np.array([0, len(buf)])))
+    assert begin.tolist() == [0, 1, 2] and bench.named(window) == ["1", "3"]
