@@ -75,4 +75,4 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
     bench = m.Benchmark([("1", prose(3, 12)), ("2", prose(4, 12)), ("3", prose(3, 11))], 10)
     buf = np.frombuffer(prose(3, 40).encode(), np.uint8)
     begin, _, window = bench.hits(m.Words(buf, np.array([0, len(buf)])))
-    assert begin.tolist() == [0, 1, 2] and bench.named(window) == ["1", "3"]
+    assert begin.tolist() == list(range(len(words(prose(3, 12))) - 9)) and bench.named(window) == ["1", "3"]
