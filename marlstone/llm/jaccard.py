@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Words, components, mix, steps, table, text_buffers
+from marlstone.llm.common import Words, chained, components, distinct, mix, same_words, steps, table, text_buffers
 
 #: Words of a shingle and the least Jaccard similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -25,10 +25,12 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 #: A pair is dropped when its posterior chance of reaching the threshold is below this.
 TOLERANCE = 1e-6
-#: Classes of a bucket whose pairs are looked at one by one, and classes of a block of a large cluster.
-BUCKET, BLOCK = 64, 512
+#: Classes of a bucket whose pairs are looked at one by one; classes, and their shingles, of a block of a large cluster.
+BUCKET, BLOCK, BLOCK_SHINGLES = 64, 1024, 400_000
 #: Similarities (estimated) from which a class of a large bucket goes with a leader, and without which it is one.
-NEAR, LEAD, LEADERS = 0.3, 0.6, 4096
+NEAR, LEAD = 0.3, 0.6
+#: Leaders of a bucket in one round; classes that resemble none of so many get leaders of their own in the next round.
+LEADERS = 4096
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -87,39 +89,48 @@ def sketches(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return bands.view(np.int64), np.packbits(bit.astype(np.uint8), axis=1).view(np.uint64)
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted set of shingle hashes of each document; of fewer words, but not none, one shingle of all."""
-    words = Words(buf, offs)
-    at, h = words.windows(n, short=True)
-    bounds = np.searchsorted(at, words.bounds)
-    return [np.unique(h[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
+def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes (128 bits) of the different shingles of each document, in their order, and the bounds of the documents.
+
+    A document of fewer words than a shingle, but not none, is one shingle.
+    """
+    at, size = words.places(n, short=True)
+    doc = words.document()[at]
+    one, two = chained(words.hash, at, size), chained(words.hash2, at, size, 1)
+    order = np.lexsort((two, one, doc))
+    doc, one, two = doc[order], one[order], two[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return one[new], two[new], np.searchsorted(doc[new], np.arange(len(words.bounds)))
 
 
 def signatures(docs: DataFrame, id: str, text: str, n: int) -> DataFrame:
-    """id, key (a digest of the set; null without words), k64 (its first 8 bytes), n, bands and sketch, per document."""
+    """id, text, key (a digest of the set; null without words), k64 (its first 8 bytes), n, bands and sketch, per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffers(batch.column(1))
             for i, j in steps(offs):
-                sets = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                full = [s for s in sets if len(s)]
-                bands, sketch = sketches(np.concatenate(full), np.concatenate([[0], np.cumsum([len(s) for s in full])[:-1]]).astype(np.int64)) if full else (np.zeros((0, BANDS), np.int64), np.zeros((0, 2), np.uint64))
-                place = iter(range(len(full)))
+                one, two, bounds = shingle_sets(Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), n)
+                both = np.stack([one, two], 1)
+                size = np.diff(bounds)
+                keys = [hashlib.blake2b(both[b:e].tobytes(), digest_size=16).digest() if e > b else None for b, e in zip(bounds[:-1], bounds[1:])]
+                bands, sketch = sketches(one, bounds[:-1][size > 0]) if len(one) else (np.zeros((0, BANDS), np.int64), np.zeros((0, 2), np.uint64))
+                place = iter(range(len(bands)))
                 rows = [None if k is None else next(place) for k in keys]
                 columns = [
                     batch.column(0).slice(i, j - i),
+                    batch.column(1).slice(i, j - i),
                     pa.array(keys, pa.binary()),
                     pa.array([None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(size.astype(np.int32)),
                     pa.array([None if r is None else bands[r].tobytes() for r in rows], pa.binary()),
                     pa.array([None if r is None else sketch[r].tobytes() for r in rows], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "k64", "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "key", "k64", "n", "bands", "sketch"])
 
     kind = dict(docs.dtypes)[id]
-    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key binary, k64 long, n int, bands binary, sketch binary")
+    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, text string, key binary, k64 long, n int, bands binary, sketch binary")
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -149,7 +160,8 @@ class Leaders:
     """The leaders of one large bucket: a class is tied to each leader that it may resemble, or becomes one.
 
     Two classes of similarity 0.8 are at most 0.2 apart; one lies within 0.4 of a leader, so the other lies within
-    0.6 of it, and both are tied to it. Beyond LEADERS leaders a class that resembles none is tied to the first one.
+    0.6 of it, and both are tied to it. Once there are LEADERS leaders, classes that resemble none are left for the
+    next round, besides the ties that they have: of two such classes both are left.
     Ties that join nothing new are left out: there are fewer of them than classes and leaders.
     """
 
@@ -162,7 +174,9 @@ class Leaders:
             x = self.group[x]
         return x
 
-    def add(self, keys: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of keys that are tied, and places of those that are left."""
+        none = np.zeros((0, 2), np.int64)
         for i in range(0, len(keys), 1024):
             k, r = keys[i : i + 1024], rows[i : i + 1024]
             near = estimated(r, self.rows)
@@ -175,14 +189,12 @@ class Leaders:
             self.group += range(len(self.group), len(self.keys))
             a, b = np.nonzero(near >= NEAR)
             first = b[np.searchsorted(a, a)]
-            yield np.stack([k[a[b == first]], self.keys[b[b == first]]], 1)
+            yield np.stack([k[a[b == first]], self.keys[b[b == first]]], 1), i + np.flatnonzero(near.max(1, initial=-1) < LEAD)
             for x, y in np.unique(np.stack([first, b], 1), axis=0).tolist():
                 x, y = self.root(x), self.root(y)
                 if x != y:
                     self.group[max(x, y)] = min(x, y)
-                    yield self.keys[[[x, y]]]
-            alone = near.max(1, initial=-1) < LEAD
-            yield np.stack([k[alone], np.full(int(alone.sum()), self.keys[0])], 1)
+                    yield self.keys[[[x, y]]], none[:, 0]
 
 
 def leaders_of(buckets: int, m: int, which: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -199,20 +211,44 @@ def leaders_of(buckets: int, m: int, which: np.ndarray, i: np.ndarray, j: np.nda
 
 
 def candidates(bands: DataFrame) -> DataFrame:
-    """Pairs (a, b) of k64 from rows sorted by band, which connect what likely pairs connect: each class of a small
-    bucket is tied to the first one that its likely pairs lead to, each class of a large bucket to leaders."""
+    """Pairs (a, b) of k64, which connect what likely pairs connect: each class of a small bucket is tied to the first
+    one that its likely pairs lead to, each class of a large bucket to leaders. Rounds go on until no class is left."""
+    out = None
+    while True:
+        found = table(_round(bands), "candidates")
+        ties = found.where("not left").select("a", "b")
+        out = ties if out is None else out.unionByName(ties)
+        rest = found.where("left")
+        if rest.isEmpty():
+            return out.distinct()
+        bands = rest.select(F.col("a").alias("band"), F.col("b").alias("k64"), "s0", "s1")
+
+
+def _round(bands: DataFrame) -> DataFrame:
+    """Ties (a, b), and rows (band, k64, s0, s1) that are left, as rows a, b, s0, s1, left."""
+    names = ["a", "b", "s0", "s1", "left"]
 
     def emit(pairs: np.ndarray) -> pa.RecordBatch:
         a, b = pairs.min(1), pairs.max(1)
         pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, pa.array(np.zeros(len(pairs), bool))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tri = {2: np.triu_indices(2, 1)}
         hot: tuple[int, Leaders] | None = None
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
+        out: list[np.ndarray] = []
+        left: list[pa.RecordBatch] = []
 
-        def closed(band: np.ndarray, key: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
+        def led(leaders: Leaders, band: int, key: np.ndarray, row: np.ndarray) -> None:
+            for ties, rest in leaders.add(key, row):
+                out.append(ties)
+                if len(rest):
+                    s = row[rest].view(np.int64)
+                    left.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), band)), pa.array(key[rest]), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), pa.array(np.ones(len(rest), bool))], names=names))
+
+        def closed(band: np.ndarray, key: np.ndarray, row: np.ndarray) -> None:
             """The pairs of whole buckets."""
             start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])) if len(band) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(band)))
@@ -220,42 +256,57 @@ def candidates(bands: DataFrame) -> DataFrame:
                 at = start[size == m]
                 if m > BUCKET:
                     for s in at:
-                        yield from Leaders().add(key[s : s + m], row[s : s + m])
+                        led(Leaders(), band[s], key[s : s + m], row[s : s + m])
                     continue
                 i, j = tri.setdefault(m, np.triu_indices(m, 1))
                 for part in range(0, len(at), max(1, 200_000 // len(i))):
                     some = at[part : part + max(1, 200_000 // len(i)), None]
                     a, b = (some + i).ravel(), (some + j).ravel()
-                    left = likely(row[a], row[b])
-                    lead = leaders_of(len(some), m, left // len(i), i[left % len(i)], j[left % len(i)])
+                    found = likely(row[a], row[b])
+                    lead = leaders_of(len(some), m, found // len(i), i[found % len(i)], j[found % len(i)])
                     which, place = np.nonzero(lead != np.arange(m))
-                    yield np.stack([key[some[which, 0] + place], key[some[which, 0] + lead[which, place]]], 1)
+                    out.append(np.stack([key[some[which, 0] + place], key[some[which, 0] + lead[which, place]]], 1))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield emit(np.concatenate(out))
+            yield from left
+            out.clear()
+            left.clear()
 
         for batch in batches:
             band, key = batch.column("band").to_numpy(), batch.column("k64").to_numpy()
             row = np.stack([batch.column("s0").to_numpy(), batch.column("s1").to_numpy()], 1).view(np.uint64)
-            out: list[np.ndarray] = []
             if hot:
                 n = int(np.searchsorted(band != hot[0], True)) if len(band) else 0
-                out += hot[1].add(key[:n], row[:n])
+                led(hot[1], hot[0], key[:n], row[:n])
                 band, key, row = band[n:], key[n:], row[n:]
                 if len(band):
                     hot = None
             band, key, row = np.concatenate([held[0], band]), np.concatenate([held[1], key]), np.concatenate([held[2], row])
             last = int(np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))[-1]) if len(band) else 0
-            out += closed(band[:last], key[:last], row[:last])
+            closed(band[:last], key[:last], row[:last])
             held = (band[last:], key[last:], row[last:])
             if len(held[0]) > BUCKET:
                 hot = (int(held[0][0]), Leaders())
-                out += hot[1].add(held[1], held[2])
+                led(hot[1], hot[0], held[1], held[2])
                 held = (held[0][:0], held[1][:0], held[2][:0])
-            if out:
-                yield emit(np.concatenate(out))
-        out = list(closed(*held))
-        if out:
-            yield emit(np.concatenate(out))
+            yield from told()
+        closed(*held)
+        yield from told()
+
+    return bands.repartition("band").sortWithinPartitions("band", "k64").mapInArrow(run, "a long, b long, s0 long, s1 long, left boolean")
+
 
-    return bands.repartition("band").sortWithinPartitions("band", "k64").mapInArrow(run, "a long, b long").distinct()
+def numbered(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text as numbers, the same one for the same words, and the bounds of the texts."""
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    words = Words(np.frombuffer(b"".join(texts), np.uint8), offs)
+    at, size = words.places(n, short=True)
+    many, of = distinct(chained(words.hash, at, size), lambda i, j: (size[i] == size[j]) & same_words(words, at[i], words, at[j], np.minimum(size[i], size[j])))
+    key = np.unique(words.document()[at] * max(1, len(many)) + of)
+    doc, ids = key // max(1, len(many)), key % max(1, len(many))
+    return ids, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
 def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -276,15 +327,9 @@ def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
         right = left if i == j else [p for p, b in enumerate(block) if b == j]
         if not left or not right or len(keep) < 2:
             return
-        texts = [(rows["text"][p] or "").encode() for p in keep]
-        sets: list[np.ndarray] = []
-        for s, e in steps(np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)):
-            offs = np.concatenate([[0], np.cumsum([len(t) for t in texts[s:e]])]).astype(np.int64)
-            sets += shingle_sets(np.frombuffer(b"".join(texts[s:e]), np.uint8), offs, n)
+        ids, bounds = numbered([(rows["text"][p] or "").encode() for p in keep], n)
+        size = np.diff(bounds)
         sketch = np.stack([np.frombuffer(rows["sketch"][p], np.uint64) for p in keep])
-        size = np.array([len(s) for s in sets])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        bounds = np.concatenate([[0], np.cumsum(size)])
         of = lambda p: ids[bounds[p] : bounds[p + 1]]
         mark = np.zeros(int(ids.max()) + 1, bool)
         weight = np.array(copies)
@@ -363,21 +408,24 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     documents in them. group_id is the smallest id of all documents that links and classes connect, and kept is true
     for one document of each group. Words are runs of [0-9a-z] (after lower-casing A-Z) and non-ASCII characters;
     a document of fewer words than a shingle, but not none, is one shingle; one without words (null or empty too) is
-    a class of its own. Repeated rows are copies. An empty table gives no rows; other columns aren't read.
+    a class of its own. Very long texts count whole. Repeated rows are copies, and rows that share an id, or have none,
+    are judged on their own. An empty table gives no rows; other columns aren't read.
 
-    Candidate search is probabilistic: a pair at the threshold is missed with a chance of about 6e-6, one at 0.9 with
-    less than 1e-12. Similarities that count are exact.
+    Sets are equal when the BLAKE2b digests of their shingles' 128-bit hashes are. Links are verified by the words of
+    the shingles (a word of more than 15 bytes by 120 bits of BLAKE2b). Candidate search is probabilistic: a pair at the
+    threshold shares no band with a chance of about 6e-6, one at 0.9 with less than 1e-12; in buckets of more than
+    BUCKET classes similarities to leaders are estimates, whose recall the tests measure.
     """
     each = table(signatures(docs, id, text, shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    classes = table(each.where("key is not null").groupBy("key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("k64").alias("k64"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = table(each.where("key is not null").groupBy("key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("k64").alias("k64"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     clusters = components(candidates(banded(classes)))
-    sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root")
-    placed = classes.drop("bands").join(sized, F.col("k64") == F.col("node")).select("root", "key", "copies", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("rep.id").alias("rep_id"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id).alias("own"), F.col(text).cast("string").alias("text"))
-    # Ids that several documents have bring other documents' texts along: only the text of the key's set is right.
-    found = matching(placed.join(texts, F.col("rep_id").eqNullSafe(F.col("own"))), shingle)
+    member = classes.drop("bands").join(clusters, F.col("k64") == F.col("node"))
+    member = table(member.select("root", "key", "copies", "sketch", "n", F.col("rep.row").alias("row")), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = table(member.groupBy("root").agg(blocks.alias("blocks")), "clusters")
+    placed = member.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    found = placed.drop("n").join(each.select("row", "text"), "row")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = found.select("root", "block", "key", "copies", "sketch", "text", other.alias("o")).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "key", "copies", "sketch", "text")
     runs = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
@@ -392,19 +440,3 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     out = with_words.select(F.col("id").alias(id), F.col("rep.id").alias("class_id"), F.col("copies").alias("n_copies"), "n_links", F.col("n_docs").alias("n_linked_docs"), F.col("first.id").alias("group_id"), (F.col("row") == F.col("first.row")).alias("kept"))
     none = each.where("key is null").select(F.col("id").alias(id), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_linked_docs"), F.col("id").alias("group_id"), F.lit(True).alias("kept"))
     return out.unionByName(none)
-
-
-def matching(rows: DataFrame, n: int) -> DataFrame:
-    """The rows whose text has the set that key is the digest of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = text_buffers(batch.column("text"))
-            good = []
-            keys = batch.column("key").to_pylist()
-            for i, j in steps(offs):
-                sets = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
-                good += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys[i:j])]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return rows.mapInArrow(run, rows.schema)

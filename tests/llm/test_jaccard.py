@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from helpers import ODD, empty, odd, prose, words
+from helpers import ODD, empty, odd, prose, thue_morse, words
 from marlstone.llm import jaccard as m
 
 
@@ -92,3 +92,49 @@ def test_components_go_on_until_nothing_changes(spark, monkeypatch):
     monkeypatch.setattr(common, "range", lambda *_: [0], raising=False)
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
     assert {tuple(r) for r in common.components(edges).collect()} == {(k, 0) for k in range(31)}
+
+
+def test_words_that_agree_in_a_polynomial_are_different(spark):
+    rest = " ".join(f"w{k}" for k in range(4))
+    docs = [(k, f"{w} {rest}") for k, w in enumerate(thue_morse())]
+    assert rows(m.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_shingles_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(m, "chained", lambda values, at, size, seed=0: values[at] % np.uint64(3))
+    texts = [prose(k, 30) for k in (1, 2, 1)]
+    ids, bounds = m.numbered([t.encode() for t in texts], 5)
+    sets = [frozenset(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    plain = [{tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in plain] and sets[0] == sets[2]
+    assert len(sets[0] & sets[1]) == len(plain[0] & plain[1])
+
+
+def test_recall_with_more_unlike_classes_in_a_bucket_than_leaders(monkeypatch):
+    """Pairs of similarity 0.82 or more in one bucket of 3,000 unlike classes, 64 leaders a round."""
+    monkeypatch.setattr(m, "LEADERS", 64)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, (1500, 200), dtype=np.uint64)
+    twin = base.copy()
+    twin[:, :18] = rng.integers(0, 2**63, (1500, 18), dtype=np.uint64)  # 182 of 218 shingles are common
+    sets = np.sort(np.concatenate([base, twin]), 1)
+    sketch = m.sketches(sets.ravel(), np.arange(len(sets)) * 200)[1]
+    keys, rounds = np.arange(len(sets)), 0
+    tied: dict[int, int] = {}
+
+    def root(x):
+        while tied.get(x, x) != x:
+            x = tied[x]
+        return x
+
+    some = rng.permutation(keys)
+    while len(some):
+        left, leaders, rounds = [], m.Leaders(), rounds + 1
+        for pairs, rest in leaders.add(some, sketch[some]):
+            for a, b in pairs.tolist():
+                tied[root(a)] = root(b)
+            left += some[rest].tolist()
+        assert len(left) < len(some)
+        some = np.array(left, np.int64)
+    assert rounds > 10
+    assert np.mean([root(k) == root(k + 1500) for k in range(1500)]) > 0.995
