@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import table
@@ -12,20 +16,30 @@ OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
 def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Each turn with rolling hashes of its conversation so far: conv_id, at (from 1), role, text, p1, p2, p3, p4.
+    """Each turn with the rolling hash of its conversation so far: conv_id, at (from 1), prefix.
 
-    The hash of a prefix is the exclusive or of its turns' SHA-256 digests in four 64-bit parts, each digest over the
-    turn's place, role and text; it runs along the window, so a turn costs the same at any depth.
+    The hash of a prefix is the SHA-256 of the hash before it and of the turn's role and text, so equal prefixes are
+    equal turn by turn. It runs along sorted rows: a turn costs the same at any depth, and no conversation is gathered.
     """
     clean = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).distinct()
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    clean = clean.withColumn("at", F.row_number().over(order))
     field = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    digest = F.sha2(F.concat_ws("|", F.col("at").cast("string"), field("role"), field("text")), 256)
-    hashed = clean.withColumn("digest", digest)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    part = lambda k: F.bit_xor(F.xxhash64(F.lit(k), F.substring("digest", 1 + 16 * k, 16))).over(so_far)
-    return hashed.select("conv_id", "at", "role", "text", *(part(k).alias(f"p{k + 1}") for k in range(4)))
+    own = F.unhex(F.sha2(F.concat_ws("|", field("role"), field("text")), 256))
+    order = [F.col("conv_id").asc_nulls_last(), "turn", "role", "text"]
+    lined = clean.withColumn("own", own).repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, so_far, at = None, b"", 0
+        for batch in batches:
+            ids, places, hashes = batch.column(0).to_pylist(), [], []
+            for i, x in zip(ids, batch.column(1).to_pylist()):
+                if at == 0 or i != last:
+                    last, so_far, at = i, b"", 0
+                so_far, at = hashlib.sha256(so_far + x).digest(), at + 1
+                places.append(at)
+                hashes.append(so_far)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int64()), pa.array(hashes, pa.binary())], names=["conv_id", "at", "prefix"])
+
+    return lined.mapInArrow(run, f"conv_id {dict(lined.dtypes)['conv_id']}, at long, prefix binary")
 
 
 def collapse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -35,12 +49,12 @@ def collapse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     covered_by is, for a dropped one, the longest conversation that begins with it (the smallest id of equally long
     ones), or the equal one that stays. Turns are ordered by turn, then role and text; repeated rows count once; null
     roles and texts are values of their own and render as empty; turns with a null id are one conversation. An empty
-    table gives no rows. Equal conversations are one row before they are joined, so a first turn or conversation that
+    table gives no rows; other columns, of any name, aren't read. Equal conversations are one row before they are joined, so a first turn or conversation that
     many share is no hot key; a very long conversation is sorted, not gathered, but for the kept ones' rendering.
     """
-    keys = ["p1", "p2", "p3", "p4"]
-    every = table(prefixes(turns, conv, turn, role, text).drop("role", "text"), "prefixes")
-    ends = every.groupBy("conv_id").agg(F.max_by(F.struct(*keys), "at").alias("p"), F.max("at").alias("n_turns")).select("conv_id", "n_turns", "p.*")
+    keys = ["prefix"]
+    every = table(prefixes(turns, conv, turn, role, text), "prefixes")
+    ends = table(every.groupBy("conv_id").agg(F.max_by("prefix", "at").alias("prefix"), F.max("at").alias("n_turns")).select("conv_id", "n_turns", "prefix"), "ends")
     order = F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")
     classes = ends.groupBy(*keys, "n_turns").agg(F.min(order).alias("rep"))
     longest = F.struct((-F.col("n")).alias("n"), F.col("conv_id").isNull().alias("none"), "conv_id")
@@ -49,7 +63,8 @@ def collapse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     on = [*keys, "n_turns"]
     maximal = classes.join(begun, on, "left_anti").select(*on, F.lit(True).alias("maximal"))
     covered = classes.join(begun, on).select(*on, F.lit(False).alias("maximal"), F.col("by.conv_id").alias("by"))
-    fate = maximal.withColumn("by", F.lit(None).cast(dict(ends.dtypes)["conv_id"])).unionByName(covered).join(classes, on)
+    # a table, so that adaptive execution splits the join with a conversation that many rows repeat
+    fate = table(maximal.withColumn("by", F.lit(None).cast(dict(ends.dtypes)["conv_id"])).unionByName(covered).join(classes, on), "fates")
     kept = F.col("maximal") & F.col("conv_id").eqNullSafe(F.col("rep.conv_id"))
     told = ends.join(fate, on).select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), kept.alias("kept"), F.when(~kept, F.when(F.col("maximal"), F.col("rep.conv_id")).otherwise(F.col("by"))).alias("covered_by"))
     clean = turns.select(F.col(conv).alias("c"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).distinct()

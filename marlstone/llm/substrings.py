@@ -1,11 +1,11 @@
-"""Repeated substrings: suffix order and previous factors over the places where a long string may stand twice.
+"""Repeated substrings: suffix order and longest previous factors over the places where a long string may stand twice.
 
 A string of LENGTH bytes that stands twice is the same window in both places, and so has the same anchor: the least hash
 among its GRAM-byte grams. Neighbouring windows with one anchor are a stretch. Only anchors travel at first: those that
-stand once are done with, and where all stretches of an anchor are equal each of their windows is repeated. What is left
-are stretches that share an anchor but differ, mostly at the ends of copied passages. Their bytes meet at the anchor, are
-put in suffix order as far as LENGTH bytes, and the previous smaller position of each suffix tells its earlier match, the
-next one its later match: the longest previous factor, cut at LENGTH.
+stand once are done with. Stretches that share an anchor then meet by a digest of their bytes; a stretch that stands
+twice is repeated in all its windows, and one of each different stretch of an anchor goes on. Their bytes are put in
+suffix order, and the previous and next smaller positions in that order give each suffix its longest previous factor,
+as far as LENGTH bytes.
 """
 
 from __future__ import annotations
@@ -18,17 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BYTE_VALUES, DOWN, UP, mix, settle, span_hashes, steps, text_buffers
+from marlstone.llm.common import BYTE_VALUES, DOWN, UP, mix, settle, steps, table, text_buffers
 
 #: Bytes of a string that counts, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 200, 50
-#: Stretches of one anchor beyond which their windows are compared by 128-bit hashes instead, spread over all tasks.
+#: Different stretches of one anchor beyond which their windows meet by digests instead, spread over all tasks.
 CROWD = 20_000
 #: Bytes of stretches that are put in suffix order at once, besides a single anchor's.
 SORT_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 
 
+def digests(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each piece of buf, as two columns."""
+    data = memoryview(np.ascontiguousarray(buf))
+    each = b"".join([hashlib.blake2b(data[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist())])
+    return np.frombuffer(each, np.int64).reshape(-1, 2)
+
+
 def _rolling(buf: np.ndarray, n: int) -> np.ndarray:
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[buf] * UP.upto(len(buf)), out=sums[1:])
@@ -47,7 +54,7 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, first window, number of windows, anchor hash and own hash of each stretch."""
+    """Document, first window, number of windows and anchor hash of each stretch."""
     out: list[tuple[np.ndarray, ...]] = []
     for i, j in steps(offs):
         if j == i + 1 and offs[j] - offs[i] > 1 << 20:  # a long text in pieces that overlap by a window
@@ -69,63 +76,117 @@ def stretches(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tupl
             new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)
             run = np.flatnonzero(new)
             begin, n = first[run], np.diff(np.append(run, len(first)))
-            own_hash = span_hashes(BYTE_VALUES[part], begin, begin + n - 1 + length)
-            out.append((doc[begin], begin + b - offs[doc[begin]], n, h[anchor[run]].view(np.int64), own_hash.view(np.int64)))
+            out.append((doc[begin], begin + b - offs[doc[begin]], n, h[anchor[run]].view(np.int64)))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """anchor, size: how many stretches of some documents have each anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffers(batch.column("text"))
+            for i, j in steps(offs, 4 << 20):
+                found, size = np.unique(stretches(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(size)], names=["anchor", "size"])
+
+    return docs.select("text").mapInArrow(run, "anchor long, size long")
+
+
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """id, key, anchor, own, begins, n: a row per document and different stretch, with all places where it begins."""
+    """id, key, anchor, own1, own2, begins, n: a row per document and different stretch, with all places where it begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffers(batch.column("text"))
             for i, j in steps(offs, 4 << 20):
-                doc, begin, n, anchor, own = stretches(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
-                order = np.lexsort((begin, own, anchor, doc))
-                doc, begin, n, anchor, own = (x[order] for x in (doc, begin, n, anchor, own))
+                part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                doc, begin, n, anchor = stretches(part, own, length, gram)
+                at = own[doc] + begin
+                one, two = digests(part, at, at + n - 1 + length).T
+                order = np.lexsort((begin, two, one, anchor, doc))
+                doc, begin, n, anchor, one, two = (x[order] for x in (doc, begin, n, anchor, one, two))
                 new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | (n[1:] != n[:-1])
+                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
                 first = np.flatnonzero(new)
                 rows = pa.array(doc[first] + i)
                 begins = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(begin.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(anchor[first]), pa.array(own[first]), begins, pa.array(n[first].astype(np.int32))], names=["id", "key", "anchor", "own", "begins", "n"])
-
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, anchor long, own long, begins array<int>, n int")
-
-
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The rank in suffix order of data[s:s + length] for each start, by prefix doubling; equal strings have equal ranks."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]
-    rank = np.unique(np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64), return_inverse=True)[1]
-    have = 8
-    while have < length:
-        step = min(have, length - have)
-        at = np.minimum(np.arange(len(data)) + step, len(data) - 1) if have + step < length else None
-        if at is not None:
-            rank = np.unique(rank.astype(np.int64) << 32 | rank[at], return_inverse=True)[1]
-        else:
-            return np.unique(rank[starts].astype(np.int64) << 32 | rank[starts + step], return_inverse=True)[1]
-        have += step
-    return np.unique(rank[starts], return_inverse=True)[1]
-
-
-def previous_factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix, numbered by position, has an earlier and a later match of the ranked length.
-
-    In suffix order with ties by position, matches of the full length stand side by side, so the previous smaller
-    position with such a match is the left neighbour of equal rank, and the next larger one the right neighbour.
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(anchor[first]), pa.array(one[first]), pa.array(two[first]), begins, pa.array(n[first].astype(np.int32))], names=["id", "key", "anchor", "own1", "own2", "begins", "n"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, anchor long, own1 long, own2 long, begins array<int>, n int")
+
+
+class Suffixes:
+    """Ranks of the strings of 1, 2, 4, ... bytes at each place of data, which compare any two suffixes in a few steps."""
+
+    def __init__(self, data: np.ndarray, length: int) -> None:
+        self.length, self.levels = length, []
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        rank, have = np.zeros(0), 1
+        while have <= length:
+            if have <= 8:  # so many bytes as one number
+                rank = np.ndarray((len(data),), f">u{have}", padded, strides=(1,)).astype(np.uint64)
+            else:
+                half = have // 2
+                after = np.append(rank[half:] + np.uint64(1), np.zeros(min(half, len(rank)), np.uint64))
+                rank = rank << np.uint64(32) | after
+            if have >= 8:
+                rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+            self.levels.append((have, rank))
+            have *= 2
+
+    def order(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts in suffix order as far as length bytes, equal ones by position, and their ranks."""
+        have, rank = self.levels[-1]
+        key = rank[starts] << np.uint64(32) | rank[starts + self.length - have]
+        own = np.unique(key, return_inverse=True)[1]
+        return np.argsort(own, kind="stable"), own
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at i and j have in common, as far as length."""
+        out = np.zeros(len(i), np.int64)
+        last = len(self.levels[0][1]) - 1
+        for size, rank in reversed(self.levels):
+            a, b = np.minimum(i + out, last), np.minimum(j + out, last)
+            out += np.where((out + size <= self.length) & (rank[a] == rank[b]), size, 0)
+        return out
+
+
+def smaller(x: np.ndarray) -> np.ndarray:
+    """For each place of x the nearest one before it that holds less, or -1; pointers are followed, all at once."""
+    p = np.arange(len(x)) - 1
+    live = np.arange(len(x))
+    while len(live):
+        live = live[p[live] >= 0]
+        live = live[x[p[live]] > x[live]]
+        p[live] = p[p[live]]
+    return p
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor of each suffix at starts (increasing), as far as length bytes, and whether a later
+    one matches it so far.
+
+    The longest match that starts earlier is with the previous or the next smaller position in suffix order. A suffix
+    whose right neighbour in that order agrees on all length bytes has a later match.
     """
-    order = np.argsort(rank, kind="stable")
+    n = len(starts)
+    suffixes = Suffixes(data, length)
+    order, rank = suffixes.order(starts)
+    before = smaller(order)
+    after = n - 1 - smaller(order[::-1])[::-1]
+    factor = np.zeros(n, np.int64)
+    for found, near in ((before >= 0, before), (after < n, after)):
+        at = np.flatnonzero(found)
+        factor[at] = np.maximum(factor[at], suffixes.common(starts[order[at]], starts[order[near[at]]]))
+    longest, later = np.empty(n, np.int64), np.zeros(n, bool)
+    longest[order] = factor
     same = rank[order[1:]] == rank[order[:-1]]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:][same]] = True
     later[order[:-1][same]] = True
-    return earlier, later
+    return longest, later
 
 
 def _runs(flags: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +208,8 @@ def matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         n = np.diff(offs) - length + 1
         row = np.repeat(np.arange(len(n)), n)
         inside = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        earlier, later = previous_factors(suffix_ranks(data, offs[row] + inside, length))
+        factor, later = previous_factors(data, offs[row] + inside, length)
+        earlier = factor >= length
         # Without keep_first, all windows of a stretch of several copies are known to be repeated.
         flags = earlier if keep_first else (earlier | later) & (t.column("copies").to_numpy() == 1)[row]
         at, size = _runs(flags, row)
@@ -182,7 +244,7 @@ def matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 
 def _extracted(found: DataFrame, length: int, crowded: bool) -> DataFrame:
-    """The bytes of the marked stretches of documents, or of crowded ones two hashes of each window."""
+    """The bytes of the marked stretches of documents, or of crowded ones the digest of each window."""
     kind = dict(found.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +263,9 @@ def _extracted(found: DataFrame, length: int, crowded: bool) -> DataFrame:
                 if crowded:
                     w = np.repeat(np.arange(len(at)), n[part])
                     o = np.arange(len(w)) - np.repeat(np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part]) if len(at) else w
-                    values = BYTE_VALUES[buf[offs[s] : offs[e]]]
-                    a = at[w] + o - offs[s]
-                    one, two = span_hashes(values, a, a + length), span_hashes(mix(values), a, a + length)
+                    one, two = digests(buf, at[w] + o, at[w] + o + length).T
                     own = pa.array(doc[w])
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("id").take(own), batch.column("key").take(own), pa.array((begin[part][w] + o).astype(np.int32)), pa.array(copies[part][w])], names=["one", "two", "id", "key", "begin", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one.copy()), pa.array(two.copy()), batch.column("id").take(own), batch.column("key").take(own), pa.array((begin[part][w] + o).astype(np.int32)), pa.array(copies[part][w])], names=["one", "two", "id", "key", "begin", "copies"])
                 else:
                     data = [buf[x : x + y].tobytes() for x, y in zip(at.tolist(), (n[part] + length - 1).tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), batch.column("id").take(rows), batch.column("key").take(rows), pa.array(begin[part]), pa.array(copies[part]), pa.array(data, pa.binary())], names=["anchor", "id", "key", "begin", "copies", "bytes"])
@@ -226,34 +286,33 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     Removed is each byte that a string of `length` bytes covers which also starts elsewhere, in the same document or
     another; with keep_first only where such a string starts earlier (by id, null last, then a hash of the text, then
     place). Strings are judged on the whole UTF-8 input and never span documents. Null texts are empty; shorter texts
-    keep everything; repeated rows are copies of each other (with keep_first they are judged as one); an empty table
-    gives no rows; other columns aren't read. A stretch's own 64-bit hash is only compared under an equal 64-bit
-    anchor; all other matches are of whole strings, or of 128-bit hashes where an anchor is crowded.
+    keep everything; very long texts are cut into overlapping pieces, so nothing is missed; repeated rows are copies of
+    each other (with keep_first they are judged as one); an empty table gives no rows; other columns aren't read.
+    Nothing is removed on the word of a plain hash: bytes are compared, in suffix order, or 128-bit BLAKE2b digests of
+    whole stretches and, where more than `crowd` different stretches share an anchor, of windows.
     """
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    all_ = anchored(docs.where(F.octet_length("text") >= length), length, gram)
+    long = docs.where(F.octet_length("text") >= length)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("begins")[0].alias("begin"))
-    more = [F.min(order).alias("first")] if keep_first else []
-    flagged = settle(all_.groupBy("anchor").agg(F.sum(F.size("begins")).alias("size"), F.min("own").alias("a"), F.max("own").alias("b"), *more).where("size > 1").withColumn("equal", F.col("a") == F.col("b")).drop("a", "b", "size"))
-    shared = all_.join(flagged, "anchor")
-    shared = shared.groupBy("id", "key", "anchor", "own", "begins", "n", "equal", *(["first"] if keep_first else [])).agg((F.count("*") * F.size("begins")).alias("copies"))
-    # Where all stretches of an anchor are equal, all (but the first) are repeated.
-    rest = lambda first: F.when(first, F.slice("begins", F.lit(2), F.greatest(F.lit(0), F.size("begins") - 1))).otherwise(F.col("begins"))
-    none = F.lit(None).cast("struct<begin: int, n: int, anchor: bigint, copies: bigint>")
-    equal = shared.where("equal").select("id", "key", (rest(F.col("first") == order) if keep_first else F.col("begins")).alias("sure"), "n", none.alias("mark"), F.lit(False).alias("crowded"))
-    # Elsewhere so are the copies of a stretch; one of each different stretch is compared with the others.
-    alike = Window.partitionBy("anchor", "own")
-    mixed = shared.where("not equal").withColumn("rank", F.row_number().over(alike.orderBy(order))).withColumn("copies", F.sum("copies").over(alike))
-    mixed = mixed.withColumn("different", F.sum((F.col("rank") == 1).cast("long")).over(Window.partitionBy("anchor")))
-    lone = (F.col("rank") == 1) if keep_first else (F.col("copies") == 1)
-    mark = F.when(F.col("rank") == 1, F.struct(F.col("begins")[0].alias("begin"), "n", "anchor", "copies"))
-    sure = rest(lone) if keep_first else F.when(~lone, F.col("begins")).otherwise(F.array().cast("array<int>"))
-    mixed = mixed.select("id", "key", sure.alias("sure"), "n", mark.alias("mark"), (F.col("different") > crowd).alias("crowded"))
+    flagged = settle(anchors(long, length, gram).groupBy("anchor").agg(F.sum("size").alias("size")).where("size > 1").select("anchor"))
+    # Tables, so that adaptive execution splits the joins at a hot anchor or stretch.
+    shared = table(anchored(long, length, gram).join(flagged, "anchor").groupBy("id", "key", "anchor", "own1", "own2", "begins", "n").agg((F.count("*") * F.size("begins")).alias("own")), "stretches")
+    place = ["anchor", "own1", "own2"]
+    alike = table(shared.groupBy(*place).agg(F.sum("own").alias("copies"), F.min(order).alias("first")), "different")
+    crowds = table(alike.groupBy("anchor").agg(F.count("*").alias("different")), "crowds")
+    alike = table(alike.join(crowds, "anchor").where("copies > 1 or different > 1"), "alike")
+    rows = shared.join(alike, place)
+    # All copies of a stretch are repeated (but the first); one of each different stretch is compared with the others.
+    first = F.col("first") == order
+    rest = F.slice("begins", F.lit(2), F.greatest(F.lit(0), F.size("begins") - 1))
+    sure = F.when(first, rest).otherwise(F.col("begins")) if keep_first else F.when(F.col("copies") > 1, F.col("begins")).otherwise(F.array().cast("array<int>"))
+    mark = F.when(first & (F.col("different") > 1), F.struct(F.col("begins")[0].alias("begin"), "n", "anchor", "copies"))
+    told = rows.select("id", "key", sure.alias("sure"), "n", mark.alias("mark"), (F.col("different") > crowd).alias("crowded"))
     own = lambda c, x: F.filter(F.collect_list(F.when(c, x)), lambda y: y.isNotNull())
     window = F.struct("begin", "n")
     placed = F.struct("sure", "n")
     marks = settle(
-        equal.unionByName(mixed).groupBy("id", "key").agg(own(F.size("sure") > 0, placed).alias("sure"), own(~F.col("crowded"), F.col("mark")).alias("marks"), own(F.col("crowded"), F.col("mark")).alias("crowded"))
+        told.groupBy("id", "key").agg(own(F.size("sure") > 0, placed).alias("sure"), own(~F.col("crowded"), F.col("mark")).alias("marks"), own(F.col("crowded"), F.col("mark")).alias("crowded"))
     )
     sure = F.flatten(F.transform("sure", lambda x: F.transform(x["sure"], lambda y: F.struct(y.alias("begin"), x["n"].alias("n")))))
 

@@ -17,15 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import shared
+from marlstone.llm.common import shared, table
 
 VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of a record's block before it continues in a further record, and of a chunk of the transfer framing.
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 4 << 10
-#: Payload bytes of an archive, where there is enough for one archive a core.
-ARCHIVE_BYTES = 256 << 20
-
 
 #: Bytes of records that a Python worker gathers before it hands them on.
 HELD_BYTES = 4 << 20
@@ -96,19 +93,22 @@ def records(key: str, page: int | None, url: str | None, payload: bytes, digest:
         yield _header([("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", own), *kind, ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", total), ("Content-Length", len(part))]) + part
 
 
-def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Gzipped WARC files below path, a record per row, longer blocks in segments.
 
     Of rows with equal payloads of at least least_bytes, that with the smallest id is the response and the others are
     revisits of it; smaller ones are all responses. A null payload is empty. Rows that repeat the smallest id are
     responses too, so none is lost; a row with a null id revisits the smallest id of its payload, or is a response if
-    there is none. An empty table gives no record. Archives are not many small files: their number follows archive_bytes. The join on the digest is split by Spark where one payload is hot.
+    there is none. An empty table gives no record. Very long payloads are records in segments; columns besides the three
+    aren't read. Payloads are equal when their SHA-256 is. The join is split by adaptive execution where one payload is
+    hot, and each of its tasks writes an archive, so their number follows the bytes shuffled.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
-    keys = pages.select(F.col(id).cast("long").alias("id"), body.alias("body")).select("id", F.sha1("body").alias("sha1"), F.octet_length("body").alias("n"))
-    firsts = keys.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
-    planned = rows.join(firsts, "sha1", "left").withColumn("refers", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first"))).select("id", "url", "body", "refers")
+    own = F.sha2(body, 256)  # the header's SHA-1 can be forged
+    rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"), own.alias("own"))
+    keys = pages.select(F.col(id).cast("long").alias("id"), own.alias("own"), F.octet_length(body).alias("n"))
+    firsts = keys.where(F.col("n") >= least_bytes).groupBy("own").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
+    planned = rows.join(table(firsts, "firsts"), "own", "left").withColumn("refers", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first"))).select("id", "url", "body", "refers")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, part = 0, TaskContext.get().partitionId()
@@ -123,9 +123,7 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    size = pages.agg(F.sum(F.octet_length(F.col(payload)))).first()[0] or 0
-    files = max(pages.sparkSession.sparkContext.defaultParallelism, size // archive_bytes)
-    archives = planned.coalesce(files).mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
+    archives = planned.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
     archives.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 

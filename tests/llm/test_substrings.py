@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from helpers import ODD, empty, odd, prose
+from helpers import ODD, empty, odd, prose, thue_morse
 from marlstone.llm import substrings as m
 
 
@@ -75,19 +75,30 @@ def test_long_texts_in_pieces(spark):
 def test_suffix_order_and_previous_factors():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 400).astype(np.uint8)
-    for length in (8, 9, 16, 20, 25):
+    for length in (3, 4, 7, 8, 9, 16, 20, 25):
         starts = np.arange(len(data) - length + 1)
-        rank = m.suffix_ranks(data, starts, length)
         texts = [data[s : s + length].tobytes() for s in starts]
-        order = {t: k for k, t in enumerate(sorted(set(texts)))}
-        assert [order[t] for t in texts] == rank.tolist()
-        earlier, later = m.previous_factors(rank)
-        assert earlier.tolist() == [t in texts[:k] for k, t in enumerate(texts)]
+        order, rank = m.Suffixes(data, length).order(starts)
+        assert [texts[k] for k in order] == sorted(texts)
+        factor, later = m.previous_factors(data, starts, length)
+        common = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+        assert factor.tolist() == [max((common(t, x) for x in texts[:k]), default=0) for k, t in enumerate(texts)]
         assert later.tolist() == [t in texts[k + 1 :] for k, t in enumerate(texts)]
 
 
+def test_previous_smaller():
+    rng = np.random.default_rng(5)
+    for x in (rng.permutation(300), np.arange(300), np.arange(300)[::-1]):
+        assert m.smaller(x).tolist() == [max((j for j in range(k) if x[j] < x[k]), default=-1) for k in range(len(x))]
+
+
+@pytest.mark.parametrize("crowd", [m.CROWD, 1])
+def test_stretches_that_agree_in_a_polynomial_are_different(spark, crowd):
+    """Alternating patterns, whose difference any hash by powers of an odd base modulo 2^64 misses."""
+    docs = [(k, "shared head of both texts, " * 5 + w) for k, w in enumerate(thue_morse())]
+    assert rows(m.repeats(spark.createDataFrame(docs, "doc_id long, text string"), crowd=crowd)) == brute(docs, 200)
+
+
 def test_empty(spark):
     assert m.repeats(empty(spark)).count() == 0
     assert m.repeats(odd(spark).where("doc_id = 6")).count() == 3
-
-
