@@ -31,26 +31,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _guarded(docs, lambda d: classify(d).where("accepted"))
 
 
-def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _kept(docs: DataFrame, name: str, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs that judge() keeps, for judges that choose by the smallest id.
 
-    docs is a table that is read as it was written, so a row has the same number in both scans; ids that repeat or are
-    missing do no harm. What is dropped is the smaller side of the join.
+    Rows are numbered once, in a table that both the judge and the join read: however a scan is split, or which
+    executors come and go, a row keeps its number. Ids that repeat or are missing do no harm. What is dropped is the
+    smaller side of the join.
     """
-    row = F.monotonically_increasing_id()
-    judged = judge(docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("row")).alias("place"), "text"))
-    drop = judged.where("not kept").select(F.col("place.row").alias("gone"))
-    return docs.withColumn("__row", row).join(drop, F.col("__row") == F.col("gone"), "left_anti").drop("__row")
+    safe = [c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(docs.columns)]
+    rows = table(docs.toDF(*safe).withColumn("__row", F.monotonically_increasing_id()), f"{name}_rows")
+    judged = judge(rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row")).alias("place"), "text"))
+    drop = judged.where("not kept").select(F.col("place.row").alias("__row"))
+    return rows.join(drop, "__row", "left_anti").select(safe).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of equal texts the document with the smallest id stays."""
-    return _kept(docs, lambda d: exact_dedup(d, id="place"))
+    return _kept(docs, "exact", lambda d: exact_dedup(d, id="place"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of documents that links of a Jaccard similarity of 0.8 or more connect, the smallest id stays."""
-    return _kept(docs, lambda d: jaccard_join(d, id="place"))
+    return _kept(docs, "near", lambda d: jaccard_join(d, id="place"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from helpers import ODD, empty, odd
+from helpers import ODD, empty, odd, prose
 from marlstone.llm import exact_dedup as m
 
 
@@ -25,17 +27,36 @@ def test_odd_rows_against_brute_force(spark):
         assert r.keep_id == (min(ids) if ids else None)
 
 
+def cut(spark, texts):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", m.chunks(F.col("t")).alias("c")).collect()
+    return [r.c for r in sorted(rows)]
+
+
 def test_chunks_are_the_text(spark):
-    for text in (norm(t) for _, t in ODD):
-        parts = spark.createDataFrame([(text,)], "t string").select(m.chunks(F.col("t"))).first()[0]
-        assert "".join(parts) == text and all(0 < len(p) <= m.MOST + 2 for p in parts)
+    texts = [norm(t) for _, t in ODD]
+    for text, parts in zip(texts, cut(spark, texts)):
+        assert "".join(parts).encode("latin-1") == text.encode() and all(0 < len(p) <= m.MOST for p in parts)
+
+
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyz ", "0123456789", "01", "ACGT", "0123456789abcdef", "".join(map(chr, range(0x4E00, 0x5E00))), "".join(map(chr, range(0xAC00, 0xB400))), "".join(map(chr, range(0x410, 0x450))), "".join(map(chr, range(33, 127)))]
+
+
+@pytest.mark.parametrize("k", range(len(ALPHABETS)))
+def test_an_insertion_changes_few_chunks_in_any_script(spark, k):
+    rng = random.Random(k)
+    text = "".join(rng.choice(ALPHABETS[k]) for _ in range(100_000))
+    at = 30_000
+    one, other = cut(spark, [text, text[:at] + ALPHABETS[k][0] * 3 + text[at:]])
+    assert len(one) > 40 and len(set(other) - set(one)) <= 8
 
 
-def test_an_identifier_that_collides_is_passed_over(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "one two"), (2, "three"), (3, "three")], "doc_id long, text string")
-    assert m.collide(docs, "text", lambda c: F.lit(7).cast("long"))
-    monkeypatch.setattr(m, "IDENTIFIERS", (lambda c: F.length(c) * 0, lambda c: F.xxhash64(c), lambda c: F.sha2(c, 256)))
-    assert sorted((r.doc_id, r.keep_id) for r in m.exact_dedup(docs).collect()) == [(1, 1), (2, 2), (3, 2)]
+def test_chunks_that_share_an_identifier_are_told_apart(spark):
+    rows = [(1, prose(1, 900)), (2, prose(2, 900)), (3, prose(2, 900)), (4, None), (5, prose(3, 5)), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in (lambda c: F.lit(b"7"), lambda c: F.unhex(F.lpad((F.length(c) % 3).cast("string"), 2, "0"))):
+        assert not m.collisions(docs, "text", name).isEmpty()
+        assert sorted((r.doc_id, r.keep_id, r.kept) for r in m.exact_dedup(docs, name=name).collect()) == [(1, 1, True), (2, 2, True), (3, 2, False), (4, 4, True), (5, 5, True), (6, 4, False)]
+    assert m.collisions(docs, "text", m.identifier).isEmpty()
 
 
 def test_empty(spark):
