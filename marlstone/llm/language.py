@@ -17,6 +17,8 @@ from marlstone.llm.common import ALNUM, steps, text_buffers
 DIMENSIONS = 1 << 12
 #: Most documents of a language that its centroids are fitted on; centroids of a language.
 SAMPLE, CENTROIDS = 400, 4
+#: Most languages of a model: its centroids, 16 kB each, are sent to all tasks.
+LANGUAGES = 2000
 #: A text is rejected below this share of the least similarity that a centroid has to its own sample.
 MARGIN = 0.8
 
@@ -111,15 +113,19 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, per: int = CENTROIDS) -> Languages | None:
-    """A model from documents with a language; None if there are none.
+    """A model from documents with a language; None if there are none. More than LANGUAGES languages raise.
 
     Document frequencies cover all of them; centroids are fitted on about `sample` of each language, chosen by a hash
-    (and never on more than twice as many of one language; equal texts of a language count once). The number of languages is taken to be small.
+    (and never on more than twice as many of one language; equal texts of a language count once, so repeated rows and
+    ties in the hash change nothing), in a task for each language. Null texts and texts without letters aren't fitted
+    on; very long texts count whole; other columns aren't read.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     df, n = document_frequencies(known, "text")
     idf = np.log((1 + n) / (1 + df)) + 0.1
     cut = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1 << 30, int((sample << 30) / v) + 1))) for k, v in sizes.items()))
@@ -128,22 +134,28 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     some = some.withColumn("place", place).where(F.col("place") <= 2 * sample).select("text", "lang")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("v", T.BinaryType())])
     as_rows = lambda buf, offs: [pa.array([x.tobytes() for x in vectors(buf, offs, idf)], pa.binary())]
-    got = _mapped(some, "text", schema, ["lang"], as_rows).orderBy("lang", "v").toArrow()
-    rows = np.frombuffer(b"".join(got["v"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
-    label = np.array(got["lang"].to_pylist(), object)
-    rows, label = rows[rows.any(1)], label[rows.any(1)]
-    names = sorted(set(label))
+
+    def cluster(group: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(sorted(group["v"].to_pylist())), np.float32).reshape(-1, DIMENSIONS)
+        rows = rows[rows.any(1)]
+        c, least = centroids(rows, per) if len(rows) else (rows, np.zeros(0))
+        return pa.table([pa.array([group["lang"][0].as_py()] * len(c), pa.string()), pa.array([x.astype(np.float32).tobytes() for x in c], pa.binary()), pa.array(least.astype(float))], names=["lang", "centre", "least"])
+
+    got = _mapped(some, "text", schema, ["lang"], as_rows).groupBy("lang").applyInArrow(cluster, "lang string, centre binary, least double").orderBy("lang", "centre").collect()
+    names = sorted({r["lang"] for r in got})
     if not names:
         return None
-    found = [centroids(rows[label == k], per) for k in names]
-    return Languages(names, idf, np.concatenate([c for c, _ in found]), np.repeat(np.arange(len(names)), [len(c) for c, _ in found]), np.concatenate([m for _, m in found]))
+    centres = np.frombuffer(b"".join(bytes(r["centre"]) for r in got), np.float32).reshape(-1, DIMENSIONS)
+    return Languages(names, idf, centres, np.array([names.index(r["lang"]) for r in got]), np.array([r["least"] for r in got]))
 
 
 def identify(docs: DataFrame, model: Languages | None, text: str = "text") -> DataFrame:
     """docs with lang_pred (a learned language; `und` if the text is null or has no letter), score (cosine to the
     nearest centroid, 0 for `und`) and rejected (too far from that centroid). Only the text is looked at.
 
-    A text of letters with nothing learned is `und` too. Columns with the new names are replaced.
+    A text of letters with nothing learned is `und` too. A very long text is looked at whole; equal texts and repeated
+    rows get equal answers, and of equally near centroids the first (by language) wins. An empty table gives no rows.
+    Columns with the new names are replaced.
     """
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     docs = docs.drop(*(f.name for f in new))

@@ -15,6 +15,8 @@ from marlstone.llm.common import BLANK, BYTE_VALUES, Words, span_hashes, steps,
 
 #: Most documents that the scorer is fitted on, chosen by a hash; accuracies and patterns cover all documents.
 SAMPLE = 20_000
+#: Most features (16 bytes each) of those documents together.
+FEATURES = 4_000_000
 #: Dimensions of the hashed features, and the score from which a document is accepted.
 DIMENSIONS, ACCEPT = 1 << 14, 0.5
 
@@ -46,7 +48,7 @@ class Texts:
         w = self.words
         same = np.zeros(len(w), bool)
         if len(w):
-            same[1:] = (w.hash[1:] == w.hash[:-1]) & (self.doc[1:] == self.doc[:-1])
+            same[1:] = (w.head[1:] == w.head[:-1]) & (w.tail[1:] == w.tail[:-1]) & (self.doc[1:] == self.doc[:-1])
         self.same = same
         last = buf[w.end - 1] if len(w) else np.zeros(0, np.uint8)
         self.stops, self.symbolic = _stop[last], _symbol[last]
@@ -203,8 +205,9 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: in
     its votes), score (the linear scorer's) and accepted (score >= accept).
 
     Votes are counted for all documents (3^10 patterns at most reach the driver); the scorer is fitted on at most
-    `sample` of them. Null and empty texts have a size vote against them and no features, so their score is the
-    bias; equal texts get equal scores; columns with the new names are replaced; an empty table gives no rows.
+    `sample` of them, with FEATURES features at most, in the order of a hash of id and text. Null and empty texts have a
+    size vote against them and no features, so their score is the bias; a very long text is judged whole; equal texts
+    get equal scores; columns with the new names are replaced; an empty table gives no rows.
     """
     votes = _scan(docs.select(F.col(text).alias("text")), "text", lambda t: [pattern(t.votes())], [T.StructField("pattern", T.LongType())])
     found = votes.groupBy("pattern").agg(F.count("*").alias("n")).collect()
@@ -212,14 +215,17 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: in
     weak = expectation_maximisation(patterns, counts)
 
     cut = min(1 << 20, int((sample << 20) / max(1, counts.sum())))
-    some = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("h")).where(F.pmod("h", F.lit(1 << 20)) < cut).select("text")
+    some = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("h")).where(F.pmod("h", F.lit(1 << 20)) < cut)
 
     def sparse(t: Texts) -> list:
         doc, dim, weight = t.features()
         return [pattern(t.votes()), _lists(doc, dim, len(t.n_words)), _lists(doc, weight, len(t.n_words))]
 
     lists = [T.StructField("pattern", T.LongType()), T.StructField("dim", T.ArrayType(T.LongType())), T.StructField("weight", T.ArrayType(T.DoubleType()))]
-    got = _scan(some, "text", sparse, lists).select("pattern", "dim", "weight").limit(2 * sample).toArrow()
+    # in the order of the hash, so that a task that runs again gives the same model
+    some = table(_scan(some, "text", sparse, lists).select("h", "pattern", "dim", "weight"), "sample")
+    sizes = [r["n"] for r in some.select("h", F.size("dim").alias("n")).orderBy("h", "n").limit(sample).collect()]
+    got = some.orderBy("h", F.size("dim")).limit(int((np.cumsum([0, *sizes])[1:] <= FEATURES).sum())).toArrow()
     sizes = np.array([len(x) for x in got["dim"]], np.int64)
     flat = lambda c: np.concatenate([np.zeros(0), *(x.flatten().to_numpy() for x in got[c].chunks)])
     linear = fit_linear(np.repeat(np.arange(len(sizes)), sizes), flat("dim").astype(np.int64), flat("weight"), weak.posterior(got["pattern"].to_numpy().astype(np.int64)))

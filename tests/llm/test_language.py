@@ -1,4 +1,10 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -15,9 +21,60 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_folds(spark):
-    import zlib
+def grams(text):
+    """How often each dimension's n-grams occur."""
+    data = re.sub(rb"[^a-z\x80-\xff]+", b" ", (text or "").encode().lower())
+    out = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(data) - n + 1):
+            out[(int.from_bytes(bytes([n]) + data[k : k + n].replace(b" ", b"\0"), "big") * 0x9E3779B97F4A7C15 % 2**64) >> 52] += 1
+    return out
+
 
+def test_query_against_brute_force(spark):
+    """Vectors by dictionaries and k-means by plain loops, over a corpus that is its own sample."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    held = {r.doc_id for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    known = [(grams(r.text), r.text, r.lang) for r in docs if r.doc_id not in held and r.lang is not None and r.text is not None]
+    df = Counter(k for g, _, _ in known for k in g)
+    idf = [math.log((1 + len(known)) / (1 + df[k])) + 0.1 for k in range(m.DIMENSIONS)]
+
+    def vector(g):
+        v = np.zeros(m.DIMENSIONS)
+        for k, n in g.items():
+            v[k] = math.log1p(n) * idf[k]
+        return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
+
+    model = []
+    for lang in sorted({x for _, _, x in known}):
+        texts = {t: g for g, t, x in known if x == lang}
+        rows = sorted((vector(g) for g in texts.values() if g), key=lambda v: v.tobytes())
+        centres = [rows[0]]
+        while len(centres) < min(m.CENTROIDS, len(rows)):
+            centres.append(min(rows, key=lambda v: max(float(v @ c) for c in centres)))
+        for _ in range(15):
+            own = [max(range(len(centres)), key=lambda j: float(v @ centres[j])) for v in rows]
+            sums = [sum((v for v, o in zip(rows, own) if o == j), np.zeros(m.DIMENSIONS, np.float32)) if j in own else centres[j] for j in range(len(centres))]
+            centres = [s / max(float(np.linalg.norm(s)), 1e-12) for s in sums]
+        model += [(lang, c) for c in centres]
+    got = op9_language(spark, SMALL).collect()
+    assert len(got) == len(docs)
+    by_id = {r.doc_id: r for r in docs}
+    for r in got:
+        text = by_id[r.doc_id].text
+        near = sorted(((float(vector(grams(text)) @ c), lang) for lang, c in model), reverse=True)
+        letters = any(c.isalpha() for c in text or "")
+        assert r.held_out == (r.doc_id in held) and r.score == pytest.approx(near[0][0] if letters else 0, abs=2e-3)
+        assert r.lang_pred == (near[0][1] if letters else "und") or near[0][0] - near[1][0] < 2e-3
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(m, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        m.fit(spark.createDataFrame([(k, "abc", f"l{k}") for k in range(3)], "doc_id long, text string, lang string"))
+
+
+def test_folds(spark):
     got = spark.range(50).select("id", m.fold(F.col("id"), 4).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in got)
 
