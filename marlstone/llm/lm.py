@@ -1,61 +1,58 @@
-"""A word trigram model in an Elias-Fano trie, counted over the whole corpus, and scores of texts under it."""
+"""A word trigram model in Elias-Fano tries, counted over the whole corpus, and scores of texts under it.
+
+The model is dealt to shards and nothing of it is broadcast. Texts are gathered in blocks; a block asks with its distinct
+words, pairs and triples, and says what training adds to their counts. Words come first: shards of words count them and
+number those of the model, the frequent ones low. Pairs and triples then travel as numbers, sorted, a few bytes each. A
+shard of pairs sums them, makes its trie (first words, their successors, the successors of pairs) and answers.
+"""
 
 from __future__ import annotations
 
 import gc
 import math
+import mmap
 import os
 import pickle
-import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BLANK, Words, mix, settle, steps, table, text_buffers
+from marlstone.llm.common import BLANK, Words, distinct, mix, steps, table, text_buffers
 
-#: An n-gram that stands so often is in the model, at every size of the corpus.
+#: An n-gram that stands so often in training is in the model, at every size of the corpus.
 LEAST = 2
-#: The share of all tokens that an n-gram must make up besides, to be in the trie of train(): none.
-SHARE = 0.0
 #: Taken from each count of an n-gram and given to what its context hasn't been seen with.
 DISCOUNT = 0.75
-#: Words of the corpus up to which all counts are broadcast; beyond it those of rare words are joined.
-BROADCAST_WORDS = 8_000_000
-#: The token behind the last word of a text.
+#: The hash of the token behind the last word of a text; its key is that of no word.
 END = np.uint64(0x5EED0FE2D0F7E875)
-#: Tokens that a task counts before it hands the counts on.
-HELD = 4_000_000
-#: Bytes of text in a block, whose distinct n-grams are looked up together, and of all texts for each shard of the model.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 6 << 20
-#: Shards of pairs and triples for each shard of words.
-PER_WORDS = 8
-#: Steps of log10 between the 8-bit codes of a shard's chances, the same in all shards; the last code stands for none.
+#: Bytes of text in a block, and of all texts for each shard of pairs and for each shard of words.
+BLOCK_BYTES, SHARD_BYTES, WORD_BYTES = 8 << 20, 6 << 20, 32 << 20
+#: Steps of log10 between the 8-bit codes of chances, the same in all shards; the last code stands for none.
 STEP, NONE = 0.0375, 255
 
+_COUNTS = np.array([b.bit_count() for b in range(256)], np.uint8)
+#: Where the k-th one of a byte is.
+_PLACE = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
+
 
 class EliasFano:
-    """Increasing integers: low bits in a packed array, high bits in unary. The buffers may be memory-mapped."""
+    """Increasing integers: low bits in a packed array, high bits in unary, and how many ones stand before each word of
+    them, a byte for every two. All three arrays may lie in mapped memory."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        # Directories of the ones and zeros, made when a level is opened.
-        self.ones = np.flatnonzero(bits)[:n].astype(np.int64)
-        zeros = np.flatnonzero(bits == 0)
-        self.starts = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int64)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
         low_bits = max(0, int(math.floor(math.log2(top / n)))) if n else 0
         values = values.astype(np.uint64)
-        high = np.zeros(n + (top >> low_bits) + 2, np.uint8)
-        high[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
+        bits = np.zeros(-(-(n + (top >> low_bits) + 2) // 64) * 64, np.uint8)
+        bits[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
         low = np.zeros((n * low_bits + 63) // 64 + 1, np.uint64)
         at = np.arange(n, dtype=np.uint64) * np.uint64(low_bits)
         part = values & np.uint64((1 << low_bits) - 1)
@@ -63,7 +60,8 @@ class EliasFano:
         np.bitwise_or.at(low, word, part << shift)
         over = (shift + np.uint64(low_bits)) > 64
         np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-        return cls(n, low_bits, low, np.packbits(high, bitorder="little"))
+        high = np.packbits(bits, bitorder="little").view(np.uint64)
+        return cls(n, low_bits, low, high, np.append(0, np.cumsum(np.bitwise_count(high), dtype=np.uint32)).astype(np.uint32))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -73,33 +71,37 @@ class EliasFano:
         more = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.low[word] >> shift | more) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
+    def _select(self, i: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+        """Where the i-th one (or zero, with flip) of the high bits is; before: how many stand in front of each word."""
+        word = np.searchsorted(before, i, "right") - 1
+        rest = (i - before[word]).astype(np.uint8)
+        parts = self.high[word].view(np.uint8).reshape(-1, 8) ^ np.uint8(flip)
+        sums = np.cumsum(_COUNTS[parts], axis=1, dtype=np.uint8)
+        byte = (sums <= rest[:, None]).sum(1)
+        row = np.arange(len(i))
+        rest -= np.where(byte > 0, sums[row, byte - 1], 0).astype(np.uint8)
+        return word * 64 + byte * 8 + _PLACE[parts[row, byte], rest]
+
     def access(self, i: np.ndarray) -> np.ndarray:
-        return (self.ones[i] - i) << self.low_bits | self._low(i)
+        return (self._select(i, self.ones, 0) - i) << self.low_bits | self._low(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """For each x the place of the first value that is at least x, or n."""
-        h = np.minimum(x >> self.low_bits, len(self.starts) - 2)
+        if not self.n:
+            return np.zeros(len(x), np.int64)
+        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        h = np.minimum(x >> self.low_bits, len(self.high) * 64 - self.n - 1)
         low = x & ((1 << self.low_bits) - 1)
-        begin, end = self.starts[h].copy(), np.minimum(self.starts[h + 1], self.n)
-        while True:
-            live = np.flatnonzero(begin < end)
-            if not len(live):
-                return begin
+        start = lambda k: np.where(k > 0, self._select(np.maximum(k - 1, 0), zeros, 255) - np.maximum(k - 1, 0), 0)
+        begin, end = start(h), np.minimum(self._select(h, zeros, 255) - h, self.n)
+        live = np.flatnonzero(begin < end)
+        while len(live):
             mid = (begin[live] + end[live]) >> 1
             less = self._low(mid) < low[live]
             begin[live] = np.where(less, mid + 1, begin[live])
             end[live] = np.where(less, end[live], mid)
-
-
-def quantised(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """An 8-bit code for each value and the codebook; bins hold about equally many values."""
-    known = np.unique(values)
-    if len(known) <= levels:
-        return np.searchsorted(known, values).astype(np.uint8), known if len(known) else np.zeros(1)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, levels + 1)[1:-1]))
-    code = np.searchsorted(edges, values, "right")
-    total = np.bincount(code, minlength=len(edges) + 1)
-    return code.astype(np.uint8), np.bincount(code, values, len(edges) + 1) / np.maximum(1, total)
+            live = live[begin[live] < end[live]]
+        return begin
 
 
 class Level:
@@ -132,275 +134,39 @@ class Level:
         return out
 
 
-@dataclass
-class Counts:
-    """Frequent n-grams: hashes and counts of words (sorted by hash), and pairs and triples as (entry, word), sorted."""
-
-    tokens: int
-    words: int
-    hash: np.ndarray
-    count: np.ndarray
-    pairs: np.ndarray
-    pair_count: np.ndarray
-    triples: np.ndarray
-    triple_count: np.ndarray
-
-
-class Trie:
-    """Levels of the model; each array lies in one buffer, which to_bytes() gives and map() maps from a file."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
-        self.arrays = arrays
-        part = lambda name: EliasFano(int(arrays[f"{name}.n"][0]), int(arrays[f"{name}.n"][1]), arrays[f"{name}.low"], arrays[f"{name}.high"])
-        self.two, self.three = (Level(part(f"{k}.pointers"), part(f"{k}.ids")) for k in ("two", "three"))
-        self.hash, self.p1 = arrays["hash"], arrays["p1"]
-        self.index = np.searchsorted(self.hash, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
-
-    @classmethod
-    def build(cls, c: Counts) -> Trie:
-        n = len(c.hash)
-        p1 = (c.count + 0.1) / (c.tokens + 0.1 * (c.words + 1))
-        v, w = c.pairs // max(n, 1), c.pairs % max(n, 1)
-        seen = (c.pair_count - DISCOUNT) / c.count[v]
-        left2 = np.maximum(1 - np.bincount(v, seen, n), 1e-9)
-        p2 = seen + left2[v] * p1[w]
-        uv, x = c.triples // max(n, 1), c.triples % max(n, 1)
-        seen3 = (c.triple_count - DISCOUNT) / c.pair_count[uv]
-        left3 = np.maximum(1 - np.bincount(uv, seen3, len(v)), 1e-9)
-        vx = np.searchsorted(c.pairs, w[uv] * n + x)
-        p3 = seen3 + left3[uv] * p2[vx]
-        arrays = {"hash": c.hash, "p1": np.log10(p1)}
-        for name, level in (("two", Level.encode(v, w, n)), ("three", Level.encode(uv, x, len(v)))):
-            for k, ef in (("pointers", level.pointers), ("ids", level.ids)):
-                arrays |= {f"{name}.{k}.n": np.array([ef.n, ef.low_bits]), f"{name}.{k}.low": ef.low, f"{name}.{k}.high": ef.high}
-        for name, values in (("p2", p2), ("p3", p3), ("left2", left2), ("left3", left3)):
-            arrays[name], arrays[f"{name}.book"] = quantised(np.log10(values))
-        return cls(arrays)
-
-    def to_bytes(self) -> tuple[list[tuple[str, str, int, int]], bytes]:
-        """Name, type, offset and length of each array, and the buffer."""
-        parts, about, at = [], [], 0
-        for k, v in self.arrays.items():
-            data = np.ascontiguousarray(v).tobytes()
-            data += bytes(-len(data) % 8)
-            about.append((k, v.dtype.str, at, len(v)))
-            parts.append(data)
-            at += len(data)
-        return about, b"".join(parts)
-
-    @classmethod
-    def map(cls, about: list[tuple[str, str, int, int]], data: bytes) -> Trie:
-        """The trie over a memory-mapped file, which has no name any more and goes with the process."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data or bytes(8))
-            f.flush()
-            whole = np.memmap(f, np.uint8, "r")
-        return cls({k: whole[at : at + n * np.dtype(t).itemsize].view(t) for k, t, at, n in about})
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """The place of each hash among the frequent words, or -1."""
-        return lookup(self.hash, self.index, h)
-
-    def values(self, name: str, i: np.ndarray) -> np.ndarray:
-        return self.arrays[f"{name}.book"][self.arrays[name][i]]
-
-    def score(self, ids: np.ndarray, p1: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each token after up to two before it; first: whether it begins a text; p1: by itself."""
-        out = p1.copy()
-        before = np.concatenate([[-1], ids[:-1]])
-        before[first] = -1
-        some = np.flatnonzero(before >= 0)
-        if not len(some):
-            return out
-        entry = np.full(len(ids), -1, np.int64)
-        entry[some] = np.where(ids[some] >= 0, self.two.find(before[some], np.maximum(ids[some], 0)), -1)
-        hit = entry[some] >= 0
-        out[some[hit]] = self.values("p2", entry[some[hit]])
-        out[some[~hit]] += self.values("left2", before[some[~hit]])
-        pair = np.concatenate([[-1], entry[:-1]])
-        pair[first] = -1
-        some = np.flatnonzero(pair >= 0)
-        three = np.where(ids[some] >= 0, self.three.find(pair[some], np.maximum(ids[some], 0)), -1)
-        hit = three >= 0
-        out[some[hit]] = self.values("p3", three[hit])
-        out[some[~hit]] += self.values("left3", pair[some[~hit]])
-        return out
-
-
-def lookup(hashes: np.ndarray, index: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The place of each h in sorted hashes, or -1. index: where each value of the top 16 bits begins."""
-    if not len(hashes):
-        return np.full(len(h), -1, np.int64)
-    top = (h >> np.uint64(48)).astype(np.int64)
-    begin = index[top]
-    end = np.append(index[1:], len(hashes))[top]
-    rounds = int(np.max(np.diff(np.append(index, len(hashes))))).bit_length()
-    for _ in range(rounds):
-        mid = (begin + end) >> 1
-        less = (begin < end) & (hashes[np.minimum(mid, len(hashes) - 1)] < h)
-        end = np.where(less | (begin >= end), end, mid)
-        begin = np.where(less, mid + 1, begin)
-    at = np.minimum(begin, len(hashes) - 1)
-    return np.where(hashes[at] == h, at, -1)
-
-
-def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of texts, each with END behind its words, and the bounds of the texts."""
-    w = Words(buf, offs, BLANK)
-    n = len(offs) - 1
-    h = np.full(len(w) + n, END, np.uint64)
-    h[np.arange(len(w)) + w.document()] = w.hash
-    return h, w.bounds + np.arange(n + 1)
-
-
-def _counted(docs: DataFrame, keys) -> DataFrame:
-    """key, n: how often keys(hashes, first) gives each key, over all texts; counted in the task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+def mapped(*parts: EliasFano | np.ndarray) -> list:
+    """The parts with their arrays moved to one anonymous memory map, which no file stands behind."""
+    arrays = [x for p in parts for x in ((p.low, p.high, p.ones) if isinstance(p, EliasFano) else (p,))]
+    whole = mmap.mmap(-1, max(1, sum(-(-x.nbytes // 8) * 8 for x in arrays)))
+    at, moved = 0, []
+    for x in arrays:
+        view = np.frombuffer(whole, x.dtype, len(x), at)
+        view[:] = x
+        moved.append(view)
+        at += -(-x.nbytes // 8) * 8
+    each = iter(moved)
+    return [EliasFano(p.n, p.low_bits, next(each), next(each), next(each)) if isinstance(p, EliasFano) else next(each) for p in parts]
 
-        def summed() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-        for batch in batches:
-            buf, offs = text_buffers(batch.column(0))
-            for i, j in steps(offs):
-                h, bounds = tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                first = np.zeros(len(h), bool)
-                first[bounds[:-1]] = True
-                held.append(keys(h, first))
-                size += len(held[-1])
-                if size > HELD:
-                    yield summed()
-                    held, size = [], 0
-        yield summed()
-
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def packed(*arrays) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-def _sorted(df: DataFrame, unsigned: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    got = df.toArrow()
-    key = got["key"].to_numpy().astype(np.int64)
-    key = key.view(np.uint64) if unsigned else key
-    order = np.argsort(key)
-    return key[order], got["n"].to_numpy().astype(np.int64)[order]
 
+def unpacked(body: bytes) -> tuple:
+    return pickle.loads(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True))
 
-def train(texts: DataFrame, share: float = SHARE) -> tuple[Counts, DataFrame]:
-    """Frequent n-grams of a column of texts, and the counts of all words (key, n): a model that each task holds whole.
 
-    With a share it stays small whatever the corpus; without one use corpus_scores() for a corpus of any size.
-    Pairs are counted among frequent words only, triples among frequent pairs: no more frequent one can be missed, as
-    an n-gram is no more frequent than its parts. Each of the three lists has 1 / share entries at most.
-    """
-    vocabulary = settle(_counted(texts, lambda h, first: h.view(np.int64)))
-    total, words = vocabulary.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    least = max(LEAST, math.ceil(share * total))
-    hash_, count = _sorted(vocabulary.where(F.col("n") >= least), True)
-    context = texts.sparkSession.sparkContext
-    known = context.broadcast((hash_, np.searchsorted(hash_, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))))
-    n = len(hash_)
-
-    def pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = lookup(*known.value, h)
-        good = (ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]
-        return np.where(good, ids[:-1] * n + ids[1:], -1), ids
-
-    def only_pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        key = pairs(h, first)[0]
-        return key[key >= 0]
-
-    pair, pair_count = _sorted(_counted(texts, only_pairs).where(F.col("n") >= least))
-    frequent = context.broadcast(pair)
-
-    def triples(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        key, ids = pairs(h, first)
-        p = frequent.value
-        if not len(p):
-            return np.zeros(0, np.int64)
-        some = np.flatnonzero(key >= 0)
-        at = np.minimum(np.searchsorted(p, key[some]), len(p) - 1)
-        entry = np.full(len(key), -1, np.int64)
-        entry[some] = np.where(p[at] == key[some], at, -1)
-        good = (entry[:-1] >= 0) & (entry[1:] >= 0)
-        return (entry[:-1] * n + ids[2:])[good]
-
-    triple, triple_count = _sorted(_counted(texts, triples).where(F.col("n") >= least))
-    return Counts(int(total), int(words), hash_, count, pair, pair_count, triple, triple_count), vocabulary
-
-
-def score(docs: DataFrame, counts: Counts, vocabulary: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """docs, but for text, with n_tokens, n_known (tokens seen in training), train_tokens, base_score and score.
-
-    base_score adds up log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens; score is the log10 chance of the text
-    under the trigram model: seen n-grams by discounted counts, the rest of a context's chance by the next shorter
-    context, down to the base. Chances in the trie are quantised to 8 bits. A null or empty text is its end alone.
-    Counts of words that aren't in the trie come from a broadcast of all counts or, with more than broadcast_words
-    words, from a join with them; both give the same.
-    """
-    context = docs.sparkSession.sparkContext
-    trie = Trie.build(counts)
-    model = context.broadcast(trie.to_bytes())
-    scale = counts.tokens + 0.1 * (counts.words + 1)
-    joined = counts.words > broadcast_words
-    rare = context.broadcast(None if joined else _sorted(vocabulary, True))
-    new = ["n_tokens", "n_known", "base_score", "score"]
-    keep = [c for c in docs.columns if c not in (text, "train_tokens", *new)]
-    slim = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in slim.dtypes if c != "__text"), "n_tokens long, n_known long, base_score double, score double"]) + (", __tail array<struct<key: long, n: long>>" if joined else "")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.map(*model.value)
-        if not joined:
-            every, n = rare.value
-            index = np.searchsorted(every, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
-        for batch in batches:
-            buf, offs = text_buffers(batch.column("__text"))
-            for i, j in steps(offs):
-                h, bounds = tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                ids = trie.ids(h)
-                tail = np.flatnonzero(ids < 0)
-                p1 = np.zeros(len(h))
-                p1[ids >= 0] = trie.p1[ids[ids >= 0]]
-                known = ids >= 0
-                if not joined:
-                    at = lookup(every, index, h[tail])
-                    p1[tail] = np.log10((np.where(at >= 0, n[at] if len(n) else 0, 0) + 0.1) / scale)
-                    known[tail] = at >= 0
-                first = np.zeros(len(h), bool)
-                first[bounds[:-1]] = True
-                own = trie.score(ids, p1, first)
-                columns = [pa.array(np.diff(bounds)), pa.array(np.add.reduceat(known.astype(np.int64), bounds[:-1])), pa.array(np.add.reduceat(p1, bounds[:-1])), pa.array(np.add.reduceat(own, bounds[:-1]))]
-                if joined:
-                    doc = np.searchsorted(bounds, tail, "right") - 1
-                    order = np.lexsort((h[tail], doc))
-                    d, x = doc[order], h[tail][order]
-                    start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])) if len(d) else np.zeros(0, np.int64)
-                    rows = pa.StructArray.from_arrays([pa.array(x[start].view(np.int64)), pa.array(np.diff(np.append(start, len(d))))], names=["key", "n"])
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(d[start], np.arange(j - i + 1)).astype(np.int32)), rows))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in keep] + columns, names=[*keep, *new, *(["__tail"] if joined else [])])
-
-    out = slim.mapInArrow(run, schema)
-    if joined:
-        head = table(out.withColumn("__row", F.monotonically_increasing_id()), "scores")
-        tails = head.select("__row", F.explode("__tail").alias("t")).select("__row", "t.key", F.col("t.n").alias("times"))
-        chance = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale))
-        sums = tails.join(vocabulary, "key", "left").groupBy("__row").agg(F.sum(F.col("times") * chance).alias("__more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("__known"))
-        more, extra = F.coalesce("__more", F.lit(0.0)), F.coalesce("__known", F.lit(0))
-        out = head.join(sums, "__row", "left").select(*keep, "n_tokens", (F.col("n_known") + extra).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
-    return out.withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
-
-
-def packed(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps(arrays, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+def planes(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on by their bytes, the lowest of all first, which packs better."""
+    n = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
 
 
-def unpacked(body: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True))
+def numbers(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, : len(x)] = x.T
+    return out.view("<i8").ravel().astype(np.int64)
 
 
 def code(chance: np.ndarray) -> np.ndarray:
@@ -411,113 +177,137 @@ def chance(codes: np.ndarray) -> np.ndarray:
     return np.where(codes == NONE, 0.0, 10 ** (codes * -STEP))
 
 
-def split(h: np.ndarray, low: int = 64) -> list[np.ndarray]:
-    """The lowest 48 or 64 bits of hashes as columns, which pack better."""
-    return [h.astype(np.uint32), *((h >> np.uint64(k)).astype(np.uint16) for k in range(32, low, 16))]
+def parts(shard: np.ndarray) -> list[tuple[int, slice]]:
+    """Each number of an increasing array and where it stands."""
+    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
+    return [(int(shard[b]), slice(int(b), int(e))) for b, e in zip(edges[:-1], edges[1:])]
 
 
-def joint(columns: list[np.ndarray]) -> np.ndarray:
-    out = columns[0].astype(np.uint64)
-    for k, x in enumerate(columns[1:]):
-        out |= x.astype(np.uint64) << np.uint64(32 + 16 * k)
-    return out
+def paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different pair, in their order, and the number of each pair's own."""
+    if not len(a) or max(int(a.max()), int(b.max())) < 1 << 31:
+        return np.unique(a << 31 | b, return_index=True, return_inverse=True)[1:]
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
 
 
-class Grams:
-    """The distinct words, pairs and triples of a block's tokens, and for each token those that it ends, or -1.
+class Vocabulary:
+    """The words of a shard of words, from the requests (words by their keys, counts) of all blocks.
 
-    A pair is its first word and its second, a triple its first pair and its third word; all are sorted. The shard of a
-    triple is that of its first pair, so a context and its successors meet. A shard knows a pair by 62 bits of hash
-    (its number included) and the third word of a triple by 48 bits besides its pair.
+    Words that stand LEAST times are numbered from 0 on, the most frequent first, and their numbers leave room for those
+    of the other shards; a number is so large only as there are words in the model.
     """
 
-    def __init__(self, h: np.ndarray, bounds: np.ndarray, shards: int) -> None:
-        inside = np.ones(len(h), bool)
-        inside[bounds[:-1]] = False
-        self.words, self.word = np.unique(h, return_inverse=True)
-        n = max(1, len(self.words))
-        self.pair, self.triple = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
-        at = np.flatnonzero(inside)
-        key, self.pair[at] = np.unique(self.word[at - 1] * n + self.word[at], return_inverse=True)
-        self.first, self.second = key // n, key % n
-        at = at[self.pair[at - 1] >= 0]
-        key, self.triple[at] = np.unique(self.pair[at - 1] * n + self.word[at], return_inverse=True)
-        self.context, self.third = key // n, key % n
-        # ranges of hashes, so that a word's place in the block tells its shard and its place there
-        groups = max(1, shards // PER_WORDS)
-        self.word_shard = ((self.words >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
-        self.word_starts = np.searchsorted(self.word_shard, np.arange(groups + 1))
-        key = mix(mix(self.words[self.first]) + self.words[self.second]) >> np.uint64(2)
-        self.pair_shard, self.key = (key % np.uint64(shards)).astype(np.int64), key // np.uint64(shards)
-        self.by_pair = np.argsort(self.pair_shard, kind="stable")
-        self.by_triple = np.argsort(self.pair_shard[self.context], kind="stable")
-
-    def requests(self, train: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        """Kind, shard and contents of a block's requests. train: whether a token counts, and not only asks."""
-        counts = [np.bincount(k[train & (k >= 0)], minlength=n).astype(np.int32) for k, n in ((self.word, len(self.words)), (self.pair, len(self.first)), (self.triple, len(self.context)))]
-        for s, w in parts(self.word_shard, np.arange(len(self.words))):
-            yield WORDS, s, packed(self.words[w], counts[0][w])
-        successors = np.bincount(self.context, minlength=len(self.first)).astype(np.int32)
-        starts = np.diff(self.word_starts).astype(np.int32)
-        triples = dict(parts(self.pair_shard[self.context], self.by_triple))
-        for s, p in parts(self.pair_shard, self.by_pair):
-            t = triples.get(s, np.zeros(0, np.int64))
-            by = np.diff(self.first[p], prepend=0).astype(np.int32)
-            yield PAIRS, s, packed(split(self.key[p]), by, counts[1][p], successors[p], split(self.words[self.third[t]], 48), counts[2][t], starts)
-
-
-def parts(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard and its places in order."""
-    found, start = np.unique(shard[order], return_index=True)
-    for s, part in zip(found.tolist(), np.split(order, start[1:]) if len(found) else []):
-        yield s, part
+    def __init__(self, requests: list[tuple], group: int, groups: int) -> None:
+        keys = [x.T.copy().view(">u8").astype(np.uint64) for x, _ in requests]
+        every = np.concatenate([np.zeros((0, 2), np.uint64), *keys])
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (every[order[1:]] != every[order[:-1]]).any(1)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        size = int(new.sum())
+        #: The words of each request, by their places here.
+        self.asked = np.split(of, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
+        self.count = np.bincount(of, np.concatenate([np.zeros(0), *(n for _, n in requests)]), size).astype(np.int64)
+        self.by_count = np.argsort(-self.count, kind="stable")[: int((self.count >= LEAST).sum())]
+        self.id = np.full(size, -1, np.int64)
+        self.id[self.by_count] = np.arange(len(self.by_count)) * groups + group
 
 
 class Shard:
-    """The trie of the pairs of a shard and their successors, by places in its own sorted word hashes."""
+    """The trie of the pairs of a shard: first words, their successors, and the successors of each pair.
+
+    Made of pairs and triples by the numbers of their words, which may repeat; context: the row of a triple's pair.
+    """
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, context: np.ndarray, third: np.ndarray, n3: np.ndarray) -> None:
-        """Counted pairs and triples, which may repeat; context: the row of a triple's pair."""
-        keys, row, of = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(of, n, len(keys)).astype(np.int64)
+    def __init__(self, u: np.ndarray, v: np.ndarray, n: np.ndarray, context: np.ndarray, w: np.ndarray, n3: np.ndarray) -> None:
+        at, of = paired(u, v)
+        total = np.bincount(of, n, len(at)).astype(np.int64)
         kept = total >= LEAST
-        self.keys, self.count = EliasFano.encode(keys[kept].astype(np.int64)), total[kept]
-        #: The first row of each pair.
-        self.row = row[kept]
         entry = np.where(kept, np.cumsum(kept) - 1, -1)[of[context]]
+        at, count = at[kept], total[kept]
         some = np.flatnonzero(entry >= 0)
-        entry, third, n3 = entry[some], third[some], n3[some]
-        order = np.lexsort((third, entry))
-        entry, third = entry[order], third[order]
-        new = np.concatenate([np.ones(min(1, len(entry)), bool), (entry[1:] != entry[:-1]) | (third[1:] != third[:-1])])
-        total = np.bincount(np.cumsum(new) - 1, n3[order], int(new.sum())).astype(np.int64)
+        entry, w, n3 = entry[some], w[some], n3[some]
+        at3, of = paired(entry, w)
+        total = np.bincount(of, n3, len(at3)).astype(np.int64)
         kept = total >= LEAST
-        entry, third, total = entry[new][kept], third[new][kept], total[kept]
-        self.words = np.unique(third)
-        self.successors = Level.encode(entry, np.searchsorted(self.words, third), len(self.count))
-        seen = (total - DISCOUNT) / self.count[entry]
-        self.seen, self.left = code(seen), code(np.maximum(1 - np.bincount(entry, seen, len(self.count)), 1e-9))
-
-    def ask(self, key: np.ndarray, successors: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        entry, w, total = entry[at3][kept], w[at3][kept], total[kept]
+        firsts, first = np.unique(u[at], return_inverse=True)
+        seen = (total - DISCOUNT) / count[entry]
+        left = np.maximum(1 - np.bincount(entry, seen, len(count)), 1e-9)
+        two, three = Level.encode(first, v[at], len(firsts)), Level.encode(entry, w, len(count))
+        self.firsts, p2, i2, p3, i3, self.count, self.left, self.seen = mapped(EliasFano.encode(firsts), two.pointers, two.ids, three.pointers, three.ids, count, code(left), code(seen))
+        self.two, self.three = Level(p2, i2), Level(p3, i3)
+        #: For each first word its number, and how often and with how many different words it begins a pair.
+        self.sums = firsts, np.bincount(first, count, len(firsts)).astype(np.int64), np.bincount(first, minlength=len(firsts))
+
+    def ask(self, u: np.ndarray, v: np.ndarray, successors: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The count of each pair, or 0; what it leaves to shorter contexts; and the chance of each of its successors."""
-        count, left, seen = np.zeros(len(key), np.int64), np.full(len(key), NONE, np.uint8), np.full(len(third), NONE, np.uint8)
+        count, left, seen = np.zeros(len(u), np.int64), np.full(len(u), NONE, np.uint8), np.full(len(w), NONE, np.uint8)
         if not len(self.count):
             return count, left, seen
-        key = key.astype(np.int64)
-        pair = np.minimum(self.keys.successor(key), self.keys.n - 1)
-        hit = self.keys.access(pair) == key
+        first = np.minimum(self.firsts.successor(u), self.firsts.n - 1)
+        some = np.flatnonzero(self.firsts.access(first) == u)
+        pair = np.full(len(u), -1, np.int64)
+        pair[some] = self.two.find(first[some], v[some])
+        hit = pair >= 0
         count[hit], left[hit] = self.count[pair[hit]], self.left[pair[hit]]
-        if len(self.words):
-            context = np.repeat(np.where(hit, pair, -1), successors)
-            word = np.minimum(np.searchsorted(self.words, third), len(self.words) - 1)
-            some = np.flatnonzero((context >= 0) & (self.words[word] == third))
-            at = self.successors.find(context[some], word[some])
-            seen[some[at >= 0]] = self.seen[at[at >= 0]]
+        context = np.repeat(pair, successors)
+        some = np.flatnonzero(context >= 0)
+        at = self.three.find(context[some], w[some])
+        seen[some[at >= 0]] = self.seen[at[at >= 0]]
         return count, left, seen
 
 
-#: Kinds of rows on their way: requests about words and pairs, sums of the pairs a word begins, answers, and texts.
-WORDS, PAIRS, SUMS, PAIR_ANSWERS, WORD_ANSWERS, TEXTS = range(6)
+class Grams:
+    """The distinct pairs and triples of a block's tokens whose words are in the model, and for each token those that it
+    ends, or -1. Both are in the order of their shard and their words' numbers.
+
+    A triple is in the shard of its first pair, so a context and its successors meet.
+    """
+
+    def __init__(self, word: np.ndarray, bounds: np.ndarray, ids: np.ndarray, shards: int) -> None:
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        known = int((ids < 0).sum())
+        self.id, own, n = ids[order], place[word], max(1, len(ids))
+        inside = own >= known
+        inside[1:] &= inside[:-1]
+        inside[bounds[:-1]] = False
+        self.pair, self.triple = np.full(len(word), -1, np.int64), np.full(len(word), -1, np.int64)
+        at = np.flatnonzero(inside)
+        key, pair = np.unique(own[at - 1] * n + own[at], return_inverse=True)
+        first, second = key // n, key % n
+        shard = mix(mix(self.id[first].astype(np.uint64)) + self.id[second].astype(np.uint64)) % np.uint64(shards)
+        shard = shard.astype(np.uint16 if shards < 1 << 16 else np.int64)  # sorted by radix while they are few
+        order = np.argsort(shard, kind="stable")
+        self.first, self.second, self.shard = self.id[first[order]], self.id[second[order]], shard[order].astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair[at] = place[pair]
+        at = at[inside[at - 1]]
+        key, triple = np.unique(self.pair[at - 1] * n + own[at], return_inverse=True)
+        self.context, self.third = key // n, self.id[key % n]
+        self.triple[at] = triple
+
+    def requests(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Shard and contents of a block's requests. train: whether a token counts, and not only asks."""
+        counts = [np.bincount(k[train & (k >= 0)], minlength=n) for k, n in ((self.pair, len(self.first)), (self.triple, len(self.context)))]
+        successors = np.bincount(self.context, minlength=len(self.first))
+        ends = np.append(0, np.cumsum(successors))
+        for s, p in parts(self.shard):
+            t = slice(ends[p.start], ends[p.stop])
+            yield s, packed(planes(np.diff(self.first[p], prepend=0)), planes(self.second[p]), planes(counts[0][p]), planes(successors[p]), planes(self.third[t]), planes(counts[1][t]))
+
+
+#: Kinds of rows on their way: requests about words, blocks, and answers about words, pairs, and what words leave.
+WORDS, TEXTS, PAIRS, SUMS, WORD_ANSWERS, PAIR_ANSWERS, LEFT = range(7)
 ROWS = "to long, kind int, part int, block long, body binary"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
@@ -527,153 +317,193 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=NAMES)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Rows of docs in blocks, as Arrow streams; bytes: of the texts."""
+def _of(got: pa.Table, kind: int) -> list[dict]:
+    """The rows of a kind, in the order of their parts and blocks."""
+    rows = got.filter(pc.equal(got["kind"], kind)).select(["part", "block", "body"]).to_pylist()
+    return sorted(rows, key=lambda x: (x["part"], x["block"]))
+
+
+def _block(held: list[tuple[pa.RecordBatch, Words, np.ndarray]], groups: int) -> list[tuple]:
+    """The rows of a block: its documents with their tokens, and the requests about its words."""
+    head, tail, h, sizes = [], [], [], []
+    for _, w, _ in held:
+        n = len(w.bounds) - 1
+        at = np.arange(len(w)) + w.document()
+        for out, x, end in ((head, w.head, 0), (tail, w.tail, 0), (h, w.hash, END)):
+            line = np.full(len(w) + n, end, np.uint64)
+            line[at] = x
+            out.append(line)
+        sizes.append(np.diff(w.bounds) + 1)
+    head, tail, h, sizes = (np.concatenate(x) for x in (head, tail, h, sizes))
+    train = np.concatenate([t for _, _, t in held])
+    first, word = distinct(h, lambda i, j: (head[i] == head[j]) & (tail[i] == tail[j]))
+    head, tail = head[first], tail[first]
+    # shards of words are ranges of hashes
+    group = ((h[first] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((tail, head, group))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    word, head, tail, group = place[word], head[order], tail[order], group[order]
+    every = np.bincount(word, minlength=len(order))
+    mine = np.bincount(word[np.repeat(train, sizes)], minlength=len(order))
+    rank = np.empty(len(order), np.int64)
+    rank[np.argsort(-every, kind="stable")] = np.arange(len(order))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0][0].schema) as out:
+        for x, _, _ in held:
+            out.write_batch(x)
+    name = int.from_bytes(os.urandom(8), "little") >> 1
+    rows = [(name, TEXTS, 0, name, packed(sink.getvalue().to_pybytes(), sizes.astype(np.int32), train, planes(rank[word]), planes(every)))]
+    keys = np.stack([head, tail], 1).astype(">u8").view(np.uint8).reshape(-1, 16)
+    return rows + [(g, WORDS, g, name, packed(np.ascontiguousarray(keys[s].T), mine[s].astype(np.int32))) for g, s in parts(group)]
+
+
+def _opened(body: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents of a block, the bounds of their tokens, whether each is of training, and the word of each token."""
+    docs, sizes, train, rank, every = unpacked(body)
+    order = np.argsort(-numbers(every), kind="stable")
+    return pa.ipc.open_stream(docs).read_all(), np.append(0, np.cumsum(sizes, dtype=np.int64)), train, order[numbers(rank)]
+
+
+def _freed(df: DataFrame) -> None:
+    """Shuffle files go when Spark sees that nothing refers to them any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+def corpus_scores(docs: DataFrame, train: str, text: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, word_bytes: int = WORD_BYTES) -> DataFrame:
+    """docs, but for text, with n_tokens, n_known (tokens seen in training), train_tokens, base_score and score, under the
+    model of the rows whose column train is true.
 
-        def block() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for x in held:
-                    out.write_batch(x)
-            name = int.from_bytes(os.urandom(8), "little") >> 1
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bytes", "body"])
+    base_score adds up log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens; score is the log10 chance of the text under
+    the trigram model: seen n-grams by discounted counts, the rest of a context's chance by the next shorter context,
+    down to the base. Every word, and every pair and triple that stands LEAST times in training, is in the model, at every
+    size. Chances of triples, and what contexts leave, are in 8 bits. A null or empty text is its end alone; a very long
+    one is in one block; repeated rows are scored, and counted, one by one; ties don't arise; an empty table gives no
+    rows; columns with the new names are replaced. Words of up to 15 bytes are told apart by their bytes, longer ones by
+    120 bits of BLAKE2b.
 
+    Shards and blocks grow in number with the texts, not in size, but for a pair's successors, which meet in one shard.
+    Each block asks each shard at most once; on corpora of many terabytes take block_bytes and shard_bytes larger, in
+    step with the root of the corpus, so that a request still holds many n-grams.
+    """
+    new = ["n_tokens", "n_known", "base_score", "score"]
+    keep = [c for c in docs.columns if c not in (text, train, "train_tokens", *new)]
+    safe = [f"c{k}" for k in range(len(keep))]
+    slim = docs.select(*(F.col(c).alias(s) for c, s in zip(keep, safe)), F.col(text).cast("string").alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, groups = max(1, math.ceil(total / shard_bytes)), max(1, math.ceil(total / word_bytes))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            _, offs = text_buffers(batch.column("__text"))
+            buf, offs = text_buffers(batch.column("text"))
+            flags = batch.column("train").to_numpy(zero_copy_only=False)
+            rest = batch.select(safe) if safe else batch.select(["train"])
             for i, j in steps(offs):
-                held.append(batch.slice(i, j - i))
+                held.append((rest.slice(i, j - i), Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], BLANK), flags[i:j]))
                 size += int(offs[j] - offs[i])
-                if size >= BLOCK_BYTES:
-                    yield block()
+                if size >= block_bytes:
+                    yield from _rows(_block(held, groups)).to_batches(max_chunksize=16)
                     held, size = [], 0
         if held:
-            yield block()
-
-    return table(docs.mapInArrow(run, "block long, bytes long, body binary"), "blocks")
-
-
-def _opened(body: bytes, shards: int) -> tuple[pa.Table, np.ndarray, Grams]:
-    """The documents of a block, the bounds of their tokens, and their n-grams."""
-    docs = pa.ipc.open_stream(body).read_all()
-    buf, offs = text_buffers(docs["__text"])
-    found, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for i, j in steps(offs):
-        h, b = tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        found.append(h)
-        bounds.append(b[1:] + bounds[-1][-1])
-    bounds = np.concatenate(bounds)
-    return docs, bounds, Grams(np.concatenate(found), bounds, shards)
-
-
-def corpus_scores(docs: DataFrame, train: str, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """What score() gives, under the model of the rows of docs whose column train is true, for a corpus of any size.
-
-    Every word, and every pair and triple that stands LEAST times in training, is in the model. Nothing of it is
-    broadcast: blocks of texts send their distinct n-grams, with what training adds to their counts, to shards by a hash
-    of the words (pairs, and the triples that they begin) or word; a shard sums the counts, makes its trie and answers.
-    Shards and blocks grow in number with the texts, not in size.
-    """
-    new = ["n_tokens", "n_known", "base_score", "score"]
-    keep = [c for c in docs.columns if c not in (text, "train_tokens", *new)]
-    slim = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.coalesce(F.col(train), F.lit(False)).alias("__train"))
-    blocks = _blocks(slim)
-    shards = max(1, math.ceil((blocks.agg(F.sum("bytes")).first()[0] or 0) / shard_bytes))
+            yield from _rows(_block(held, groups)).to_batches(max_chunksize=16)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                docs, bounds, grams = _opened(body.as_buffer(), shards)
-                mine = np.repeat(docs["__train"].to_numpy(), np.diff(bounds))
-                # requests about words travel along with some shard's
-                rows = [(s if kind == PAIRS else (s * PER_WORDS + name % PER_WORDS) % shards, kind, s, name, x) for kind, s, x in grams.requests(mine)]
-                del docs, bounds, grams, mine
-                for i in range(0, len(rows), 16):
-                    yield from _rows(rows[i : i + 16]).to_batches()
+    def words(got: pa.Table) -> pa.Table:
+        asked = _of(got, WORDS)
+        group = asked[0]["part"]
+        v = Vocabulary([unpacked(x["body"]) for x in asked], group, groups)
+        out = _rows([(x["block"], WORD_ANSWERS, group, x["block"], packed(planes(v.count[at]), planes(v.id[at] + 1))) for x, at in zip(asked, v.asked)])
+        one = np.concatenate([[1], np.zeros(len(asked) - 1, np.int64)])
+        return out.append_column("tokens", pa.array(one * v.count.sum())).append_column("words", pa.array(one * (v.count > 0).sum()))
+
+    def told(answers: list[tuple], k: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(numbers(a[k]) for a in answers)])
+
+    def ask(got: pa.Table) -> pa.Table:
+        (body,) = (x["body"] for x in _of(got, TEXTS))
+        _, bounds, mine, word = _opened(body)
+        ids = told([unpacked(x["body"]) for x in _of(got, WORD_ANSWERS)], 1) - 1
+        block = got["block"][0].as_py()
+        return _rows([(s, PAIRS, s, block, x) for s, x in Grams(word, bounds, ids, shards).requests(np.repeat(mine, np.diff(bounds)))])
 
     def pairs(got: pa.Table) -> pa.Table:
-        rows = [(x["part"], WORDS, x["part"], x["block"], x["body"]) for x in got.filter(pa.compute.equal(got["kind"], WORDS)).to_pylist()]
-        asked = got.filter(pa.compute.equal(got["kind"], PAIRS)).select(["part", "block", "body"]).to_pylist()
-        if not asked:
-            return _rows(rows)
-        asks = [unpacked(x["body"]) for x in asked]
-        key, third = (np.concatenate([joint(a[k]) for a in asks]) for k in (0, 4))
-        n, successors, n3 = (np.concatenate([a[k] for a in asks]) for k in (2, 3, 5))
-        shard = Shard(key, n, np.repeat(np.arange(len(key)), successors), third, n3)
-        first = np.cumsum([0, *(len(a[1]) for a in asks)])
-        del key, third, n, successors, n3
-        sums: dict[int, list[tuple]] = {}
-        for k, (x, a) in enumerate(zip(asked, asks)):
-            rows.append((x["block"], PAIR_ANSWERS, x["part"], x["block"], packed(*shard.ask(joint(a[0]), a[3], joint(a[4])))))
-            # the first block with a pair names its first word, by its place among the words of that block
-            mine = (shard.row >= first[k]) & (shard.row < first[k + 1])
-            word, of = np.unique(np.cumsum(a[1], dtype=np.int64)[shard.row[mine] - first[k]], return_inverse=True)
-            total, number = np.bincount(of, shard.count[mine], len(word)).astype(np.int64), np.bincount(of, minlength=len(word)).astype(np.int32)
-            starts = np.cumsum(np.append(0, a[6]))
-            group = np.searchsorted(starts, word, "right") - 1
-            for g, at in parts(group, np.arange(len(word))):
-                sums.setdefault(g, []).append((x["block"], (word[at] - starts[g]).astype(np.int32), total[at], number[at]))
-        rows += [(g, SUMS, g, 0, packed(*x)) for g, x in sums.items()]
+        asked = _of(got, PAIRS)
+        asks = []
+        for x in asked:
+            u, *rest = map(numbers, unpacked(x["body"]))
+            asks.append((np.cumsum(u), *rest))
+        u, v, n, successors, w, n3 = (np.concatenate(x) for x in zip(*asks))
+        shard = Shard(u, v, n, np.repeat(np.arange(len(u)), successors), w, n3)
+        del u, v, n, successors, w, n3
+        rows = []
+        for x, a in zip(asked, asks):
+            count, left, seen = shard.ask(a[0], a[1], a[3], a[4])
+            rows.append((x["block"], PAIR_ANSWERS, x["part"], x["block"], packed(planes(count), left, seen)))
+        first, total, number = shard.sums
+        group = first % groups
+        order = np.argsort(group, kind="stable")
+        for g, s in parts(group[order]):
+            at = order[s]
+            rows.append((g, SUMS, g, asked[0]["part"], packed(planes(np.diff(first[at] // groups, prepend=0)), planes(total[at]), planes(number[at]))))
         return _rows(rows)
 
-    def words(got: pa.Table) -> pa.Table:
-        rows = got.select(["kind", "part", "block", "body"]).to_pylist()
-        asked = [(x, *unpacked(x["body"])) for x in rows if x["kind"] == WORDS]
-        known = np.unique(np.concatenate([a[1] for a in asked]))
-        count, total, number = (np.zeros(len(known), np.int64) for _ in range(3))
-        place = {x["block"]: np.searchsorted(known, h) for x, h, _ in asked}
-        for x, _, n in asked:
-            count[place[x["block"]]] += n
-        for x in rows:
-            for block, at, t, n in unpacked(x["body"]) if x["kind"] == SUMS else ():
-                total[place[block][at]] += t
-                number[place[block][at]] += n
-        out = []
-        for x, _, _ in asked:
-            at = place[x["block"]]
-            out.append((x["block"], WORD_ANSWERS, x["part"], x["block"], packed(count[at], total[at], number[at])))
-        one = np.concatenate([[1], np.zeros(len(out) - 1, np.int64)])
-        return _rows(out).append_column("tokens", pa.array(one * count.sum())).append_column("words", pa.array(one * (count > 0).sum()))
-
-    asked = blocks.select("block", "body").mapInArrow(ask, ROWS)
-    answers = table(asked.groupBy("to").applyInArrow(pairs, ROWS), "pairs")
-    # the requests' shuffle files go when Spark sees that nothing refers to them any more
-    del asked
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    more = table(answers.where(F.col("kind").isin(WORDS, SUMS)).groupBy("to").applyInArrow(words, f"{ROWS}, tokens long, words long"), "words")
-    seen, different = more.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    def leave(got: pa.Table) -> pa.Table:
+        asked = _of(got, WORDS)
+        if not asked:
+            return _rows([])
+        group = asked[0]["part"]
+        v = Vocabulary([unpacked(x["body"]) for x in asked], group, groups)
+        total, number = np.zeros(len(v.id), np.int64), np.zeros(len(v.id), np.int64)
+        for x in _of(got, SUMS):
+            place, t, n = map(numbers, unpacked(x["body"]))
+            at = v.by_count[np.cumsum(place)]
+            total[at] += t
+            number[at] += n
+        left = code(np.maximum(1 - (total - DISCOUNT * number) / np.maximum(1, v.count), 1e-9))
+        return _rows([(x["block"], LEFT, group, x["block"], packed(left[at])) for x, at in zip(asked, v.asked)])
+
+    first = table(slim.mapInArrow(blocks, ROWS), "blocks")
+    texts, requests = first.where(F.col("kind") == TEXTS), first.where(F.col("kind") == WORDS)
+    vocabulary = table(requests.groupBy("to").applyInArrow(words, f"{ROWS}, tokens long, words long"), "words")
+    seen, different = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    _freed(docs)
+    known = vocabulary.select(NAMES)
+    answers = table(texts.unionByName(known).groupBy("to").applyInArrow(ask, ROWS).groupBy("to").applyInArrow(pairs, ROWS), "pairs")
+    _freed(docs)
+    left = table(requests.unionByName(answers.where(F.col("kind") == SUMS)).groupBy("to").applyInArrow(leave, ROWS), "left")
+    _freed(docs)
     scale = seen + 0.1 * (different + 1)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in slim.dtypes if c not in ("__text", "__train")), "n_tokens long, n_known long, base_score double, score double"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in slim.dtypes[: len(safe)]), "n_tokens long, n_known long, base_score double, score double"])
 
     def finish(got: pa.Table) -> pa.Table:
-        rows = sorted(got.select(["kind", "part", "body"]).to_pylist(), key=lambda x: (x["kind"], x["part"]))
-        docs, bounds, g = _opened(rows[-1]["body"], shards)
-
-        def told(kind: int, k: int, order: np.ndarray, none: type) -> np.ndarray:
-            out = np.empty(len(order), none)
-            out[order] = np.concatenate([np.zeros(0, none), *(a[k] for a in answered[kind])])
-            return out
-
-        answered = {kind: [unpacked(x["body"]) for x in rows if x["kind"] == kind] for kind in (PAIR_ANSWERS, WORD_ANSWERS)}
-        count, total, number = (told(WORD_ANSWERS, k, np.arange(len(g.words)), np.int64) for k in range(3))
-        count2, left3 = told(PAIR_ANSWERS, 0, g.by_pair, np.int64), chance(told(PAIR_ANSWERS, 1, g.by_pair, np.uint8))
-        seen3 = chance(told(PAIR_ANSWERS, 2, g.by_triple, np.uint8))
-        left2 = np.maximum(1 - (total - DISCOUNT * number) / np.maximum(1, count), 1e-9)
-        p1 = ((count + 0.1) / scale)[g.word]
+        (body,) = (x["body"] for x in _of(got, TEXTS))
+        rows, bounds, _, word = _opened(body)
+        answered = [unpacked(x["body"]) for x in _of(got, WORD_ANSWERS)]
+        count, ids = told(answered, 0), told(answered, 1) - 1
+        left2 = chance(np.concatenate([np.zeros(0, np.uint8), *(unpacked(x["body"])[0] for x in _of(got, LEFT))]))
+        g = Grams(word, bounds, ids, shards)
+        answered = [unpacked(x["body"]) for x in _of(got, PAIR_ANSWERS)]
+        count2 = told(answered, 0)
+        left3, seen3 = (chance(np.concatenate([np.zeros(0, np.uint8), *(a[k] for a in answered)])) for k in (1, 2))
+        p1 = ((count + 0.1) / scale)[word]
         p = p1.copy()
+        begins = np.ones(len(word), bool)
+        begins[bounds[:-1]] = False
+        at = np.flatnonzero(begins)
+        p[at] *= left2[word[at - 1]]
         at = np.flatnonzero(g.pair >= 0)
-        v, n = g.word[at - 1], count2[g.pair[at]]
-        p[at] = np.where(n > 0, (n - DISCOUNT) / np.maximum(1, count[v]), 0) + left2[v] * p[at]
+        n = count2[g.pair[at]]
+        p[at] += np.where(n > 0, (n - DISCOUNT) / np.maximum(1, count[word[at - 1]]), 0)
+        # behind a pair of the model, whatever follows
+        behind = np.flatnonzero(begins[1:] & (g.pair[:-1] >= 0)) + 1
+        context = g.pair[behind - 1]
+        p[behind] *= np.where(count2[context] > 0, left3[context], 1)
         at = np.flatnonzero(g.triple >= 0)
-        context = g.pair[at - 1]
-        p[at] = np.where(count2[context] > 0, seen3[g.triple[at]] + left3[context] * p[at], p[at])
-        sums = [np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64)[g.word], np.log10(p1), np.log10(p))]
-        return pa.table([*(docs[c] for c in keep), pa.array(np.diff(bounds)), *map(pa.array, sums)], names=[*keep, *new])
-
-    texts = blocks.select(F.col("block").alias("to"), F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), "block", "body")
-    rows = texts.unionByName(answers.where(F.col("kind") == PAIR_ANSWERS)).unionByName(more.select(NAMES))
-    return rows.groupBy("to").applyInArrow(finish, schema).withColumn("train_tokens", F.lit(seen).cast("long"))
+        p[at] += seen3[g.triple[at]]
+        sums = [np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64)[word], np.log10(p1), np.log10(p))]
+        return pa.table([*(rows[c] for c in safe), pa.array(np.diff(bounds)), *map(pa.array, sums)], names=[*safe, *new])
+
+    rows = texts.unionByName(known).unionByName(answers.where(F.col("kind") == PAIR_ANSWERS)).unionByName(left)
+    return rows.groupBy("to").applyInArrow(finish, schema).toDF(*keep, *new).withColumn("train_tokens", F.lit(seen).cast("long"))

@@ -3,11 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from helpers import BLANK, ODD, TRANSLATE, empty, odd
+from helpers import BLANK, ODD, TRANSLATE, empty, odd, thue_morse
 from marlstone.llm import lm as m
 from marlstone.llm.queries import op10_language_model
 
@@ -54,7 +55,7 @@ class Plain:
 def test_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     held = {i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0}
-    plain = Plain([t for i, t in docs.items() if i not in held], m.SHARE)
+    plain = Plain([t for i, t in docs.items() if i not in held], 0)
     got = op10_language_model(spark, SMALL).collect()
     assert len(got) == len(docs)
     gain = 0
@@ -67,18 +68,6 @@ def test_query_against_brute_force(spark):
     assert gain > 0  # the model is better than its base on what it hasn't seen
 
 
-@pytest.mark.parametrize("most", [m.BROADCAST_WORDS, 0])
-def test_odd_rows(spark, most):
-    docs = odd(spark)
-    counts, vocabulary = m.train(docs.where("doc_id < 7").select("text"), 1e-3)
-    plain = Plain([t for i, t in ODD if i is not None and i < 7], 1e-3)
-    got = m.score(docs.drop("score"), counts, vocabulary, broadcast_words=most).select("doc_id", "n_tokens", "n_known", "base_score", "score").collect()
-    expected = [(i, len(tokens(t)), sum(plain.c1[x] > 0 for x in tokens(t)), sum(math.log10(plain.p(x)) for x in tokens(t)), plain.score(t)) for i, t in ODD]
-    key = lambda r: (str(r[0]), r[1], round(r[3], 3))
-    for r, e in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
-        assert r[:3] == e[:3] and r[3] == pytest.approx(e[3]) and abs(r[4] - e[4]) < 0.03 * e[1]
-
-
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, top in ((1, 1), (1, 10**9), (50, 60), (2000, 10**7), (2000, 500), (300, 2**40)):
@@ -100,39 +89,70 @@ def test_levels_find_what_they_hold():
     assert level.find(ask // 300, ask % 300).tolist() == [place.get(x, -1) for x in ask.tolist()]
 
 
-def test_mapped_trie_and_chances(spark):
-    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
-    counts, _ = m.train(texts, 1e-4)
-    trie = m.Trie.build(counts)
-    mapped = m.Trie.map(*trie.to_bytes())
-    assert all((mapped.arrays[k] == v).all() for k, v in trie.arrays.items())
-    # the chances of all words after a context add up to 1, but for what 8 bits round
-    n, scale = len(counts.hash), counts.tokens + 0.1 * (counts.words + 1)
-    v = int(np.argmax(np.bincount(counts.pairs // n, minlength=n)))
-    entry = trie.two.find(np.full(n, v), np.arange(n))
-    seen = 10 ** trie.values("p2", entry[entry >= 0])
-    rest = 10 ** trie.values("left2", np.array([v]))[0] * (1 - ((counts.count[entry >= 0] + 0.1) / scale).sum())
-    assert seen.sum() + rest == pytest.approx(1, abs=0.03)
-
-
-def test_empty(spark):
-    counts, vocabulary = m.train(empty(spark).select("text"))
-    assert counts.tokens == 0
-    got = m.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), counts, vocabulary).first()
-    assert (got.n_tokens, got.n_known) == (3, 0) and got.score == pytest.approx(got.base_score)
-    assert m.score(empty(spark), counts, vocabulary).count() == 0
-
-
-@pytest.mark.parametrize("shard_bytes", [m.SHARD_BYTES, 40_000])
-def test_corpus_scores(spark, shard_bytes):
+def test_a_shard_against_dictionaries():
+    """Pairs and triples that repeat over requests; the chances of all words after a pair add up to 1."""
+    rng = np.random.default_rng(6)
+    for top in (40, 1 << 40):  # small numbers, and larger ones than fit side by side
+        ids = np.unique(rng.integers(0, top, 40))
+        u, v = ids[rng.integers(0, len(ids), 3000)], ids[rng.integers(0, 6, 3000)]
+        n = rng.integers(0, 2, 3000) * 60
+        context = rng.integers(0, 3000, 6000)
+        w, n3 = ids[rng.integers(0, 6, 6000)], rng.integers(0, 2, 6000)
+        c2, c3 = Counter(), Counter()
+        for a, b, c in zip(u.tolist(), v.tolist(), n.tolist()):
+            c2[a, b] += c
+        for k, x, c in zip(context.tolist(), w.tolist(), n3.tolist()):
+            c3[u[k], v[k], x] += c
+        shard = m.Shard(u, v, n, context, w, n3)
+        kept2 = {k: c for k, c in c2.items() if c >= m.LEAST}
+        asked = sorted({*c2, (ids[0], top + 5), (top + 5, ids[0])})
+        x = [(k, int(y)) for k in asked for y in ids[:6]]
+        count, left, seen = shard.ask(np.array([a for a, _ in asked]), np.array([b for _, b in asked]), np.full(len(asked), 6), np.array([y for _, y in x]))
+        assert count.tolist() == [kept2.get(k, 0) for k in asked]
+        for (k, y), s in zip(x, seen):
+            c = c3[*k, y] if k in kept2 else 0
+            assert (s == m.NONE) if c < m.LEAST else abs(math.log10((c - m.DISCOUNT) / c2[k]) + s * m.STEP) <= m.STEP / 2 + 1e-9
+        first, total, number = shard.sums
+        assert dict(zip(first.tolist(), zip(total.tolist(), number.tolist()))) == {a: (sum(c for k, c in kept2.items() if k[0] == a), sum(k[0] == a for k in kept2)) for a in {k[0] for k in kept2}}
+        for k, l, s in zip(asked, left, seen.reshape(-1, 6)):
+            if k in kept2:
+                plain = sum((c3[*k, int(y)] - m.DISCOUNT) / c2[k] for y in ids[:6] if c3[*k, int(y)] >= m.LEAST)
+                assert m.chance(np.array([l]))[0] == pytest.approx(max(1 - plain, 1e-9), rel=0.05)
+
+
+def test_planes():
+    for x in (np.array([0, 5, 255, 256, 1 << 40]), np.zeros(0, np.int64), np.zeros(3, np.int64)):
+        assert m.numbers(m.planes(x)).tolist() == x.tolist()
+
+
+def test_words_that_agree_in_a_polynomial_are_different(spark):
+    one, other = thue_morse()
+    docs = spark.createDataFrame([(1, one, True), (2, other, False)], "doc_id long, text string, seen boolean")
+    got = {r.doc_id: (r.n_known, r.base_score) for r in m.corpus_scores(docs, "seen").collect()}
+    scale = 2 + 0.1 * 3
+    assert got[1] == (2, pytest.approx(2 * math.log10(1.1 / scale))) and got[2] == (1, pytest.approx(math.log10(0.1 / scale) + math.log10(1.1 / scale)))
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    held = [(pa.RecordBatch.from_pydict({"c0": [1]}), m.Words(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))(b"one two one three"), m.BLANK), np.array([True]))]
+    held[0][1].hash[:] = 7
+    rows = m._block(held, 1)
+    _, bounds, _, word = m._opened(rows[0][4])
+    assert bounds.tolist() == [0, 5] and len(set(word.tolist())) == 4 and word[0] == word[2]
+
+
+@pytest.mark.parametrize("size", [m.SHARD_BYTES, 40_000])
+def test_corpus_scores(spark, size):
     docs = odd(spark).withColumn("seen", F.expr("doc_id < 7"))
     plain = Plain([t for i, t in ODD if i is not None and i < 7], 0)
-    got = m.corpus_scores(docs, "seen", shard_bytes=shard_bytes).select("doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens").collect()
+    got = m.corpus_scores(docs, "seen", block_bytes=size, shard_bytes=size, word_bytes=size).select("doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens").collect()
     expected = [(i, len(tokens(t)), sum(plain.c1[x] > 0 for x in tokens(t)), sum(math.log10(plain.p(x)) for x in tokens(t)), plain.score(t)) for i, t in ODD]
     key = lambda r: (str(r[0]), r[1], round(r[3], 3))
     for r, e in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
         assert r[:3] == e[:3] and r[3] == pytest.approx(e[3]) and abs(r[4] - e[4]) < 0.02 * e[1] and r[5] == plain.n
     assert m.corpus_scores(empty(spark).withColumn("seen", F.lit(True)), "seen").count() == 0
+    lone = m.corpus_scores(spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, seen boolean"), "seen").first()
+    assert (lone.n_tokens, lone.n_known, lone.train_tokens) == (3, 0, 0) and lone.score == pytest.approx(lone.base_score)
 
 
 def test_what_stands_twice_counts_at_every_size(spark, tmp_path):
