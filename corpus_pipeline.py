@@ -52,7 +52,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of documents that links of a Jaccard similarity of 0.8 or more connect, the smallest id stays."""
-    return _kept(docs, "near", lambda d: jaccard_join(d, id="place"))
+    return _kept(docs, "near", lambda d: jaccard_join(d, id="place", unique=True))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

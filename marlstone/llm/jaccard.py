@@ -400,7 +400,7 @@ def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "key binary, other binary, links long, docs long")
 
 
-def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, unique: bool = False) -> DataFrame:
     """A row per document: id, class_id, n_copies, n_links, n_linked_docs, group_id, kept.
 
     Documents with equal sets of shingles are a class; class_id is its smallest id (null last) and n_copies its
@@ -409,23 +409,26 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     for one document of each group. Words are runs of [0-9a-z] (after lower-casing A-Z) and non-ASCII characters;
     a document of fewer words than a shingle, but not none, is one shingle; one without words (null or empty too) is
     a class of its own. Very long texts count whole. Repeated rows are copies, and rows that share an id, or have none,
-    are judged on their own. An empty table gives no rows; other columns aren't read.
+    are judged on their own. An empty table gives no rows; other columns aren't read. unique: ids differ and docs is a
+    table, so texts that are needed again are read there, and no copy of them is kept meanwhile.
 
     Sets are equal when the BLAKE2b digests of their shingles' 128-bit hashes are. Links are verified by the words of
     the shingles (a word of more than 15 bytes by 120 bits of BLAKE2b). Candidate search is probabilistic: a pair at the
     threshold shares no band with a chance of about 6e-6, one at 0.9 with less than 1e-12; in buckets of more than
     BUCKET classes similarities to leaders are estimates, whose recall the tests measure.
     """
-    each = table(signatures(docs, id, text, shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    signed = signatures(docs, id, text, shingle).withColumn("row", F.monotonically_increasing_id())
+    each = table(signed.drop("text") if unique else signed, "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = table(each.where("key is not null").groupBy("key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("k64").alias("k64"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     clusters = components(candidates(banded(classes)))
     member = classes.drop("bands").join(clusters, F.col("k64") == F.col("node"))
-    member = table(member.select("root", "key", "copies", "sketch", "n", F.col("rep.row").alias("row")), "members")
+    member = table(member.select("root", "key", "copies", "sketch", "n", F.col("rep.id" if unique else "rep.row").alias("place")), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sized = table(member.groupBy("root").agg(blocks.alias("blocks")), "clusters")
     placed = member.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    found = placed.drop("n").join(each.select("row", "text"), "row")
+    texts = docs.select(F.col(id).alias("place"), F.col(text).cast("string").alias("text")) if unique else each.select(F.col("row").alias("place"), "text")
+    found = placed.drop("n").join(texts, "place")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = found.select("root", "block", "key", "copies", "sketch", "text", other.alias("o")).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "key", "copies", "sketch", "text")
     runs = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
