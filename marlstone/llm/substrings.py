@@ -23,7 +23,7 @@ from marlstone.llm.common import BYTE_VALUES, DOWN, UP, mix, settle, steps, tabl
 #: Bytes of a string that counts, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 200, 50
 #: Different stretches of one anchor beyond which their windows meet by digests instead, spread over all tasks.
-CROWD = 20_000
+CROWD = 4_000
 #: Bytes of stretches that are put in suffix order at once, besides a single anchor's.
 SORT_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -128,20 +128,21 @@ class Suffixes:
         rank, have = np.zeros(0), 1
         while have <= length:
             if have <= 8:  # so many bytes as one number
-                rank = np.ndarray((len(data),), f">u{have}", padded, strides=(1,)).astype(np.uint64)
+                rank = np.ndarray((len(data),), f">u{have}", padded, strides=(1,)).astype(f"u{have}")
             else:
                 half = have // 2
-                after = np.append(rank[half:] + np.uint64(1), np.zeros(min(half, len(rank)), np.uint64))
-                rank = rank << np.uint64(32) | after
+                pair = rank.astype(np.uint64) << np.uint64(32)
+                pair[:-half] |= rank[half:] + np.uint64(1)
+                rank = pair
             if have >= 8:
-                rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+                rank = np.unique(rank, return_inverse=True)[1].astype(np.uint32)
             self.levels.append((have, rank))
             have *= 2
 
     def order(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The starts in suffix order as far as length bytes, equal ones by position, and their ranks."""
         have, rank = self.levels[-1]
-        key = rank[starts] << np.uint64(32) | rank[starts + self.length - have]
+        key = rank[starts].astype(np.uint64) << np.uint64(32) | rank[starts + self.length - have]
         own = np.unique(key, return_inverse=True)[1]
         return np.argsort(own, kind="stable"), own
 
@@ -296,7 +297,8 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("begins")[0].alias("begin"))
     flagged = settle(anchors(long, length, gram).groupBy("anchor").agg(F.sum("size").alias("size")).where("size > 1").select("anchor"))
     # Tables, so that adaptive execution splits the joins at a hot anchor or stretch.
-    shared = table(anchored(long, length, gram).join(flagged, "anchor").groupBy("id", "key", "anchor", "own1", "own2", "begins", "n").agg((F.count("*") * F.size("begins")).alias("own")), "stretches")
+    met = table(anchored(long, length, gram).join(flagged, "anchor"), "met")
+    shared = table(met.groupBy("id", "key", "anchor", "own1", "own2", "begins", "n").agg((F.count("*") * F.size("begins")).alias("own")), "stretches")
     place = ["anchor", "own1", "own2"]
     alike = table(shared.groupBy(*place).agg(F.sum("own").alias("copies"), F.min(order).alias("first")), "different")
     crowds = table(alike.groupBy("anchor").agg(F.count("*").alias("different")), "crowds")
