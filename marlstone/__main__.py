@@ -22,6 +22,7 @@ def main(args: list[str] | None = None) -> int:
     except SystemExit as e:
         return 2 if e.code else 0
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from marlstone.sources.files import FormatError, export_csv, export_json
     from marlstone.sources.store import Store
@@ -39,6 +40,9 @@ def main(args: list[str] | None = None) -> int:
         else:
             rows = store.load()
             if rows is not None:
+                if "indices" in rows.columns:
+                    rows = rows.withColumn("sparse", F.when(F.col("indices").isNotNull(), F.struct("indices", "values"))).drop("indices", "values")
+                rows = rows.withColumnsRenamed({"_key": "key", "_expires_at": "expires_at"})
                 (export_csv if a.format == "csv" else export_json)(rows, a.out, not a.no_vectors, a.limit)
     except FormatError as e:
         print(e, file=sys.stderr)

@@ -32,25 +32,35 @@ def count_where(df: DataFrame, flt=None) -> int:
     return where(df, flt).count()
 
 
+def counted_values(rows: DataFrame, name: str) -> DataFrame:
+    """value, count of a field; a row counts once for each of its tags, and -0 is 0."""
+    c = F.col(name)
+    kind = kind_of(rows.schema[name].dataType)
+    value = F.explode(F.array_distinct(c)) if kind == "tags" else F.when(c == 0, F.lit(0)).otherwise(c) if kind == "float" else c
+    return rows.where(c.isNotNull()).select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("count"))
+
+
 def facet_values(df: DataFrame, request: FacetRequest, flt=None) -> DataFrame:
     """place, value, count of the most frequent values, ties by value. A row counts once for each of its tags."""
-    rows = where(df, flt)
-    c = F.col(request.name)
-    kind = kind_of(df.schema[request.name].dataType)
-    value = F.explode(F.array_distinct(c)) if kind == "tags" else F.when(c == 0, F.lit(0)).otherwise(c) if kind == "float" else c
-    counted = rows.where(c.isNotNull()).select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("count"))
+    counted = counted_values(where(df, flt), request.name)
     order = [F.desc("count"), F.asc("value")]
     best = counted.orderBy(*order).limit(request.limit) if request.limit else counted
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("place"), F.col("value").cast("string").alias("value"), "count")
 
 
 def facet_summary(df: DataFrame, request: FacetRequest, flt=None) -> DataFrame:
-    """total (rows with the field), missing, distinct, and other (counts of values beyond the limit)."""
+    """total (rows with the field), missing, distinct, and other (counts of values beyond the limit).
+
+    Values are counted once, and only the best ones are sorted: other is what all counts add up to, less theirs.
+    """
     rows, c = where(df, flt), F.col(request.name)
-    base = rows.agg(F.count(c).alias("total"), F.sum(c.isNull().cast("long")).alias("missing"))
-    every = facet_values(rows, FacetRequest(request.name, 0))
-    beyond = F.col("place") > request.limit if request.limit else F.lit(False)
-    return base.crossJoin(every.agg(F.count("*").alias("distinct"), F.coalesce(F.sum(F.when(beyond, F.col("count"))), F.lit(0)).alias("other"))).select("total", F.coalesce("missing", F.lit(0)).alias("missing"), "distinct", "other")
+    base = rows.agg(F.count(c).alias("total"), F.count(F.when(c.isNull(), 1)).alias("missing"))
+    counted = counted_values(rows, request.name)
+    every = counted.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("count"), F.lit(0)).alias("all"))
+    best = counted.orderBy(F.desc("count"), F.asc("value")).limit(request.limit) if request.limit else counted
+    best = best.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("best"))
+    # one row each
+    return base.crossJoin(every).crossJoin(best).select("total", "missing", "distinct", (F.col("all") - F.col("best")).alias("other"))
 
 
 def facet_ranges(df: DataFrame, request: FacetRequest, flt=None) -> DataFrame:

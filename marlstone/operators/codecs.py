@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,15 +234,146 @@ def decode(df: DataFrame, model, code: str = "code", vector: str = "decoded") ->
     return df.withColumn(vector, vectors(code))
 
 
+def measured(model, codes: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of a query to coded vectors, from the codes as far as the codec allows.
+
+    Scalar codes are measured as they are: a squared distance from the query moved into their steps, a dot product with
+    whole numbers from -63 to 63 as weights. Product codes add up a table of a part's distances for each of its
+    centres. Others, and all under cosine, are decoded.
+    """
+    q = np.asarray(query, np.float64)
+    if metric != "cosine" and isinstance(model, Scalar8):
+        if metric == "l2":
+            return (((q - model.low) - codes * model.step) ** 2).sum(1)
+        scaled = q * model.step
+        unit = np.abs(scaled).max(initial=0) / 63
+        weights = np.rint(scaled / unit).astype(np.int32) if unit else np.zeros(len(q), np.int32)
+        return -(q @ model.low + unit * (codes.astype(np.int32) @ weights))
+    if metric != "cosine" and isinstance(model, Product):
+        out = np.zeros(len(codes))
+        for p, (a, b, c) in enumerate(zip(model.bounds[:-1], model.bounds[1:], model.books)):
+            table = ((c - q[a:b]) ** 2).sum(1) if metric == "l2" else -(c @ q[a:b])
+            out += table[codes[:, p]]
+        return out
+    v = np.asarray(model.decode(codes), np.float64)
+    if metric == "l2":
+        return ((v - q) ** 2).sum(1)
+    if metric == "ip":
+        return -(v @ q)
+    length = np.linalg.norm(v, axis=1) * np.linalg.norm(q)
+    return np.maximum(0, 1 - v @ q / np.where(length > 0, length, np.inf))
+
+
+def coded_best(df: DataFrame, model, query, k: int, metric: str = "l2", id: str = "id", code: str = "code") -> DataFrame:
+    """id, d: the k rows that are closest by their codes alone; each task hands on k of its own."""
+    q = np.array([float(x) for x in query])
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    kind = dict(df.dtypes)[id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            codes = batch.column(code)
+            if not batch.num_rows:
+                continue
+            width = len(codes[0].as_py())
+            raw = np.frombuffer(codes.buffers()[2], np.uint8, width * batch.num_rows, np.frombuffer(codes.buffers()[1], np.int32)[codes.offset]).reshape(-1, width)
+            part = pa.table([batch.column(id), pa.array(measured(shared.value, raw, q, metric))], names=["id", "d"])
+            held = part if held is None else pa.concat_tables([held, part])
+            held = held.take(pa.compute.select_k_unstable(held, k, [("d", "ascending"), ("id", "ascending")])) if held.num_rows > k else held
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    found = df.where(F.col(code).isNotNull()).select(id, code).mapInArrow(run, f"id {kind}, d double")
+    return found.orderBy("d", "id").limit(k).withColumnRenamed("id", id)
+
+
 def coded_knn(df: DataFrame, model, query, k: int, metric: str = "l2", factor: int = 4, id: str = "id", vector: str = "vector", code: str = "code") -> DataFrame:
     """The k closest rows in two stages: k * factor by their codes alone, then by their whole vectors."""
-    rough = decode(df.select(id, code), model, code, "__v").withColumn("d", distance(F.col("__v"), literal(query), metric))
-    few = rough.orderBy("d", id).limit(k * factor).select(id)
+    few = coded_best(df, model, query, k * factor, metric, id, code).select(id)
     exact = df.join(F.broadcast(few), id, "left_semi").withColumn("distance", distance(F.col(vector), literal(query), metric))
     best = exact.select(id, "distance").orderBy("distance", id).limit(k)
     return best.select(F.row_number().over(Window.orderBy("distance", id)).alias("rank"), id, "distance")
 
 
+def coded_join(queries: DataFrame, df: DataFrame, model, k: int, metric: str = "l2", factor: int = 4, query_id: str = "query_id", id: str = "id", vector: str = "vector", code: str = "code") -> DataFrame:
+    """query_id, rank, id, distance: coded_knn() for a table of queries, which go to all tasks in blocks.
+
+    A task hands on k * factor rows per query by their codes; those that are best of all meet their vectors.
+    """
+    from marlstone.operators.knn import query_blocks
+
+    kind = dict(df.dtypes)[id]
+    rows = df.where(F.col(code).isNotNull()).select(F.col(id).alias("id"), F.col(code).alias("code"))
+    rough = None
+    for shared in query_blocks(queries, query_id, vector):
+        found = rows.mapInArrow(_rough(shared, df.sparkSession.sparkContext.broadcast(model), k * factor, metric), f"query_id long, id {kind}, d double")
+        rough = found if rough is None else rough.unionByName(found)
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
+    few = rough.withColumn("place", near).where(F.col("place") <= k * factor).select("query_id", "id")
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("__q"))
+    exact = few.join(df.select(F.col(id).alias("id"), F.col(vector).alias("__v")), "id").join(asked, "query_id")
+    exact = exact.select("query_id", "id", distance(F.col("__v"), F.col("__q"), metric).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def _rough(shared, model, k: int, metric: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(qid)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            if not len(ids):
+                continue
+            codes = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("code").to_pylist()])
+            for j, one in enumerate(q):
+                i, d = np.concatenate([best[j][0], ids]), np.concatenate([best[j][1], measured(model.value, codes, one, metric)])
+                at = np.lexsort((i, d))[:k]
+                best[j] = (i[at], d[at])
+        for j, (i, d) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), qid[j])), pa.array(i), pa.array(d)], names=["query_id", "id", "d"])
+
+    return run
+
+
+def to_arrays(model) -> dict[str, np.ndarray]:
+    """A codec as named arrays, which from_arrays() makes it of again."""
+    out = {}
+    for name, value in vars(model).items():
+        if isinstance(value, list):
+            out |= {f"{name}.{k}": x for k, x in enumerate(value)}
+        else:
+            out[name] = np.asarray(value)
+    return out
+
+
+def from_arrays(codec: str, arrays: dict[str, np.ndarray]):
+    if not arrays:
+        return None
+    plain = {k: v if v.ndim else v.item() for k, v in arrays.items() if "." not in k}
+    lists: dict[str, list] = {}
+    for k in sorted((k for k in arrays if "." in k), key=lambda k: int(k.split(".")[1])):
+        lists.setdefault(k.split(".")[0], []).append(arrays[k])
+    return CODECS[codec](**plain, **lists)
+
+
+#: Rows from which a codec can be trained.
+TRAIN_AFTER = 1000
+
+
+def encoded(df: DataFrame, codec: str, vector: str = "vector", id: str = "id", train_after: int = TRAIN_AFTER, codes_only: bool = False, sample: int = 100_000) -> tuple[DataFrame, object]:
+    """df with codes, and the codec; without codes (and None) while it has fewer than train_after rows.
+
+    Codecs without parameters need no rows. codes_only: the vectors go, so that this training is final.
+    """
+    if codec not in ("f16", "bf16") and df.where(F.col(vector).isNotNull()).limit(train_after).count() < train_after:
+        return df.withColumn("code", F.lit(None).cast("binary")), None
+    model = train(df, codec, vector, id, sample)
+    out = encode(df, model, vector)
+    return (out.drop(vector) if codes_only else out), model
+
+
 def error(df: DataFrame, model, vector: str = "vector") -> DataFrame:
     """The mean squared error per dimension of decoded vectors."""
     back = decode(encode(df.select(vector), model, vector), model)

@@ -44,15 +44,19 @@ def weighted(lists: Sequence[DataFrame], weights: Sequence[float] | None = None)
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("s").alias("score"))
 
 
-def hybrid(df: DataFrame, k: int, vector_query=None, text_query: str | None = None, sparse_query: dict | None = None, id: str = "id", vector: str = "vector", text: str = "text", posts: DataFrame | None = None, metric: str = "cosine", flt=None, weights: Sequence[float] | None = None, method: str = "rrf", rrf_k: float = 60.0, candidates: int | None = None, model: BM25 = BM25(), cut: bool = True) -> DataFrame:
-    """rank, id, score and the rank and value of each side. Sides are cut at depth() before they are fused."""
+def hybrid(df: DataFrame, k: int, vector_query=None, text_query: str | None = None, sparse_query: dict | None = None, id: str = "id", vector: str = "vector", text: str = "text", posts: DataFrame | None = None, metric: str = "cosine", flt=None, weights: Sequence[float] | None = None, method: str = "rrf", rrf_k: float = 60.0, candidates: int | None = None, model: BM25 = BM25(), cut: bool = True, index=None) -> DataFrame:
+    """rank, id, score and the rank and value of each side. Sides are cut at depth() before they are fused.
+
+    index: stored postings of the texts; without them the texts are scanned.
+    """
     n = depth(k, candidates)
     sides: list[tuple[str, DataFrame]] = []
     if vector_query is not None:
         d = knn(df, vector_query, n, metric, id, vector, flt).select("rank", F.col(id).alias("id"), "distance")
         sides.append(("vector", d.withColumn("similarity", -F.col("distance")).withColumnRenamed("distance", "value")))
     if text_query is not None:
-        d = bm25_search(df, text_query, n, model, id, text, flt).select("rank", F.col(id).alias("id"), F.col("score").alias("value"))
+        d = bm25_search(df, text_query, n, model, id, text, flt) if index is None else index.search(text_query, n, df, flt).withColumnRenamed("id", id)
+        d = d.select("rank", F.col(id).alias("id"), F.col("score").alias("value"))
         sides.append(("text", d.withColumn("similarity", F.col("value"))))
     if sparse_query is not None:
         q = df.sparkSession.createDataFrame([(int(t), float(w)) for t, w in sparse_query.items()], "term long, weight double")

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from marlstone.functions.vectors import METRICS, distance, literal, truncate
 from marlstone.operators.filters import where
 
-#: Queries up to which a batch is sent to all tasks as one block; more are taken in blocks.
-QUERY_BLOCK = 4096
+#: Rows of a list that one task writes.
+LIST_ROWS = 1_000_000
+#: Queries up to which a batch is sent to all tasks as one block, and the bytes that they take at most; more are taken
+#: in blocks, each a scan. Queries of a block that a task multiplies with its rows in one step.
+QUERY_BLOCK, QUERY_BYTES, STEP = 65_536, 64 << 20, 1024
 
 
 def _scored(df: DataFrame, query, metric: str, vector: str, flt, dims: int | None) -> DataFrame:
@@ -71,22 +74,28 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: str = "l2", quer
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     rows = where(df, flt).where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    context = df.sparkSession.sparkContext
-    total = queries.count()
-    blocks = max(1, -(-total // block))
     out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        got = part.select(F.col(query_id).cast("long"), F.col(query_vector).cast("array<double>")).toArrow()
-        ids = got.column(0).to_numpy()
-        q = np.array(got.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-        shared = context.broadcast((ids, _unit(q) if metric == "cosine" else q))
+    for shared in query_blocks(queries, query_id, query_vector, block, metric == "cosine"):
         found = rows.mapInArrow(_closest(shared, k, metric), "query_id long, id long, distance double")
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def query_blocks(queries: DataFrame, query_id: str, query_vector: str, block: int = QUERY_BLOCK, unit: bool = False) -> Iterator:
+    """Broadcasts of (ids, vectors) of stated queries, of `block` queries and QUERY_BYTES at most (about, as they are
+    dealt by a hash). For more queries than a few blocks deal the rows to lists: lists.search_all() shuffles both."""
+    total, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size(query_vector)), F.lit(1))).first()
+    blocks = max(1, -(-total // max(1, min(block, QUERY_BYTES // (8 * max(1, dim))))))
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+        got = part.select(F.col(query_id).cast("long"), F.col(query_vector).cast("array<double>")).toArrow()
+        ids, lists = got.column(0).to_numpy(), got.column(1).combine_chunks()
+        flat = lists.flatten().to_numpy() if len(ids) else np.zeros(0)
+        q = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+        yield queries.sparkSession.sparkContext.broadcast((ids, _unit(q) if unit else q))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     n = np.sqrt((v.astype(np.float64) ** 2).sum(1, keepdims=True))
     return np.where(n > 0, v / np.where(n > 0, n, 1), v).astype(np.float32).astype(np.float64)
@@ -100,15 +109,13 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 def _closest(shared, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
-        best: list[np.ndarray] = []
-        square = (q**2).sum(1)
+        qid, every = shared.value
+        steps = [(qid[s : s + STEP], every[s : s + STEP], (every[s : s + STEP] ** 2).sum(1)) for s in range(0, len(qid), STEP)] if k else []
+        best: list[np.ndarray | None] = [None] * len(steps)
 
-        def cut(parts: list[np.ndarray]) -> list[np.ndarray]:
-            every = np.concatenate(parts)
-            every = every[np.lexsort((every["id"], every["d"], every["q"]))]
-            place = np.arange(len(every)) - np.searchsorted(every["q"], every["q"])
-            return [every[place < k]]
+        def cut(rows: np.ndarray) -> np.ndarray:
+            rows = rows[np.lexsort((rows["id"], rows["d"], rows["q"]))]
+            return rows[np.arange(len(rows)) - np.searchsorted(rows["q"], rows["q"]) < k]
 
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
@@ -116,24 +123,24 @@ def _closest(shared, k: int, metric: str):
                 ids = part.column(0).to_numpy()
                 v = part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
                 v = _unit(v) if metric == "cosine" else v
-                with np.errstate(over="ignore", invalid="ignore"):
-                    rough = -q @ v.T
-                    if metric == "l2":
-                        rough = 2 * rough + square[:, None] + (v**2).sum(1)[None]
-                    m = min(k + 8, len(ids))
-                    at = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-                    if not k or not len(qid):
-                        continue
-                    # rows that tie with the last one kept must stay in the race
-                    edge = np.take_along_axis(rough, at, 1).max(1)
-                    near = rough <= (edge + 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
-                    near |= ~np.isfinite(rough)
-                    a, b = np.nonzero(near)
-                    rows = np.zeros(len(a), [("q", "i8"), ("id", "i8"), ("d", "f8")])
-                    rows["q"], rows["id"], rows["d"] = qid[a], ids[b], _exact(q[a], v[b], metric)
-                best = cut([*best, rows])
+                for n, (names, q, square) in enumerate(steps):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        rough = -q @ v.T
+                        if metric == "l2":
+                            rough = 2 * rough + square[:, None] + (v**2).sum(1)[None]
+                        m = min(k + 8, len(ids))
+                        at = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
+                        # rows that tie with the last one kept must stay in the race
+                        edge = np.take_along_axis(rough, at, 1).max(1)
+                        near = rough <= (edge + 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
+                        near |= ~np.isfinite(rough)
+                        a, b = np.nonzero(near)
+                        rows = np.zeros(len(a), [("q", "i8"), ("id", "i8"), ("d", "f8")])
+                        rows["q"], rows["id"], rows["d"] = names[a], ids[b], _exact(q[a], v[b], metric)
+                    best[n] = cut(rows if best[n] is None else np.concatenate([best[n], rows]))
         for rows in best:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("q", "id", "d")], names=["query_id", "id", "distance"])
+            if rows is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("q", "id", "d")], names=["query_id", "id", "distance"])
 
     return run
 
@@ -173,7 +180,9 @@ class InvertedLists:
         centres = kmeans(_unit(x) if metric == "cosine" else x, lists, rounds)
         dealt = df.withColumn("list_id", cls._nearest(df, centres, metric, vector))
         if path:
-            dealt.repartition("list_id").write.partitionBy("list_id").mode("overwrite").parquet(path)
+            # a large list is written by several tasks
+            salted = dealt.withColumn("__salt", F.pmod(F.xxhash64(id), F.lit(max(1, n // max(1, lists) // LIST_ROWS))))
+            salted.repartition("list_id", "__salt").drop("__salt").write.partitionBy("list_id").mode("overwrite").parquet(path)
             dealt = df.sparkSession.read.parquet(path)
         return cls(dealt, centres, metric, id, vector)
 
@@ -197,12 +206,17 @@ class InvertedLists:
 
     def search(self, query, k: int, probes: int = 8, flt=None) -> DataFrame:
         near = self.order(query)
-        while True:
-            part = self.df if probes >= len(near) else self.df.where(F.col("list_id").isin(near[:probes]))
-            found = knn(part, query, k, self.metric, self.id, self.vector, flt)
-            if probes >= len(near) or found.count() >= k:
-                return found
-            probes *= 2
+        if probes >= len(near):
+            return knn(self.df, query, k, self.metric, self.id, self.vector, flt)
+        matches = where(self.df, flt).where(F.col(self.vector).isNotNull()).groupBy("list_id").agg(F.count("*").alias("n"))
+        sizes = {r["list_id"]: r["n"] for r in matches.collect()}  # a row for each list
+        held = np.cumsum([sizes.get(x, 0) for x in near])
+        probes = min(len(near), max(probes, int(np.searchsorted(held, k)) + 1))
+        return knn(self.df.where(F.col("list_id").isin(near[:probes])), query, k, self.metric, self.id, self.vector, flt)
+
+    def list_of(self, key: int) -> int | None:
+        row = self.df.where(F.col(self.id) == key).select("list_id").first()
+        return None if row is None else row[0]
 
     def sizes(self) -> DataFrame:
         return self.df.groupBy("list_id").agg(F.count("*").alias("n"))
@@ -219,14 +233,3 @@ def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 #: Matches up to which, and shares of matches up to which, a filtered search is exact.
 EXACT_MATCHES, EXACT_SHARE, WIDE_SHARE = 2000, 0.01, 0.20
-
-
-def plan_search(df: DataFrame, flt, lists: int, probes: int) -> dict:
-    """How a filtered search through lists is best done: exact for few matches, else with probes widened by selectivity."""
-    total = df.count()
-    hits = total if flt is None else where(df, flt).count()
-    share = hits / total if total else 0.0
-    if hits <= EXACT_MATCHES or share <= EXACT_SHARE:
-        return {"strategy": "exact", "reason": "few rows match", "selectivity": share, "probes": lists}
-    wide = probes if share >= WIDE_SHARE else min(lists, int(np.ceil(probes * WIDE_SHARE / share)))
-    return {"strategy": "lists", "reason": "many rows match", "selectivity": share, "probes": wide}

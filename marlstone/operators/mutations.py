@@ -70,6 +70,13 @@ def upsert(df: DataFrame, new: DataFrame, id: str = "id", order: str | None = No
     return df.join(new.select(id), id, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def update(df: DataFrame, new: DataFrame, id: str = "id") -> DataFrame | None:
+    """As upsert(), if all ids of new are there; None if one isn't."""
+    if not new.join(df.select(id), id, "left_anti").isEmpty():
+        return None
+    return upsert(df, new, id)
+
+
 def add(df: DataFrame, new: DataFrame, id: str = "id") -> DataFrame:
     """All rows of new, or an error if an id is null, twice there, or taken."""
     bad = new.where(F.col(id).isNull() | (F.col(id) < 0)).limit(1).count() or new.groupBy(id).count().where("count > 1").limit(1).count() or new.join(df.select(id), id, "left_semi").limit(1).count()

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.operators.filters import kind_of, matches
+from marlstone.functions.dates import now_ms, to_ms
+from marlstone.operators.filters import as_filter, kind_of, matches
 
 
 def _number(fields: dict, name: str) -> Column | None:
@@ -77,6 +78,66 @@ class MatchBoost:
         return F.when(matches(self.flt, fields), float(self.bonus)).otherwise(0.0)
 
 
+#: Milliseconds of the units in which half lives are given.
+_UNITS = {"half_life": 1, "half_life_seconds": 1000, "half_life_minutes": 60_000, "half_life_hours": 3_600_000, "half_life_days": 86_400_000}
+
+
+def _listed(x, single) -> list:
+    return [] if x is None else [x] if isinstance(x, single) else list(x)
+
+
+def _known(rule: dict, required: str, *others: str) -> dict:
+    if required not in rule or set(rule) - {required, *others}:
+        raise ValueError(f"a rule takes {required} and may take {', '.join(others)}; not {sorted(set(rule) - {required, *others})}")
+    return rule
+
+
+def _decay(rule: dict) -> RecencyDecay:
+    units = [u for u in _UNITS if u in rule]
+    if len(units) != 1:
+        raise ValueError(f"a decay has one of {', '.join(_UNITS)}")
+    _known(rule, "field", "origin", "shape", "missing", "floor", *_UNITS)
+    shapes = {"exponential": "exp", "linear": "linear"}
+    if rule.get("shape", "exponential") not in shapes:
+        raise ValueError("a decay is exponential or linear")
+    origin = to_ms(rule["origin"]) if "origin" in rule else now_ms()
+    return RecencyDecay(rule["field"], float(origin), float(rule[units[0]]) * _UNITS[units[0]], shapes[rule.get("shape", "exponential")], float(rule.get("floor", 0.0)), float(rule.get("missing", 1.0)))
+
+
+def _multiplier(rule: str | dict) -> FieldMultiplier:
+    rule = _known({"field": rule} if isinstance(rule, str) else rule, "field", "missing", "min", "max")
+    return FieldMultiplier(rule["field"], float(rule.get("min", 0.0)), float(rule.get("max", math.inf)), float(rule.get("missing", 1.0)))
+
+
+def _boost(rule: dict | tuple) -> MatchBoost:
+    when, bonus = (rule["when"], rule["bonus"]) if isinstance(rule, dict) else rule
+    return MatchBoost(as_filter(when), float(bonus))
+
+
+def as_modifiers(spec) -> dict:
+    """modifiers (a list) and pool (or None), from a list of modifiers or from a dict of decay, multiply, boost and pool.
+
+    A decay is {field, half_life (or _seconds, _minutes, _hours, _days), origin, shape, missing, floor}; a multiplier is
+    a field's name or {field, missing, min, max}; a boost is {when, bonus} or a pair of a filter and a bonus. Each may be
+    one rule or a list.
+    """
+    if spec is None:
+        return {"modifiers": [], "pool": None}
+    if not isinstance(spec, dict):
+        if isinstance(spec, (str, bytes)) or not isinstance(spec, Sequence):
+            raise TypeError("modifiers are a list or a dict of rules")
+        return {"modifiers": list(spec), "pool": None}
+    if set(spec) - {"decay", "multiply", "boost", "pool"}:
+        raise ValueError(f"unknown rules {sorted(set(spec) - {'decay', 'multiply', 'boost', 'pool'})}")
+    pair = isinstance(spec.get("boost"), tuple) and len(spec["boost"]) == 2 and isinstance(spec["boost"][1], (int, float))
+    boosts = [spec["boost"]] if pair else _listed(spec.get("boost"), dict)
+    rules = [*map(_decay, _listed(spec.get("decay"), dict)), *map(_multiplier, _listed(spec.get("multiply"), (str, dict))), *map(_boost, boosts)]
+    pool = int(spec["pool"]) if "pool" in spec else None
+    if pool is not None and pool < 0:
+        raise ValueError("a pool has no fewer than 0 candidates")
+    return {"modifiers": rules, "pool": pool}
+
+
 def modified(df: DataFrame, score: str, modifiers: Sequence) -> DataFrame:
     """df with base_score, and score times all factors plus all bonuses."""
     fields = {f.name: f.dataType for f in df.schema if f.name != score and _filterable(f.dataType)}

@@ -82,8 +82,9 @@ def top(scores: DataFrame, k: int, id: str = "id") -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), id)).alias("rank"), id, "score")
 
 
-def bm25_search(df: DataFrame, query: str, k: int, model: BM25 = BM25(), id: str = "id", text: str = "text", flt=None) -> DataFrame:
-    """rank, id, score. Statistics cover all documents with a text; the filter applies to the results."""
+def bm25_search(df: DataFrame, query: str, k: int, model: BM25 = BM25(), id: str = "id", text: str = "text", flt=None, among: DataFrame | None = None) -> DataFrame:
+    """rank, id, score, by one scan of the texts; postings.Postings keeps what it finds. Statistics cover all documents
+    with a text; the filter, and a table of ids that may be found, apply to the results."""
     spark = df.sparkSession
     terms = spark.createDataFrame([(query,)], "q string").select(model.tokens(F.col("q"))).first()[0]
     posts = postings(df, model, id, text, terms)  # other terms are never shuffled
@@ -91,6 +92,8 @@ def bm25_search(df: DataFrame, query: str, k: int, model: BM25 = BM25(), id: str
     scores = sparse_scores(posts, query_weights(posts, documents, query, model))
     if flt is not None:
         scores = scores.join(where(df, flt).select(F.col(id).alias("id")), "id", "left_semi")
+    if among is not None:
+        scores = scores.join(among.select(F.col(id).alias("id")), "id", "left_semi")
     return top(scores, k).withColumnRenamed("id", id)
 
 

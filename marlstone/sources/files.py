@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -115,19 +116,105 @@ def from_pages(spark: SparkSession, fetch, schema, size: int = 10_000) -> DataFr
     return out
 
 
-def _g(c, digits: int):
-    return F.format_string(f"%.{digits}g", c)
+def from_chroma(spark: SparkSession, collection, size: int = 1000, path: str | None = None) -> tuple[DataFrame, str]:
+    """key, vector, text and metadata (a map of texts) of a Chroma collection, and its metric.
+
+    Pages go to Parquet one by one (path, or a new shared folder), so the driver holds one at a time.
+    """
+    import uuid
+
+    from marlstone.sources.store import shared_folder
+
+    if size < 1:
+        raise ValueError("a page has a row at least")
+    metric = (getattr(collection, "metadata", None) or {}).get("hnsw:space", "l2")
+    if metric not in ("l2", "ip", "cosine"):
+        raise ValueError(f"unknown space {metric!r}")
+    path, at = path or f"{shared_folder(spark)}/chroma-{uuid.uuid4().hex}", 0
+    schema = "key string, vector array<float>, text string, metadata map<string,string>"
+    while ids := list((page := collection.get(include=["embeddings", "documents", "metadatas"], limit=size, offset=at)).get("ids") or []):
+        vectors = page.get("embeddings")
+        if vectors is None or len(vectors) != len(ids):
+            raise ValueError("the collection gives no embeddings")
+        texts, fields = page.get("documents") or [None] * len(ids), page.get("metadatas") or [None] * len(ids)
+        rows = [(str(i), [float(x) for x in v], t, {k: str(x) for k, x in (m or {}).items()}) for i, v, t, m in zip(ids, vectors, texts, fields)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        at += len(ids)
+    if not at:
+        raise ValueError("the collection is empty")
+    return spark.read.schema(schema).parquet(path), metric
+
+
+def write_fbin(df: DataFrame, path: str, id: str = "id", vector: str = "vector") -> int:
+    """One vector file of all rows by id; the number of rows. Rows pass through the driver a partition at a time."""
+    rows = df.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<float>").alias("v"))
+    n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if n and (least != most or least < 1) or n >= 2**32:
+        raise FormatError("vectors of a file have one dimension, and fewer than 2^32 rows")
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).create(at, False)
+    out.write(bytearray(struct.pack("<II", n, most or 0)))
+    held: list[bytes] = []
+    for r in rows.orderBy(id).toLocalIterator():
+        held.append(np.asarray(r["v"], "<f4").tobytes())
+        if len(held) * 4 * most >= PART:
+            out.write(bytearray(b"".join(held)))
+            held = []
+    out.write(bytearray(b"".join(held)))
+    out.close()
+    return n
+
+
+def _text(value, kind: T.DataType) -> str:
+    """A value as JSON: floats with 9 digits and doubles with 17, which read back as they are."""
+    if value is None:
+        return "null"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return ("%.9g" if isinstance(kind, T.FloatType) else "%.17g") % value
+    if isinstance(kind, T.ArrayType):
+        return "[" + ",".join(_text(x, kind.elementType) for x in value) + "]"
+    if isinstance(kind, T.StructType):
+        return "{" + ",".join(f"{json.dumps(f.name)}:{_text(value[f.name], f.dataType)}" for f in kind) + "}"
+    return json.dumps(value, ensure_ascii=False, default=str)
+
+
+#: The columns of a document that aren't metadata, in the order of an export.
+PARTS = ("id", "key", "expires_at", "vector", "sparse", "text")
+
+
+def _ordered(df: DataFrame, vectors: bool, limit: int) -> tuple[DataFrame, list[str], list[str]]:
+    parts = [c for c in PARTS if c in df.columns and (vectors or c not in ("vector", "sparse"))]
+    fields = sorted(c for c in df.columns if c not in PARTS)
+    rows = df.select(*parts, *fields).orderBy("id")
+    return (rows.limit(limit) if limit else rows), parts, fields
 
 
 def export_json(df: DataFrame, path: str, vectors: bool = True, limit: int = 0) -> None:
-    """A line of JSON per row; limit 0: all rows."""
-    df = df if vectors else df.drop(*(f.name for f in df.schema if f.dataType == T.ArrayType(T.FloatType())))
-    (df.limit(limit) if limit else df).write.mode("errorifexists").json(path)
+    """A line of JSON per row, by id: the parts of a document, and an object of the fields that it has. limit 0: all rows."""
+    rows, parts, fields = _ordered(df, vectors, limit)
+    kinds = {f.name: f.dataType for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for r in batch.to_pylist():
+                own = ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(r[k], kinds[k])}" for k in fields if r[k] is not None)
+                lines.append("{" + ",".join([*(f'"{k}":{_text(r[k], kinds[k])}' for k in parts), f'"metadata":{{{own}}}']) + "}")
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    rows.mapInArrow(run, "value string").write.mode("errorifexists").text(path)
 
 
 def export_csv(df: DataFrame, path: str, vectors: bool = True, limit: int = 0) -> None:
-    """CSV with a header, id first, then other columns by name; arrays and structs are JSON texts."""
-    df = df if vectors else df.drop(*(f.name for f in df.schema if f.dataType == T.ArrayType(T.FloatType())))
-    flat = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
-    df = df.withColumns(flat).select("id", *sorted(c for c in df.columns if c != "id"))
-    (df.limit(limit) if limit else df).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """CSV (RFC 4180) with a header, by id: the parts of a document, then the fields by name; arrays and structs are
+    JSON, and what is missing is empty. limit 0: all rows."""
+    rows, parts, fields = _ordered(df, vectors, limit)
+    kinds, names = {f.name: f.dataType for f in rows.schema}, [*parts, *fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [[None if x is None else x if isinstance(kinds[k], T.StringType) else _text(x, kinds[k]) for x in batch.column(k).to_pylist()] for k in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cells], names=names)
+
+    cells = rows.mapInArrow(run, T.StructType([T.StructField(k, T.StringType()) for k in names]))
+    cells.write.mode("errorifexists").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

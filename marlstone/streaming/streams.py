@@ -11,23 +11,25 @@ from marlstone.sources.store import Store
 
 
 def upsert_stream(stream: DataFrame, store: Store, checkpoint: str, order: str, id: str = "id", **trigger) -> StreamingQuery:
-    """Each batch of a stream is one change; of several rows with an id the last by `order` counts."""
+    """Each batch of a stream is one change; of several rows with an id the last by `order` counts. A batch that is run
+    again after a loss is known by its number and logged once."""
     from pyspark.sql import Window
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, n: int) -> None:
         last = F.row_number().over(Window.partitionBy(id).orderBy(F.desc(order)))
         rows = batch.withColumn("__n", last).where("__n = 1").drop("__n")
         if not rows.isEmpty():
-            store.upsert(rows)
+            store.upsert(rows, (checkpoint, n))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def search_stream(queries: DataFrame, table: DataFrame, k: int, out: str, checkpoint: str, metric: str = "cosine", **trigger) -> StreamingQuery:
-    """The nearest rows of a table for each query (query_id, vector) of a stream, appended to Parquet."""
+    """The nearest rows of a table for each query (query_id, vector) of a stream, as Parquet below out: a folder for each
+    batch, which a batch that is run again replaces."""
 
     def write(batch: DataFrame, n: int) -> None:
-        knn_join(batch, table, k, metric).withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+        knn_join(batch, table, k, metric).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -14,7 +14,7 @@ from marlstone.functions import dates, text
 from marlstone.operators import mutations
 from marlstone.operators.collection import Collection
 from marlstone.operators.filters import Filter
-from marlstone.operators.labels import Index
+from marlstone.operators.labels import BFIndex, Index
 from marlstone.sources import files
 from marlstone.sources.store import Store
 from marlstone.streaming import streams
@@ -119,6 +119,7 @@ def test_collection(spark, tmp_path):
     for bad in ({"vector": [1.0]}, {"vector": [1, 2, float("nan")]}, {"nope": 1}, {"sparse": {-1: 1.0}}):
         with pytest.raises(ValueError):
             c.upsert(5, **bad)
+    assert c.facets(["lang"])["lang"]["values"] == [("fr", 4), ("en", 3)]
     c.create_payload_index("lang")
     assert c.payload_indexes() == ["lang"] and not c.maintain(99) and c.maintain(1) and c.health()["live"] == 7
     assert c.recommend([2], k=1).count() == 1 and c.search_groups([1, 0, 0], "lang", 1).count() == 1
@@ -126,6 +127,103 @@ def test_collection(spark, tmp_path):
         c.search()
 
 
+def test_collection_names_and_statistics(spark, tmp_path, monkeypatch):
+    from marlstone.functions.text import id_of
+    from marlstone.operators import collection as module
+
+    fields = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())])
+    c = Collection(spark, str(tmp_path / "c"), 2, fields)
+    c.upsert_many([("a", {"vector": [1, 0], "text": "red fish", "metadata_text": "m"}), ("b", {"vector": [0, 1], "text": "red", "n": 3}), ("old", {"text": "red", "expires_at": 5})])
+    key = c.get("a")["id"]
+    assert key == id_of("a") >> 1 and c.get_vector("a") == [1.0, 0.0] and c.get_metadata("a") == {"metadata_text": "m"} and c.get_vector("zz") is None
+    assert c.update("a", vector=[1, 1], text="red fish") and not c.update("zz", text="x") and c.get_vector("a") == [1.0, 1.0]
+    for bad in (-1, 1.5, True):
+        with pytest.raises(ValueError):
+            c.upsert(bad, text="x")
+    with pytest.raises(module.KeyClash):
+        c.upsert(key, text="a number with the id of a key")
+    monkeypatch.setattr(module, "id_of", lambda k: 14)
+    with pytest.raises(module.KeyClash):
+        c.upsert_many([("p", {"text": "x"}), ("q", {"text": "y"})])
+    c.upsert("p", text="x")
+    with pytest.raises(module.KeyClash):
+        c.upsert("q", text="y")
+    monkeypatch.undo()
+    assert c.remove(7) == 1
+    # what has expired counts in the statistics of texts, and isn't found
+    idf = np.log(1 + (3 - 3 + 0.5) / (3 + 0.5))
+    got = c.search(5, text="red").orderBy("rank").collect()
+    assert len(got) == 2 and max(r.text_score for r in got) == pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 / 100)), rel=1e-6)
+    c.create_text_index()
+    again = c.search(5, text="red").orderBy("rank").collect()
+    assert [(r.id, r.text_score) for r in again] == [(r.id, r.text_score) for r in got]
+    c.upsert(8, text="blue")  # the index is stale, the search is not
+    assert c.search(5, text="blue").first().id == 8
+    c.refresh()
+    assert c.search(5, text="blue").first().id == 8
+    stats = {}
+    c.create_vector_index(lists=2)
+    assert [r.id for r in c.near([0, 1], 1, stats=stats).collect()] == [c.get("b")["id"]]
+
+
+def test_collection_in_and_out(spark, tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+
+    fields = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.LongType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("text", T.StringType()), T.StructField("x", T.DoubleType())])
+    c = Collection(spark, str(tmp_path / "c"), 2, fields)
+    pdf = pd.DataFrame({"name": ["a", "b", "c"], "v": [np.array([1.0, 0.0]), [0.0, 1.0], None], "body": ["one", None, "three"], "lang": ["en", None, pd.NA], "at": [pd.Timestamp("2020-01-01"), pd.NaT, pd.NaT], "tags": [["p", "p"], {"q"}, None], "text": ["m1", None, None], "x": [1.5, float("nan"), 2.0]})
+    c.upsert_pandas(pdf, id_column="name", vector_column="v", text_column="body")
+    assert c.get_metadata("a") == {"lang": "en", "at": 1577836800000, "tags": ["p"], "metadata_text": "m1", "x": 1.5} and c.get_metadata("b") == {"tags": ["q"]}
+    back = c.to_pandas()
+    assert set(back.columns) >= {"id", "key", "expires_at", "vector", "sparse", "text", "metadata_text"} and len(back) == 3
+    c.write_parquet(str(tmp_path / "out"))
+    for read in (lambda d: d.upsert_parquet(str(tmp_path / "out")), lambda d: d.upsert_arrow(c.to_arrow())):
+        d = Collection(spark, str(tmp_path / f"d{id(read)}"), 2, fields)
+        read(d)
+        assert sorted(map(str, d.table().collect())) == sorted(map(str, c.table().collect()))
+    fixed = pa.table({"id": pa.array([1, 2], pa.uint64()), "vector": pa.FixedSizeListArray.from_arrays(pa.array([1, 0, 0, 1], pa.float32()), 2), "lang": ["en", None]})
+    e = Collection(spark, str(tmp_path / "e"), 2, fields)
+    e.upsert_arrow(fixed)
+    assert e.get_vector(2) == [0.0, 1.0]
+    for bad in (pa.table({"id": [None, 1]}), pa.table({"vector": [[1.0, 2.0]]}), pa.table({"id": [1], "vector": [[1.0]]}), pa.table({"id": [1], "nope": [1]}), pa.table({"id": [-1]})):
+        with pytest.raises(ValueError):
+            e.upsert_arrow(bad)
+
+
+def test_exports(spark, tmp_path):
+    import csv
+    import io
+    import json
+
+    rows = [(2, 0.1, 1 / 3, 'a "b", c\n', ["x", "y"], [0.1, 2.0]), (1, None, None, "", None, None), (3, 1e-7, 1e300, None, [], [1.0])]
+    t = spark.createDataFrame(rows, "id long, f float, g double, text string, tags array<string>, vector array<float>")
+    files.export_json(t, str(tmp_path / "j"))
+    lines = [json.loads(x) for p in sorted((tmp_path / "j").glob("part*")) for x in p.read_text().splitlines()]
+    assert [x["id"] for x in lines] == [1, 2, 3] and list(lines[1]) == ["id", "vector", "text", "metadata"]
+    assert lines[0]["metadata"] == {} and lines[1]["metadata"]["g"] == 1 / 3 and np.float32(lines[1]["metadata"]["f"]) == np.float32(0.1) and lines[1]["text"] == rows[0][3]
+    files.export_csv(t.coalesce(1), str(tmp_path / "c"), vectors=False, limit=2)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "c").glob("part*")))
+    got = list(csv.DictReader(io.StringIO(text)))
+    assert [r["id"] for r in got] == ["1", "2"] and got[1]["text"] == rows[0][3] and got[1]["tags"] == '["x","y"]' and got[0]["f"] == "" and got[1]["f"] == "0.100000001"
+    assert files.write_fbin(t.where("id = 2"), str(tmp_path / "one.fbin")) == 1
+    assert files.read_fbin(spark, str(tmp_path / "one.fbin")).first().vector == pytest.approx([0.1, 2.0])
+    with pytest.raises(files.FormatError):
+        files.write_fbin(t, str(tmp_path / "two.fbin"))
+
+
+def test_chroma(spark, tmp_path):
+    class Fake:
+        metadata = {"hnsw:space": "cosine"}
+
+        def get(self, include, limit, offset):
+            ids = [f"k{i}" for i in range(offset, min(5, offset + limit))]
+            return {"ids": ids, "embeddings": [[1.0, float(i)] for i in range(len(ids))], "documents": ["t"] * len(ids), "metadatas": [{"a": 1}] * len(ids)}
+
+    got, metric = files.from_chroma(spark, Fake(), 2)
+    assert metric == "cosine" and sorted(r.key for r in got.collect()) == [f"k{i}" for i in range(5)] and got.first().metadata == {"a": "1"}
+
+
 def test_vector_files(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     (tmp_path / "a.fbin").write_bytes(files.fbin_bytes(x))
@@ -156,6 +254,20 @@ def test_labels(spark):
             bad()
     i.add_items([[2, 2]], [9], replace_deleted=True)
     assert sorted(i.get_ids_list()) == [6, 7, 9]
+    assert i.knn_query([1, 0], 2, filter=lambda x: x != 9)[0].tolist() == [[7, 6]]
+    b = BFIndex(spark, "cosine", 2)
+    b.init_index(5)
+    b.add_items([[2, 0], [0, 3], [1, 1]])
+    ids, d = b.knn_query([[3, 0]], 2)
+    assert ids.tolist() == [[0, 2]] and d[0] == pytest.approx([1 - 3, 1 - 3 / 2**0.5])
+    b.delete_vector(0)
+    assert b.knn_query([3, 0], 1)[0].tolist() == [[2]] and b.get_items([1]).tolist() == [[0, 3]]
+    with pytest.raises(RuntimeError):
+        b.delete_vector(0)
+    i.save_index("file:" + str(spark.conf.get("spark.sql.warehouse.dir")).removeprefix("file:") + "/labels")
+    j = Index(spark, "ip", 2)
+    j.load_index("file:" + str(spark.conf.get("spark.sql.warehouse.dir")).removeprefix("file:") + "/labels", 9)
+    assert sorted(j.get_ids_list()) == [6, 7, 9] and j.get_max_elements() == 9
 
 
 def test_streams(spark, tmp_path):

@@ -73,7 +73,7 @@ def test_lists(table, tmp_path):
     assert lists.search(X[0], 200, 1).count() == 200  # it reads on until there are enough
     found = [len({r.id for r in lists.search(X[0], 10, p).collect()} & set(exact)) for p in (1, 4, 12)]
     assert found == sorted(found) and lists.sizes().agg(F.sum("n")).first()[0] == 300
-    assert knn.plan_search(table, Filter.eq("g", 1), 12, 2)["strategy"] == "exact"
+    assert lists.list_of(5) in range(12) and lists.list_of(-1) is None
 
 
 @pytest.mark.parametrize(("name", "least"), [("sq8", 0.99), ("f16", 0.999), ("bf16", 0.99), ("pq", 0.9), ("rabitq", 0.7), ("binary", 0.5)])
@@ -82,7 +82,16 @@ def test_codecs(table, name, least):
     back = np.array([r.decoded for r in codecs.decode(codecs.encode(table, model), model).orderBy("id").collect()])
     kept = np.linalg.norm(X - back) ** 2 / np.linalg.norm(X - X.mean(0)) ** 2
     assert 1 - kept > least - 0.2
-    assert codecs.coded_knn(codecs.encode(table, model), model, X[0], 5, factor=60).count() == 5
+    exact = {m: [r.id for r in knn.knn(table, X[0], 5, m).orderBy("rank").collect()] for m in ("l2", "ip", "cosine")}
+    for m in exact:  # as many candidates as rows
+        assert [r.id for r in codecs.coded_knn(codecs.encode(table, model), model, X[0], 5, m, factor=60).orderBy("rank").collect()] == exact[m]
+    codes = model.encode(X)
+    for m in exact:
+        v = np.asarray(model.decode(codes), float)
+        want = {"l2": ((v - X[0]) ** 2).sum(1), "ip": -(v @ X[0]), "cosine": 1 - v @ X[0] / np.maximum(1e-12, np.linalg.norm(v, axis=1) * np.linalg.norm(X[0]))}[m]
+        assert np.abs(codecs.measured(model, codes, X[0], m) - want).max() < 0.02 * np.abs(want).max()
+    copied = codecs.from_arrays(name, codecs.to_arrays(model))
+    assert (copied.encode(X) == codes).all()
     assert codecs.error(table, model).first()[0] >= 0
 
 
@@ -177,3 +186,45 @@ def test_groups_and_recommendations(table):
     for p, n in (([], [1]), ([1], [1]), ([9999], [])):
         with pytest.raises(ValueError):
             aggregates.recommend(table, p, n)
+
+
+def test_modifiers_by_rules(spark):
+    got = scoring.as_modifiers({"decay": {"field": "at", "origin": "1970-01-02", "half_life_days": 2, "shape": "linear", "floor": 0.1}, "multiply": ["m", {"field": "n", "min": 1, "max": 3}], "boost": ({"b": True}, 0.5), "pool": 50})
+    assert got["pool"] == 50
+    assert got["modifiers"] == [scoring.RecencyDecay("at", 86_400_000.0, 172_800_000.0, "linear", 0.1), scoring.FieldMultiplier("m"), scoring.FieldMultiplier("n", 1.0, 3.0), scoring.MatchBoost(Filter.eq("b", True), 0.5)]
+    assert scoring.as_modifiers(None) == {"modifiers": [], "pool": None}
+    for bad in ({"nope": 1}, {"decay": {"field": "a"}}, {"decay": {"field": "a", "half_life": 1, "half_life_days": 1}}, {"decay": {"field": "a", "half_life": 1, "shape": "x"}}, {"multiply": {"min": 1}}, {"multiply": {"field": "a", "mean": 1}}):
+        with pytest.raises(ValueError):
+            scoring.as_modifiers(bad)
+    with pytest.raises(TypeError):
+        scoring.as_modifiers("decay")
+
+
+def test_searches_with_options(table):
+    from marlstone.operators import search
+
+    rules = {"multiply": {"field": "g", "min": 0.0, "max": 2.0}, "pool": 300}
+    got = search.dense(table, X[0], 5, "l2", modifiers=rules, columns=["g"]).orderBy("rank").collect()
+    base = {i: 1 / (1 + d) for d, i in plain(X[0], "l2")}
+    want = sorted(base, key=lambda i: -base[i] * (i % 3))[:5]
+    assert [r.id for r in got] == want and all(r.score == pytest.approx(r.base_score * r.g) for r in got)
+    odd = search.dense(table, X[0], 4, "l2", predicate=lambda ids: ids % 2 == 1).orderBy("rank").collect()
+    assert [r.id for r in odd] == [i for _, i in plain(X[0], "l2") if i % 2][:4]
+    assert {r.id for r in search.dense(table, X[0], 9, "l2", predicate=[1, 2, 999]).collect()} == {1, 2}
+    assert search.dense(table, X[0], 4, "cosine", diversity=0.5).count() == 4
+    texts = table.withColumn("text", F.concat(F.lit("word"), F.col("g").cast("string")))
+    found = search.by_text(texts, "word1", 3, modifiers={"boost": {"when": {"g": 1}, "bonus": 2.0}}, predicate=lambda ids: ids > 10).orderBy("rank").collect()
+    assert [r.id for r in found] == [13, 16, 19] and all(r.score == pytest.approx(r.base_score + 2) for r in found)
+    both = search.hybrid(texts, 3, modifiers={"boost": ({"g": 2}, 9.0)}, vector_query=X[0], text_query="word1 word2", metric="l2").orderBy("rank").collect()
+    assert all(r.id % 3 == 2 for r in both) and len(both) == 3
+    hits = search.as_hits(search.hybrid(texts, 3, vector_query=X[0], text_query="word1", metric="l2"))
+    assert list(hits["rank"]) == [1, 2, 3] and str(hits["text_rank"].dtype) == "Int64"
+    with pytest.raises(ValueError):
+        search.hybrid(texts, 3, text_query="word1", diversity=0.5)
+
+
+def test_facet_summary_counts_what_lies_beyond(spark):
+    t = spark.createDataFrame([(i, float(i % 7) if i % 7 else -0.0) for i in range(70)] + [(99, None)], "id long, x double")
+    got = aggregates.facet_summary(t, aggregates.FacetRequest("x", 2)).first()
+    assert (got.total, got.missing, got.distinct, got.other) == (70, 1, 7, 50)
+    assert aggregates.facet_summary(t.limit(0), aggregates.FacetRequest("x")).first().asDict() == {"total": 0, "missing": 0, "distinct": 0, "other": 0}
