@@ -56,25 +56,26 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokens=words,
     tokens makes the count of tokens (at least 1) of the text column. A document of more than max_length tokens is in
     several sequences; none is dropped or cut short. The histogram has max_length rows at most, whatever the corpus.
     A batch of a bucket holds the sequences whose padded tokens fit budget (one at least); only the last of a bucket
-    is not full. Sequences are numbered by shards of about `shard` rows, dealt by a hash of id and piece and ordered
-    in themselves, with running offsets over the shards: no bucket meets in one task. Null ids and repeated rows are
-    sequences like others (ties are ordered by length, and rows that agree in all are alike). Empty tables give no
-    rows; other columns are not read.
+    is not full. Sequences are numbered by shards of about `shard` rows, dealt by a hash of id, text and piece and
+    ordered in themselves, with running offsets over the shards: no bucket, and no id that many texts share or lack,
+    meets in one task; only repeats of one row do. Null ids and repeated rows are sequences like others (ties are ordered
+    by length and text, and rows that agree in all are alike); a very long text is dealt into sequences. Empty tables
+    give no rows; other columns are not read.
     """
     n = tokens(F.col(text))
-    counted = table(docs.select(F.col(id).alias("id"), F.greatest(n, F.lit(1)).cast("long").alias("n")), "lengths")
-    pieces = counted.select("id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / max_length).cast("int"))).alias("piece"))
-    pieces = pieces.select("id", "piece", (F.col("piece").cast("long") * max_length).alias("first_token"), F.least(F.lit(max_length), F.col("n") - F.col("piece").cast("long") * max_length).alias("n_tokens"))
+    counted = table(docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.greatest(n, F.lit(1)).cast("long").alias("n")), "lengths")
+    pieces = counted.select("id", "h", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / max_length).cast("int"))).alias("piece"))
+    pieces = pieces.select("id", "h", "piece", (F.col("piece").cast("long") * max_length).alias("first_token"), F.least(F.lit(max_length), F.col("n") - F.col("piece").cast("long") * max_length).alias("n_tokens"))
     histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     tops = boundaries(histogram, buckets)
     shards = max(1, -(-sum(histogram.values()) // shard))
     bounds = F.array(*(F.lit(x).cast("long") for x in tops)) if tops else F.array(F.lit(max_length).cast("long"))
     placed = pieces.withColumn("bucket", F.size(F.filter(bounds, lambda x: x < F.col("n_tokens"))))
-    placed = placed.withColumn("bucket_length", F.element_at(bounds, F.col("bucket") + 1)).withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
+    placed = placed.withColumn("bucket_length", F.element_at(bounds, F.col("bucket") + 1)).withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(shards)).cast("int"))
     # Every column is fixed by the row's content, so a task that runs again after a loss gives the same numbers.
     from pyspark.sql import Window
 
-    own = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(F.col("id").asc_nulls_last(), "piece", "n_tokens")).cast("long") - 1
+    own = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(F.col("id").asc_nulls_last(), "piece", "n_tokens", "h")).cast("long") - 1
     sizes = placed.groupBy("shard", "bucket").agg(F.count("*").alias("size"))
     before = F.sum("size").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
