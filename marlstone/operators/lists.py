@@ -8,8 +8,9 @@ trains centres and codec anew. Both write a new version and swap the manifest, s
 from __future__ import annotations
 
 import io
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +225,30 @@ class ListIndex(Folder):
         best = rows.dropDuplicates([self.id]) if m["replicas"] > 1 else rows
         return knn(best, query, k, m["metric"], self.id, self.vector)
 
+    def search_within(self, query, k: int, seconds: float | None = None, cancel: Callable[[], bool] | None = None, progress: Callable[[float], None] | None = None, wave: int = 4, flt=None) -> tuple[list[tuple[int, float]], dict]:
+        """(id, distance) of the best rows found until time is up or cancel() gives true, and how far that went.
+
+        Lists are searched in waves, the nearest first, each a job of its own; time and cancel are looked at between
+        waves, so the first wave is always searched. All waves make the answer exact. progress gets the share of lists.
+        """
+        m = self.manifest()
+        centres, _ = self._model(m)
+        rows = where(self._rows(m), flt).where("own")
+        q = np.array([query], np.float64)
+        q = _unit(q) if m["metric"] == "cosine" else q
+        near = np.lexsort((np.arange(len(centres)), ((centres - q) ** 2).sum(1))).tolist() if len(centres) else [0]
+        began, best, probed = time.monotonic(), [], 0
+        while probed < len(near):
+            part = rows.where(F.col("list_id").isin(near[probed : probed + wave]))
+            found = knn(part, query, k, m["metric"], self.id, self.vector).collect()  # k rows
+            best = sorted([*best, *((r[self.id], r["distance"]) for r in found)], key=lambda x: (x[1], x[0]))[:k]
+            probed = min(len(near), probed + wave)
+            if progress is not None:
+                progress(probed / len(near))
+            if probed < len(near) and (seconds is not None and time.monotonic() - began >= seconds or cancel is not None and cancel()):
+                break
+        return best, {"probes": probed, "lists": len(near), "stopped_early": probed < len(near)}
+
     def health(self, queries: int = 20, k: int = 10, probes: int = 8) -> dict:
         """Rows, balance of the lists, distance to centres, error of the codec, churn, and recall on some stored rows."""
         m = self.manifest()

@@ -359,6 +359,13 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indexed("text", spark, d).search(WORDS, 10, texts(spark, d), {"lang": "en"}), "score")
 
 
+@register("postings_build", f"WITH {POSTINGS} SELECT (SELECT count(DISTINCT term) FROM p)::BIGINT AS terms, (SELECT count(*) FROM p)::BIGINT AS postings, (SELECT count(*) FROM documents)::BIGINT AS live")
+def postings_build(spark: SparkSession, d: str) -> DataFrame:
+    """The index of texts made anew."""
+    s = BUILDERS["text"](spark, d, f"{shared_folder(spark)}/index-text-{uuid.uuid4().hex}").stats()
+    return spark.createDataFrame([(s["terms"], s["postings"], s["live"])], "terms long, postings long, live long")
+
+
 @register("postings_df", f"WITH {POSTINGS} SELECT term, df::BIGINT AS df FROM df")
 def postings_df(spark: SparkSession, d: str) -> DataFrame:
     return indexed("text", spark, d).document_frequency()

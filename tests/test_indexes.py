@@ -151,6 +151,23 @@ def test_list_index_follows_changes(spark, table, tmp_path):
         assert (index.health(2)["churn"] > 0) == (step is None)
 
 
+def test_a_search_that_is_stopped_gives_the_best_so_far(spark, table, tmp_path):
+    path = str(tmp_path / "l")
+    ListIndex(spark, path).build(table, 8)
+    index, told = ListIndex(spark, path), []  # opened again
+    best, how = index.search_within(X[3], 5, progress=told.append)
+    exact = [(r.id, r.distance) for r in knn.knn(table, X[3], 5).orderBy("rank").collect()]
+    assert best == exact and how == {"probes": 8, "lists": 8, "stopped_early": False} and told == [0.5, 1.0]
+    for stop in ({"seconds": 0}, {"cancel": lambda: True}):
+        best, how = index.search_within(X[3], 5, wave=2, **stop)
+        assert len(best) == 5 and best[0] == exact[0] and how["stopped_early"] and how["probes"] == 2
+
+
+def test_sparse_dot(spark):
+    t = spark.createDataFrame([({1: 2.0, 3: 0.5}, {3: 4.0, 9: 1.0}), ({1: 1.0}, {2: 1.0})], "a map<long,float>, b map<long,float>")
+    assert [r[0] for r in t.select(sparse.sparse_dot(F.col("a"), F.col("b"))).collect()] == [2.0, 0.0]
+
+
 def test_batches_through_lists(spark, table, tmp_path, monkeypatch):
     from marlstone.operators import lists
 
