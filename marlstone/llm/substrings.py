@@ -22,8 +22,9 @@ from marlstone.llm.common import BYTE_VALUES, DOWN, UP, mix, settle, steps, tabl
 
 #: Bytes of a string that counts, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 200, 50
-#: Different stretches of one anchor beyond which their windows meet by digests instead, spread over all tasks.
-CROWD = 4_000
+#: Different stretches of one anchor beyond which they meet by digests instead, spread over all tasks: in pieces of so
+#: many windows first, and window by window only where pieces agree in what their windows share but differ elsewhere.
+CROWD, PIECE = 4_000, 10
 #: Bytes of stretches that are put in suffix order at once, besides a single anchor's.
 SORT_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -54,7 +55,7 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, first window, number of windows and anchor hash of each stretch."""
+    """Document, first window, number of windows, anchor hash and place of the anchor of each stretch."""
     out: list[tuple[np.ndarray, ...]] = []
     for i, j in steps(offs):
         if j == i + 1 and offs[j] - offs[i] > 1 << 20:  # a long text in pieces that overlap by a window
@@ -76,10 +77,10 @@ def stretches(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tupl
             new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)
             run = np.flatnonzero(new)
             begin, n = first[run], np.diff(np.append(run, len(first)))
-            out.append((doc[begin], begin + b - offs[doc[begin]], n, h[anchor[run]].view(np.int64)))
+            out.append((doc[begin], begin + b - offs[doc[begin]], n, h[anchor[run]].view(np.int64), anchor[run] - begin))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -97,26 +98,26 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """id, key, anchor, own1, own2, begins, n: a row per document and different stretch, with all places where it begins."""
+    """id, key, anchor, own1, own2, begins, n, place (of the anchor): a row per document and different stretch, with all places where it begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffers(batch.column("text"))
             for i, j in steps(offs, 4 << 20):
                 part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                doc, begin, n, anchor = stretches(part, own, length, gram)
+                doc, begin, n, anchor, place = stretches(part, own, length, gram)
                 at = own[doc] + begin
                 one, two = digests(part, at, at + n - 1 + length).T
                 order = np.lexsort((begin, two, one, anchor, doc))
-                doc, begin, n, anchor, one, two = (x[order] for x in (doc, begin, n, anchor, one, two))
+                doc, begin, n, anchor, one, two, place = (x[order] for x in (doc, begin, n, anchor, one, two, place))
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
                 first = np.flatnonzero(new)
                 rows = pa.array(doc[first] + i)
                 begins = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(begin.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(anchor[first]), pa.array(one[first]), pa.array(two[first]), begins, pa.array(n[first].astype(np.int32))], names=["id", "key", "anchor", "own1", "own2", "begins", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(anchor[first]), pa.array(one[first]), pa.array(two[first]), begins, pa.array(n[first].astype(np.int32)), pa.array(place[first].astype(np.int32))], names=["id", "key", "anchor", "own1", "own2", "begins", "n", "place"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, anchor long, own1 long, own2 long, begins array<int>, n int")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, anchor long, own1 long, own2 long, begins array<int>, n int, place int")
 
 
 class Suffixes:
@@ -244,9 +245,19 @@ def matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, key long, begin int, n int")
 
 
-def _extracted(found: DataFrame, length: int, crowded: bool) -> DataFrame:
-    """The bytes of the marked stretches of documents, or of crowded ones the digest of each window."""
+#: What _extracted() gives besides id, key, begin and copies.
+EXTRACTS = {"bytes": "anchor long, bytes binary", "pieces": "core1 long, core2 long, own1 long, own2 long, n int", "windows": "own1 long, own2 long"}
+
+
+def _extracted(found: DataFrame, length: int, what: str) -> DataFrame:
+    """The bytes of the marked stretches of documents; or the digests of their pieces, and of what all windows of a piece
+    share wherever it is cut off; or the digest of each window.
+
+    Pieces are numbered from the anchor, so windows that are equal lie in pieces of one number.
+    """
     kind = dict(found.dtypes)["id"]
+    schema = f"id {kind}, key long, begin int, copies long, {EXTRACTS[what]}"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,26 +265,64 @@ def _extracted(found: DataFrame, length: int, crowded: bool) -> DataFrame:
             marks = batch.column("marks")
             bounds = np.asarray(marks.offsets)
             inner = marks.values.flatten() if marks.offset == 0 and not marks.null_count else pa.concat_arrays([marks]).values.flatten()
-            begin, n, anchor, copies = (x.to_numpy(zero_copy_only=False) for x in inner[:4])
+            columns = [x.to_numpy(zero_copy_only=False) for x in inner]
             for s in range(0, len(bounds) - 1, 256):
                 e = min(s + 256, len(bounds) - 1)
-                part = slice(int(bounds[s]), int(bounds[e]))
+                begin, n, anchor, copies, place = (x[int(bounds[s]) : int(bounds[e])] for x in columns)
                 doc = np.repeat(np.arange(s, e), np.diff(bounds[s : e + 1]))
-                rows = pa.array(doc)
-                at = offs[doc] + begin[part]
-                if crowded:
-                    w = np.repeat(np.arange(len(at)), n[part])
-                    o = np.arange(len(w)) - np.repeat(np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part]) if len(at) else w
-                    one, two = digests(buf, at[w] + o, at[w] + o + length).T
-                    own = pa.array(doc[w])
-                    yield pa.RecordBatch.from_arrays([pa.array(one.copy()), pa.array(two.copy()), batch.column("id").take(own), batch.column("key").take(own), pa.array((begin[part][w] + o).astype(np.int32)), pa.array(copies[part][w])], names=["one", "two", "id", "key", "begin", "copies"])
+                at = offs[doc] + begin
+                if what == "bytes":
+                    row = np.arange(len(at))
+                    data = [buf[x : x + y].tobytes() for x, y in zip(at.tolist(), (n + length - 1).tolist())]
+                    more = [pa.array(anchor), pa.array(data, pa.binary())]
+                elif what == "pieces":
+                    # windows by how far they begin in front of the anchor: from low to high
+                    high, low = place.astype(np.int64), place.astype(np.int64) - n + 1
+                    many = high // PIECE - low // PIECE + 1
+                    row = np.repeat(np.arange(len(at)), many)
+                    piece = (low // PIECE)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    here = at[row] + high[row]
+                    high, low = np.minimum(high[row], piece * PIECE + PIECE - 1), np.maximum(low[row], piece * PIECE)
+                    core = digests(buf, here - piece * PIECE, here - piece * PIECE + length - PIECE + 1)
+                    own = digests(buf, here - high, here - low + length)
+                    begin = begin[row] + (here - at[row] - high)
+                    more = [pa.array(np.ascontiguousarray(x)) for x in (*core.T, *own.T)] + [pa.array((high - low + 1).astype(np.int32))]
                 else:
-                    data = [buf[x : x + y].tobytes() for x, y in zip(at.tolist(), (n[part] + length - 1).tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), batch.column("id").take(rows), batch.column("key").take(rows), pa.array(begin[part]), pa.array(copies[part]), pa.array(data, pa.binary())], names=["anchor", "id", "key", "begin", "copies", "bytes"])
+                    row = np.repeat(np.arange(len(at)), n)
+                    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    begin = begin[row] + step
+                    more = [pa.array(np.ascontiguousarray(x)) for x in digests(buf, at[row] + step, at[row] + step + length).T]
+                own_doc = pa.array(doc[row])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(own_doc), batch.column("key").take(own_doc), pa.array(begin.astype(np.int32)), pa.array(copies[row]), *more], names=names)
 
-    if crowded:
-        return found.mapInArrow(run, f"one long, two long, id {kind}, key long, begin int, copies long")
-    return found.mapInArrow(run, f"anchor long, id {kind}, key long, begin int, copies long, bytes binary")
+    return found.mapInArrow(run, schema)
+
+
+def _alike(rows: DataFrame, group: list[str], own: list[str], order, name: str) -> DataFrame:
+    """rows (with copies) with the copies of all that are alike (own) in a group, the first of them, and how many
+    different ones the group has. Rows that are alone are left out.
+
+    What meets the rows is written as tables, so that adaptive execution splits the joins where one group is hot.
+    """
+    alike = table(rows.groupBy(*group, *own).agg(F.sum("copies").alias("all"), F.min(order).alias("first")), f"{name}_different")
+    sizes = table(alike.groupBy(*group).agg(F.count("*").alias("different")), f"{name}_groups")
+    alike = table(alike.join(sizes, group).where("all > 1 or different > 1"), f"{name}_alike")
+    return rows.drop("copies").join(alike, [*group, *own]).withColumnRenamed("all", "copies")
+
+
+def _crowded(docs: DataFrame, marks: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """id, key, begin, n: what is repeated among the marked stretches (id, key, marks) of crowded anchors."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "begin")
+    pieces = table(_extracted(_joined(docs, marks, "inner"), length, "pieces"), "pieces")
+    rows = _alike(pieces, ["core1", "core2"], ["own1", "own2"], place, "pieces")
+    first = F.col("first") == place
+    sure = rows.where(~first if keep_first else F.col("copies") > 1).select("id", "key", "begin", "n")
+    differ = rows.where(first & (F.col("different") > 1)).select("id", "key", F.struct("begin", "n", F.lit(0).cast("long").alias("anchor"), "copies", F.lit(0).alias("place")).alias("mark"))
+    marks = differ.groupBy("id", "key").agg(F.collect_list("mark").alias("marks"))
+    each = table(_extracted(_joined(docs, marks, "inner"), length, "windows"), "windows")
+    twice = table(each.groupBy("own1", "own2").agg(F.count("*").alias("rows"), F.min(place).alias("first")).where("rows > 1"), "repeated")
+    again = each.join(twice, ["own1", "own2"]).where(~first if keep_first else F.col("copies") == 1)
+    return sure.unionByName(again.select("id", "key", "begin", F.lit(1).cast("int").alias("n")))
 
 
 def _joined(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -290,25 +339,21 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     keep everything; very long texts are cut into overlapping pieces, so nothing is missed; repeated rows are copies of
     each other (with keep_first they are judged as one); an empty table gives no rows; other columns aren't read.
     Nothing is removed on the word of a plain hash: bytes are compared, in suffix order, or 128-bit BLAKE2b digests of
-    whole stretches and, where more than `crowd` different stretches share an anchor, of windows.
+    whole stretches and, where more than `crowd` different stretches share an anchor, of pieces and windows.
     """
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     long = docs.where(F.octet_length("text") >= length)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("begins")[0].alias("begin"))
     flagged = settle(anchors(long, length, gram).groupBy("anchor").agg(F.sum("size").alias("size")).where("size > 1").select("anchor"))
-    # Tables, so that adaptive execution splits the joins at a hot anchor or stretch.
+    # a table, so that adaptive execution splits the join at a hot anchor
     met = table(anchored(long, length, gram).join(flagged, "anchor"), "met")
-    shared = table(met.groupBy("id", "key", "anchor", "own1", "own2", "begins", "n").agg((F.count("*") * F.size("begins")).alias("own")), "stretches")
-    place = ["anchor", "own1", "own2"]
-    alike = table(shared.groupBy(*place).agg(F.sum("own").alias("copies"), F.min(order).alias("first")), "different")
-    crowds = table(alike.groupBy("anchor").agg(F.count("*").alias("different")), "crowds")
-    alike = table(alike.join(crowds, "anchor").where("copies > 1 or different > 1"), "alike")
-    rows = shared.join(alike, place)
+    shared = table(met.groupBy("id", "key", "anchor", "own1", "own2", "begins", "n", "place").agg((F.count("*") * F.size("begins")).alias("copies")), "stretches")
+    rows = _alike(shared, ["anchor"], ["own1", "own2"], order, "stretches")
     # All copies of a stretch are repeated (but the first); one of each different stretch is compared with the others.
     first = F.col("first") == order
     rest = F.slice("begins", F.lit(2), F.greatest(F.lit(0), F.size("begins") - 1))
     sure = F.when(first, rest).otherwise(F.col("begins")) if keep_first else F.when(F.col("copies") > 1, F.col("begins")).otherwise(F.array().cast("array<int>"))
-    mark = F.when(first & (F.col("different") > 1), F.struct(F.col("begins")[0].alias("begin"), "n", "anchor", "copies"))
+    mark = F.when(first & (F.col("different") > 1), F.struct(F.col("begins")[0].alias("begin"), "n", "anchor", "copies", "place"))
     told = rows.select("id", "key", sure.alias("sure"), "n", mark.alias("mark"), (F.col("different") > crowd).alias("crowded"))
     own = lambda c, x: F.filter(F.collect_list(F.when(c, x)), lambda y: y.isNotNull())
     window = F.struct("begin", "n")
@@ -319,15 +364,10 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     sure = F.flatten(F.transform("sure", lambda x: F.transform(x["sure"], lambda y: F.struct(y.alias("begin"), x["n"].alias("n")))))
 
     found = _joined(docs, marks.where(F.size("marks") > 0).select("id", "key", "marks"), "inner")
-    sorted_ = _extracted(found, length, False).repartition("anchor").sortWithinPartitions("anchor", F.col("id").asc_nulls_last(), "key", "begin")
+    sorted_ = _extracted(found, length, "bytes").repartition("anchor").sortWithinPartitions("anchor", F.col("id").asc_nulls_last(), "key", "begin")
     windows = matched(sorted_, length, keep_first)
     if not marks.where(F.size("crowded") > 0).isEmpty():
-        found = _joined(docs, marks.where(F.size("crowded") > 0).select("id", "key", F.col("crowded").alias("marks")), "inner")
-        each = settle(_extracted(found, length, True))
-        place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "begin")
-        twice = each.groupBy("one", "two").agg(F.count("*").alias("rows"), F.min(place).alias("first")).where("rows > 1")
-        again = each.join(twice, ["one", "two"]).where(F.col("first") != place if keep_first else F.col("copies") == 1)
-        windows = windows.unionByName(again.select("id", "key", "begin", F.lit(1).cast("int").alias("n")))
+        windows = windows.unionByName(_crowded(docs, marks.where(F.size("crowded") > 0).select("id", "key", F.col("crowded").alias("marks")), length, keep_first))
     later = windows.groupBy("id", "key").agg(F.collect_list(window).alias("later"))
     both = later.unionByName(marks.where(F.size("sure") > 0).select("id", "key", sure.alias("later"))).groupBy("id", "key").agg(F.flatten(F.collect_list("later")).alias("windows"))
     return _removed(_joined(docs, both, "left").select("id", "text", "windows"), length, kept).withColumnRenamed("id", id)

@@ -90,6 +90,16 @@ def test_odd_rows(spark):
         assert letters or (r.score == 0 and r.rejected)
 
 
+def test_fitting_stands_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns with names of its own."""
+    docs = odd(spark, "lang", "v", "place").withColumn("lang", F.when(F.length("text") > 1000, "long").when(F.col("doc_id") < 5, "few"))
+    one, other = m.fit(docs.unionByName(docs)), m.fit(docs)
+    assert one.names == ["few", "long"] and np.allclose(one.centres, other.centres, atol=0.05)
+    got = m.identify(docs, one).collect()
+    assert {r.lang_pred for r in got if r.text and len(r.text) > 1000} == {"long"}
+    assert m.fit(docs.where("text is null or text = ''").withColumn("lang", F.lit("x"))) is None
+
+
 def test_only_the_text_counts(spark):
     model = m.fit(spark.createDataFrame([(1, "aaa bbb", "x"), (2, "ccc ddd", "y")], "doc_id long, text string, lang string"))
     rows = spark.createDataFrame([(1, "ccc", "x"), (9, "ccc", None)], "doc_id long, text string, lang string")
