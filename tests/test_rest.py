@@ -288,5 +288,11 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "marlstone" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not [k for k in q if k.startswith('op') or k == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    (tmp_path / "marlstone" / "llm").mkdir()
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)  # what a cache leaves behind is no package
+    (tmp_path / "marlstone" / "llm" / "__init__.py").touch()
+    (tmp_path / "marlstone" / "llm" / "queries.py").write_text("import a_module_that_is_missing")
+    broken = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, capture_output=True, text=True)
+    assert "a_module_that_is_missing" in broken.stderr
     names = {p.name for p in (ROOT / "marlstone").rglob("*.py") if "llm" not in p.parts and "marlstone.llm" in p.read_text()}
     assert not names
