@@ -34,7 +34,7 @@ BLOCK_BYTES, SHARD_BYTES, WORD_BYTES = 8 << 20, 6 << 20, 32 << 20
 #: Steps of log10 between the 8-bit codes of chances, the same in all shards; the last code stands for none.
 STEP, NONE = 0.0375, 255
 
-_COUNTS = np.array([b.bit_count() for b in range(256)], np.uint8)
+_BYTES, _ALL = np.uint64(0x0101010101010101), np.uint64(2**64 - 1)
 #: Where the k-th one of a byte is.
 _PLACE = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
@@ -71,19 +71,22 @@ class EliasFano:
         more = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.low[word] >> shift | more) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
-    def _select(self, i: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
-        """Where the i-th one (or zero, with flip) of the high bits is; before: how many stand in front of each word."""
+    def _select(self, i: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Where the i-th one (or zero, with all bits to flip) of the high bits is; before: how many stand in front of each word."""
         word = np.searchsorted(before, i, "right") - 1
-        rest = (i - before[word]).astype(np.uint8)
-        parts = self.high[word].view(np.uint8).reshape(-1, 8) ^ np.uint8(flip)
-        sums = np.cumsum(_COUNTS[parts], axis=1, dtype=np.uint8)
-        byte = (sums <= rest[:, None]).sum(1)
-        row = np.arange(len(i))
-        rest -= np.where(byte > 0, sums[row, byte - 1], 0).astype(np.uint8)
-        return word * 64 + byte * 8 + _PLACE[parts[row, byte], rest]
+        rest = (i - before[word]).astype(np.uint64)
+        x = self.high[word] ^ flip
+        # the ones of each byte, and then those up to it, side by side in one number
+        s = x - (x >> np.uint64(1) & _BYTES * np.uint64(0x55))
+        s = (s & _BYTES * np.uint64(0x33)) + (s >> np.uint64(2) & _BYTES * np.uint64(0x33))
+        s = (s + (s >> np.uint64(4)) & _BYTES * np.uint64(0x0F)) * _BYTES
+        full = np.bitwise_count((rest * _BYTES | _BYTES * np.uint64(0x80)) - s & _BYTES * np.uint64(0x80)).astype(np.uint64)
+        shift = full << np.uint64(3)
+        rest -= s << np.uint64(8) >> shift & np.uint64(0xFF)
+        return word * 64 + shift.astype(np.int64) + _PLACE[x >> shift & np.uint64(0xFF), rest]
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        return (self._select(i, self.ones, 0) - i) << self.low_bits | self._low(i)
+        return (self._select(i, self.ones, np.uint64(0)) - i) << self.low_bits | self._low(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """For each x the place of the first value that is at least x, or n."""
@@ -92,8 +95,8 @@ class EliasFano:
         zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         h = np.minimum(x >> self.low_bits, len(self.high) * 64 - self.n - 1)
         low = x & ((1 << self.low_bits) - 1)
-        start = lambda k: np.where(k > 0, self._select(np.maximum(k - 1, 0), zeros, 255) - np.maximum(k - 1, 0), 0)
-        begin, end = start(h), np.minimum(self._select(h, zeros, 255) - h, self.n)
+        start = lambda k: np.where(k > 0, self._select(np.maximum(k - 1, 0), zeros, _ALL) - np.maximum(k - 1, 0), 0)
+        begin, end = start(h), np.minimum(self._select(h, zeros, _ALL) - h, self.n)
         live = np.flatnonzero(begin < end)
         while len(live):
             mid = (begin[live] + end[live]) >> 1
@@ -120,14 +123,17 @@ class Level:
         return cls(EliasFano.encode(pointers), EliasFano.encode(word + np.cumsum(base)[context]))
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The entry of word among the successors of context, or -1."""
-        begin, end = self.pointers.access(context), self.pointers.access(context + 1)
-        some = np.flatnonzero(begin < end)
-        b = begin[some]
-        base = np.where(b > 0, self.ids.access(np.maximum(b - 1, 0)) + 1, 0)
-        x = base + word[some]
+        """The entry of word among the successors of context, or -1. Runs of one context are looked up once."""
+        turn = np.flatnonzero(np.diff(context, prepend=-1))
+        times = np.diff(np.append(turn, len(context)))
+        begin, end = self.pointers.access(context[turn]), self.pointers.access(context[turn] + 1)
+        base = np.zeros(len(turn), np.int64)
+        later = np.flatnonzero((begin < end) & (begin > 0))
+        base[later] = self.ids.access(begin[later] - 1) + 1
+        some = np.flatnonzero(np.repeat(begin < end, times))
+        x = np.repeat(base, times)[some] + word[some]
         at = self.ids.successor(x)
-        hit = at < end[some]
+        hit = at < np.repeat(end, times)[some]
         hit[hit] = self.ids.access(at[hit]) == x[hit]
         out = np.full(len(context), -1, np.int64)
         out[some[hit]] = at[hit]
