@@ -108,14 +108,28 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _closest(shared, k: int, metric: str):
+    """The k closest rows of a task for each query, by blocks of rows and queries.
+
+    Of the first block the k smallest rough distances of each query are picked out; after that only rows that come
+    below the k-th so far (and a margin for rounding) are looked at.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, every = shared.value
         steps = [(qid[s : s + STEP], every[s : s + STEP], (every[s : s + STEP] ** 2).sum(1)) for s in range(0, len(qid), STEP)] if k else []
-        best: list[np.ndarray | None] = [None] * len(steps)
-
-        def cut(rows: np.ndarray) -> np.ndarray:
-            rows = rows[np.lexsort((rows["id"], rows["d"], rows["q"]))]
-            return rows[np.arange(len(rows)) - np.searchsorted(rows["q"], rows["q"]) < k]
+        best: list[np.ndarray] = [np.zeros(0, [("n", "i4"), ("id", "i8"), ("d", "f8"), ("r", "f8")]) for _ in steps]
+        limits = [np.full(len(q), np.inf) for _, q, _ in steps]
+
+        def cut(rows: np.ndarray, limit: np.ndarray) -> np.ndarray:
+            rows = rows[np.lexsort((rows["id"], rows["d"], rows["n"]))]
+            first = np.searchsorted(rows["n"], np.arange(len(limit) + 1))
+            full = np.flatnonzero(np.diff(first) >= k)
+            rows = rows[np.arange(len(rows)) - np.repeat(first[:-1], np.diff(first)) < k]
+            if len(full):
+                worst = np.full(len(limit), -np.inf)
+                np.maximum.at(worst, rows["n"], rows["r"])
+                limit[full] = worst[full]
+            return rows
 
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
@@ -123,24 +137,25 @@ def _closest(shared, k: int, metric: str):
                 ids = part.column(0).to_numpy()
                 v = part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
                 v = _unit(v) if metric == "cosine" else v
-                for n, (names, q, square) in enumerate(steps):
+                for n, (_, q, square) in enumerate(steps):
                     with np.errstate(over="ignore", invalid="ignore"):
                         rough = -q @ v.T
                         if metric == "l2":
                             rough = 2 * rough + square[:, None] + (v**2).sum(1)[None]
-                        m = min(k + 8, len(ids))
-                        at = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
+                        edge, m = limits[n], k + 8
+                        if m < len(ids) and np.isinf(edge).any():
+                            edge = np.minimum(edge, np.partition(rough, m - 1, axis=1)[:, m - 1])
                         # rows that tie with the last one kept must stay in the race
-                        edge = np.take_along_axis(rough, at, 1).max(1)
                         near = rough <= (edge + 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
                         near |= ~np.isfinite(rough)
                         a, b = np.nonzero(near)
-                        rows = np.zeros(len(a), [("q", "i8"), ("id", "i8"), ("d", "f8")])
-                        rows["q"], rows["id"], rows["d"] = names[a], ids[b], _exact(q[a], v[b], metric)
-                    best[n] = cut(rows if best[n] is None else np.concatenate([best[n], rows]))
-        for rows in best:
-            if rows is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("q", "id", "d")], names=["query_id", "id", "distance"])
+                        if not len(a):
+                            continue
+                        rows = np.zeros(len(a), best[n].dtype)
+                        rows["n"], rows["id"], rows["d"], rows["r"] = a, ids[b], _exact(q[a], v[b], metric), np.where(np.isfinite(rough[a, b]), rough[a, b], np.inf)
+                    best[n] = cut(np.concatenate([best[n], rows]), limits[n])
+        for (names, _, _), rows in zip(steps, best):
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows["n"]]), pa.array(rows["id"].copy()), pa.array(rows["d"].copy())], names=["query_id", "id", "distance"])
 
     return run
 
