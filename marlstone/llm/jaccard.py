@@ -31,6 +31,9 @@ BUCKET, BLOCK, BLOCK_SHINGLES = 64, 1024, 400_000
 NEAR, LEAD = 0.3, 0.6
 #: Leaders of a bucket in one round; classes that resemble none of so many get leaders of their own in the next round.
 LEADERS = 4096
+#: Classes (estimated by one in SHARE) of a bucket beyond which it is dealt to parts of about so many, at most MOST_HOT
+#: buckets; parts have leaders of their own, which are closer to their classes, and meet by these in the next round.
+HOT, SHARE, MOST_HOT, PART_LEAD = 200_000, 64, 10_000, 0.8
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -163,9 +166,13 @@ class Leaders:
     0.6 of it, and both are tied to it. Once there are LEADERS leaders, classes that resemble none are left for the
     next round, besides the ties that they have: of two such classes both are left.
     Ties that join nothing new are left out: there are fewer of them than classes and leaders.
+
+    In a part of a bucket leaders are at most 0.2 from their classes, so leaders of like classes in two parts are at
+    most 0.6 apart, and are tied where all leaders meet.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, part: bool = False) -> None:
+        self.part, self.lead = part, PART_LEAD if part else LEAD
         self.group: list[int] = []
         self.keys, self.rows = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
 
@@ -181,7 +188,7 @@ class Leaders:
             k, r = keys[i : i + 1024], rows[i : i + 1024]
             near = estimated(r, self.rows)
             while len(k):
-                alone = np.flatnonzero(near.max(1, initial=-1) < LEAD)
+                alone = np.flatnonzero(near.max(1, initial=-1) < self.lead)
                 if not len(alone) or len(self.keys) >= LEADERS:
                     break
                 self.keys, self.rows = np.append(self.keys, k[alone[0]]), np.concatenate([self.rows, r[alone[:1]]])
@@ -189,7 +196,7 @@ class Leaders:
             self.group += range(len(self.group), len(self.keys))
             a, b = np.nonzero(near >= NEAR)
             first = b[np.searchsorted(a, a)]
-            yield np.stack([k[a[b == first]], self.keys[b[b == first]]], 1), i + np.flatnonzero(near.max(1, initial=-1) < LEAD)
+            yield np.stack([k[a[b == first]], self.keys[b[b == first]]], 1), i + np.flatnonzero(near.max(1, initial=-1) < self.lead)
             for x, y in np.unique(np.stack([first, b], 1), axis=0).tolist():
                 x, y = self.root(x), self.root(y)
                 if x != y:
@@ -210,9 +217,13 @@ def leaders_of(buckets: int, m: int, which: np.ndarray, i: np.ndarray, j: np.nda
         lead = new
 
 
-def candidates(bands: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of k64, which connect what likely pairs connect: each class of a small bucket is tied to the first
     one that its likely pairs lead to, each class of a large bucket to leaders. Rounds go on until no class is left."""
+    some = banded(classes.where(F.pmod("k64", F.lit(SHARE)) == 0)).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") * SHARE > HOT)
+    hot = table(some.orderBy(F.desc("n")).limit(MOST_HOT).select("band", F.ceil(F.col("n") * SHARE / HOT).alias("parts")), "hot")
+    bands = banded(classes).join(F.broadcast(hot), "band", "left")  # MOST_HOT rows at most
+    bands = bands.withColumn("part", F.pmod(F.xxhash64("k64"), F.col("parts"))).drop("parts")
     out = None
     while True:
         found = table(_round(bands), "candidates")
@@ -221,11 +232,11 @@ def candidates(bands: DataFrame) -> DataFrame:
         rest = found.where("left")
         if rest.isEmpty():
             return out.distinct()
-        bands = rest.select(F.col("a").alias("band"), F.col("b").alias("k64"), "s0", "s1")
+        bands = rest.select(F.col("a").alias("band"), F.col("b").alias("k64"), "s0", "s1", F.lit(None).cast("long").alias("part"))
 
 
 def _round(bands: DataFrame) -> DataFrame:
-    """Ties (a, b), and rows (band, k64, s0, s1) that are left, as rows a, b, s0, s1, left."""
+    """Ties (a, b), and rows (band, k64, s0, s1) that are left, as rows a, b, s0, s1, left. part: of a bucket, or null."""
     names = ["a", "b", "s0", "s1", "left"]
 
     def emit(pairs: np.ndarray) -> pa.RecordBatch:
@@ -236,31 +247,39 @@ def _round(bands: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tri = {2: np.triu_indices(2, 1)}
-        hot: tuple[int, Leaders] | None = None
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
+        hot: tuple[int, int, Leaders] | None = None  # bucket, band and leaders
         out: list[np.ndarray] = []
         left: list[pa.RecordBatch] = []
 
+        def leave(band: int, key: np.ndarray, row: np.ndarray) -> None:
+            if len(key):
+                s = np.ascontiguousarray(row).view(np.int64)
+                left.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(key), band)), pa.array(key), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), pa.array(np.ones(len(key), bool))], names=names))
+
         def led(leaders: Leaders, band: int, key: np.ndarray, row: np.ndarray) -> None:
             for ties, rest in leaders.add(key, row):
                 out.append(ties)
-                if len(rest):
-                    s = row[rest].view(np.int64)
-                    left.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), band)), pa.array(key[rest]), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), pa.array(np.ones(len(rest), bool))], names=names))
+                leave(band, key[rest], row[rest])
+
+        def over(leaders: Leaders, band: int) -> None:
+            if leaders.part:
+                leave(band, leaders.keys, leaders.rows)
 
-        def closed(band: np.ndarray, key: np.ndarray, row: np.ndarray) -> None:
+        def closed(bucket: np.ndarray, band: np.ndarray, key: np.ndarray, row: np.ndarray, part: np.ndarray) -> None:
             """The pairs of whole buckets."""
-            start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])) if len(band) else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, len(band)))
+            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(bucket)))
+            large = part[start] | (size > BUCKET)
+            for s, m in zip(start[large], size[large]):
+                leaders = Leaders(bool(part[s]))
+                led(leaders, int(band[s]), key[s : s + m], row[s : s + m])
+                over(leaders, int(band[s]))
+            start, size = start[~large], size[~large]
             for m in np.unique(size[size > 1]).tolist():
                 at = start[size == m]
-                if m > BUCKET:
-                    for s in at:
-                        led(Leaders(), band[s], key[s : s + m], row[s : s + m])
-                    continue
                 i, j = tri.setdefault(m, np.triu_indices(m, 1))
-                for part in range(0, len(at), max(1, 200_000 // len(i))):
-                    some = at[part : part + max(1, 200_000 // len(i)), None]
+                for k in range(0, len(at), max(1, 200_000 // len(i))):
+                    some = at[k : k + max(1, 200_000 // len(i)), None]
                     a, b = (some + i).ravel(), (some + j).ravel()
                     found = likely(row[a], row[b])
                     lead = leaders_of(len(some), m, found // len(i), i[found % len(i)], j[found % len(i)])
@@ -274,28 +293,35 @@ def _round(bands: DataFrame) -> DataFrame:
             out.clear()
             left.clear()
 
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, bool)]
         for batch in batches:
-            band, key = batch.column("band").to_numpy(), batch.column("k64").to_numpy()
-            row = np.stack([batch.column("s0").to_numpy(), batch.column("s1").to_numpy()], 1).view(np.uint64)
+            bucket, band, key, *s = (batch.column(c).to_numpy() for c in ("bucket", "band", "k64", "s0", "s1"))
+            rows = [bucket, band, key, np.stack(s, 1).view(np.uint64), batch.column("split").to_numpy(zero_copy_only=False)]
             if hot:
-                n = int(np.searchsorted(band != hot[0], True)) if len(band) else 0
-                led(hot[1], hot[0], key[:n], row[:n])
-                band, key, row = band[n:], key[n:], row[n:]
-                if len(band):
+                n = int(np.searchsorted(bucket != hot[0], True)) if len(bucket) else 0
+                led(hot[2], hot[1], key[:n], rows[3][:n])
+                rows = [x[n:] for x in rows]
+                if len(rows[0]):
+                    over(hot[2], hot[1])
                     hot = None
-            band, key, row = np.concatenate([held[0], band]), np.concatenate([held[1], key]), np.concatenate([held[2], row])
-            last = int(np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))[-1]) if len(band) else 0
-            closed(band[:last], key[:last], row[:last])
-            held = (band[last:], key[last:], row[last:])
+            rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
+            bucket = rows[0]
+            last = int(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[-1]) if len(bucket) else 0
+            closed(*(x[:last] for x in rows))
+            held = [x[last:] for x in rows]
             if len(held[0]) > BUCKET:
-                hot = (int(held[0][0]), Leaders())
-                led(hot[1], hot[0], held[1], held[2])
-                held = (held[0][:0], held[1][:0], held[2][:0])
+                hot = (int(held[0][0]), int(held[1][0]), Leaders(bool(held[4][0])))
+                led(hot[2], hot[1], held[2], held[3])
+                held = [x[:0] for x in held]
             yield from told()
         closed(*held)
+        if hot:
+            over(hot[2], hot[1])
         yield from told()
 
-    return bands.repartition("band").sortWithinPartitions("band", "k64").mapInArrow(run, "a long, b long, s0 long, s1 long, left boolean")
+    bucket = F.when(F.col("part").isNull(), F.col("band")).otherwise(F.xxhash64("band", "part"))
+    rows = bands.select(bucket.alias("bucket"), "band", "k64", "s0", "s1", F.col("part").isNotNull().alias("split"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "k64").mapInArrow(run, "a long, b long, s0 long, s1 long, left boolean")
 
 
 def numbered(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -421,7 +447,7 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     each = table(signed.drop("text") if unique else signed, "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = table(each.where("key is not null").groupBy("key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("k64").alias("k64"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    clusters = components(candidates(banded(classes)))
+    clusters = components(candidates(classes))
     member = classes.drop("bands").join(clusters, F.col("k64") == F.col("node"))
     member = table(member.select("root", "key", "copies", "sketch", "n", F.col("rep.id" if unique else "rep.row").alias("place")), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")

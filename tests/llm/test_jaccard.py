@@ -60,11 +60,14 @@ def test_odd_rows(spark):
     assert rows(m.jaccard_join(odd(spark))) == brute(ODD)
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", ["no", "blocks", "parts"])
 def test_near_copies(spark, monkeypatch, small):
-    if small:  # every bucket is large and every cluster in blocks
+    if small != "no":  # every bucket is large and every cluster in blocks
         monkeypatch.setattr(m, "BLOCK", 16)
         monkeypatch.setattr(m, "BUCKET", 2)
+    if small == "parts":  # hot buckets are dealt to several tasks
+        monkeypatch.setattr(m, "HOT", 12)
+        monkeypatch.setattr(m, "SHARE", 1)
     docs = near(spark)
     got = m.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"))
     assert rows(got) == brute(docs)
