@@ -245,18 +245,9 @@ def matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, key long, begin int, n int")
 
 
-#: What _extracted() gives besides id, key, begin and copies.
-EXTRACTS = {"bytes": "anchor long, bytes binary", "pieces": "core1 long, core2 long, own1 long, own2 long, n int", "windows": "own1 long, own2 long"}
-
-
-def _extracted(found: DataFrame, length: int, what: str) -> DataFrame:
-    """The bytes of the marked stretches of documents; or the digests of their pieces, and of what all windows of a piece
-    share wherever it is cut off; or the digest of each window.
-
-    Pieces are numbered from the anchor, so windows that are equal lie in pieces of one number.
-    """
-    kind = dict(found.dtypes)["id"]
-    schema = f"id {kind}, key long, begin int, copies long, {EXTRACTS[what]}"
+def _extracted(found: DataFrame, length: int) -> DataFrame:
+    """The marked stretches of documents, with their bytes."""
+    schema = f"id {dict(found.dtypes)['id']}, key long, begin int, n int, anchor long, copies long, place int, crowded boolean, bytes binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,40 +255,67 @@ def _extracted(found: DataFrame, length: int, what: str) -> DataFrame:
             buf, offs = text_buffers(batch.column("text"))
             marks = batch.column("marks")
             bounds = np.asarray(marks.offsets)
-            inner = marks.values.flatten() if marks.offset == 0 and not marks.null_count else pa.concat_arrays([marks]).values.flatten()
-            columns = [x.to_numpy(zero_copy_only=False) for x in inner]
+            inner = (marks if marks.offset == 0 and not marks.null_count else pa.concat_arrays([marks])).values.flatten()
+            begin, n = (x.to_numpy() for x in inner[:2])
             for s in range(0, len(bounds) - 1, 256):
                 e = min(s + 256, len(bounds) - 1)
-                begin, n, anchor, copies, place = (x[int(bounds[s]) : int(bounds[e])] for x in columns)
+                part = slice(int(bounds[s]), int(bounds[e]))
                 doc = np.repeat(np.arange(s, e), np.diff(bounds[s : e + 1]))
-                at = offs[doc] + begin
-                if what == "bytes":
-                    row = np.arange(len(at))
-                    data = [buf[x : x + y].tobytes() for x, y in zip(at.tolist(), (n + length - 1).tolist())]
-                    more = [pa.array(anchor), pa.array(data, pa.binary())]
-                elif what == "pieces":
-                    # windows by how far they begin in front of the anchor: from low to high
-                    high, low = place.astype(np.int64), place.astype(np.int64) - n + 1
-                    many = high // PIECE - low // PIECE + 1
-                    row = np.repeat(np.arange(len(at)), many)
-                    piece = (low // PIECE)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                    here = at[row] + high[row]
-                    high, low = np.minimum(high[row], piece * PIECE + PIECE - 1), np.maximum(low[row], piece * PIECE)
-                    core = digests(buf, here - piece * PIECE, here - piece * PIECE + length - PIECE + 1)
-                    own = digests(buf, here - high, here - low + length)
-                    begin = begin[row] + (here - at[row] - high)
-                    more = [pa.array(np.ascontiguousarray(x)) for x in (*core.T, *own.T)] + [pa.array((high - low + 1).astype(np.int32))]
-                else:
-                    row = np.repeat(np.arange(len(at)), n)
-                    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    begin = begin[row] + step
-                    more = [pa.array(np.ascontiguousarray(x)) for x in digests(buf, at[row] + step, at[row] + step + length).T]
-                own_doc = pa.array(doc[row])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(own_doc), batch.column("key").take(own_doc), pa.array(begin.astype(np.int32)), pa.array(copies[row]), *more], names=names)
+                at = offs[doc] + begin[part]
+                data = [buf[x : x + y].tobytes() for x, y in zip(at.tolist(), (n[part] + length - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), batch.column("key").take(pa.array(doc)), *(x[part.start : part.stop] for x in inner), pa.array(data, pa.binary())], names=names)
 
     return found.mapInArrow(run, schema)
 
 
+def _pieces(rows: DataFrame, length: int) -> DataFrame:
+    """Stretches in pieces of at most PIECE windows, with digests of what all windows of a piece share wherever it is cut
+    off (core), and of the piece (own). stretch: where the stretch begins.
+
+    Pieces are numbered from the anchor, so windows that are equal lie in pieces of one number.
+    """
+    schema = f"id {dict(rows.dtypes)['id']}, key long, stretch int, begin int, n int, copies long, core1 long, core2 long, own1 long, own2 long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(s, 2000) for s in range(0, whole.num_rows, 2000)):
+                buf, offs = text_buffers(batch.column("bytes"))
+                begin, n, copies, place = (batch.column(c).to_numpy().astype(np.int64) for c in ("begin", "n", "copies", "place"))
+                # windows by how far they begin in front of the anchor: from low to high
+                high, low = place, place - n + 1
+                many = high // PIECE - low // PIECE + 1
+                row = np.repeat(np.arange(len(n)), many)
+                piece = (low // PIECE)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                here = offs[row] + high[row]
+                top, bottom = np.minimum(high[row], piece * PIECE + PIECE - 1), np.maximum(low[row], piece * PIECE)
+                core = digests(buf, here - piece * PIECE, here - piece * PIECE + length - PIECE + 1)
+                own = digests(buf, here - top, here - bottom + length)
+                numbers = [begin[row].astype(np.int32), (begin[row] + high[row] - top).astype(np.int32), (top - bottom + 1).astype(np.int32), copies[row], *core.T, *own.T]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("key").take(pa.array(row)), *(pa.array(np.ascontiguousarray(x)) for x in numbers)], names=names)
+
+    return rows.select("id", "key", "begin", "n", "copies", "place", "bytes").mapInArrow(run, schema)
+
+
+def _windows(rows: DataFrame, length: int) -> DataFrame:
+    """The digest of each window of the pieces (first: their first window in bytes, begin: in the text)."""
+    schema = f"id {dict(rows.dtypes)['id']}, key long, begin int, copies long, own1 long, own2 long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(s, 2000) for s in range(0, whole.num_rows, 2000)):
+                buf, offs = text_buffers(batch.column("bytes"))
+                first, begin, n, copies = (batch.column(c).to_numpy().astype(np.int64) for c in ("first", "begin", "n", "copies"))
+                row = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = (offs[:-1] + first)[row] + step
+                own = digests(buf, at, at + length)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("key").take(pa.array(row)), pa.array((begin[row] + step).astype(np.int32)), pa.array(copies[row]), *(pa.array(np.ascontiguousarray(x)) for x in own.T)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _alike(rows: DataFrame, group: list[str], own: list[str], order, name: str) -> DataFrame:
     """rows (with copies) with the copies of all that are alike (own) in a group, the first of them, and how many
     different ones the group has. Rows that are alone are left out.
@@ -310,16 +328,17 @@ def _alike(rows: DataFrame, group: list[str], own: list[str], order, name: str)
     return rows.drop("copies").join(alike, [*group, *own]).withColumnRenamed("all", "copies")
 
 
-def _crowded(docs: DataFrame, marks: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """id, key, begin, n: what is repeated among the marked stretches (id, key, marks) of crowded anchors."""
+def _crowded(stretches_: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """id, key, begin, n: what is repeated among stretches of crowded anchors."""
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "begin")
-    pieces = table(_extracted(_joined(docs, marks, "inner"), length, "pieces"), "pieces")
+    pieces = table(_pieces(stretches_, length), "pieces")
     rows = _alike(pieces, ["core1", "core2"], ["own1", "own2"], place, "pieces")
     first = F.col("first") == place
     sure = rows.where(~first if keep_first else F.col("copies") > 1).select("id", "key", "begin", "n")
-    differ = rows.where(first & (F.col("different") > 1)).select("id", "key", F.struct("begin", "n", F.lit(0).cast("long").alias("anchor"), "copies", F.lit(0).alias("place")).alias("mark"))
-    marks = differ.groupBy("id", "key").agg(F.collect_list("mark").alias("marks"))
-    each = table(_extracted(_joined(docs, marks, "inner"), length, "windows"), "windows")
+    differ = rows.where(first & (F.col("different") > 1)).select("id", "key", "stretch", "begin", "n", "copies", (F.col("begin") - F.col("stretch")).alias("first"))
+    own = stretches_.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("begin").alias("s"), "bytes")
+    differ = differ.join(own, (F.col("key") == F.col("k")) & (F.col("stretch") == F.col("s")) & F.col("id").eqNullSafe(F.col("i")))
+    each = table(_windows(differ.select("id", "key", "begin", "n", "copies", "first", "bytes"), length), "windows")
     twice = table(each.groupBy("own1", "own2").agg(F.count("*").alias("rows"), F.min(place).alias("first")).where("rows > 1"), "repeated")
     again = each.join(twice, ["own1", "own2"]).where(~first if keep_first else F.col("copies") == 1)
     return sure.unionByName(again.select("id", "key", "begin", F.lit(1).cast("int").alias("n")))
@@ -353,21 +372,23 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     first = F.col("first") == order
     rest = F.slice("begins", F.lit(2), F.greatest(F.lit(0), F.size("begins") - 1))
     sure = F.when(first, rest).otherwise(F.col("begins")) if keep_first else F.when(F.col("copies") > 1, F.col("begins")).otherwise(F.array().cast("array<int>"))
-    mark = F.when(first & (F.col("different") > 1), F.struct(F.col("begins")[0].alias("begin"), "n", "anchor", "copies", "place"))
-    told = rows.select("id", "key", sure.alias("sure"), "n", mark.alias("mark"), (F.col("different") > crowd).alias("crowded"))
+    mark = F.when(first & (F.col("different") > 1), F.struct(F.col("begins")[0].alias("begin"), "n", "anchor", "copies", "place", (F.col("different") > crowd).alias("crowded")))
+    told = rows.select("id", "key", sure.alias("sure"), "n", mark.alias("mark"))
     own = lambda c, x: F.filter(F.collect_list(F.when(c, x)), lambda y: y.isNotNull())
     window = F.struct("begin", "n")
     placed = F.struct("sure", "n")
     marks = settle(
-        told.groupBy("id", "key").agg(own(F.size("sure") > 0, placed).alias("sure"), own(~F.col("crowded"), F.col("mark")).alias("marks"), own(F.col("crowded"), F.col("mark")).alias("crowded"))
+        told.groupBy("id", "key").agg(own(F.size("sure") > 0, placed).alias("sure"), own(F.col("mark").isNotNull(), F.col("mark")).alias("marks"))
     )
     sure = F.flatten(F.transform("sure", lambda x: F.transform(x["sure"], lambda y: F.struct(y.alias("begin"), x["n"].alias("n")))))
 
     found = _joined(docs, marks.where(F.size("marks") > 0).select("id", "key", "marks"), "inner")
-    sorted_ = _extracted(found, length, "bytes").repartition("anchor").sortWithinPartitions("anchor", F.col("id").asc_nulls_last(), "key", "begin")
-    windows = matched(sorted_, length, keep_first)
-    if not marks.where(F.size("crowded") > 0).isEmpty():
-        windows = windows.unionByName(_crowded(docs, marks.where(F.size("crowded") > 0).select("id", "key", F.col("crowded").alias("marks")), length, keep_first))
+    extracts = table(_extracted(found, length), "extracts")
+    few, many = extracts.where("not crowded"), extracts.where("crowded")
+    sorted_ = few.repartition("anchor").sortWithinPartitions("anchor", F.col("id").asc_nulls_last(), "key", "begin")
+    windows = matched(sorted_.select("anchor", "id", "key", "begin", "copies", "bytes"), length, keep_first)
+    if not many.isEmpty():
+        windows = windows.unionByName(_crowded(many, length, keep_first))
     later = windows.groupBy("id", "key").agg(F.collect_list(window).alias("later"))
     both = later.unionByName(marks.where(F.size("sure") > 0).select("id", "key", sure.alias("later"))).groupBy("id", "key").agg(F.flatten(F.collect_list("later")).alias("windows"))
     return _removed(_joined(docs, both, "left").select("id", "text", "windows"), length, kept).withColumnRenamed("id", id)
