@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.vectors import distance, literal
+from marlstone.functions.vectors import distance
 from marlstone.operators import codecs
 from marlstone.operators.filters import where
 from marlstone.operators.knn import _unit, knn, knn_join, nearest_centre, recall

@@ -279,6 +279,43 @@ def test_streams(spark, tmp_path):
     assert sorted((r.id, r.t) for r in store.load().collect()) == [(1, "b"), (2, "c")]
 
 
+def test_searching_and_counting_streams(spark, tmp_path):
+    from marlstone.operators.knn import knn_join
+
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vector array<float>")
+    asked = spark.createDataFrame([(1, [3.0, 1.0]), (2, [0.0, 9.0])], "query_id long, vector array<float>")
+    asked.write.parquet(str(tmp_path / "q"))
+    stream = lambda: spark.readStream.schema(asked.schema).parquet(str(tmp_path / "q"))
+    for k in range(2):  # a batch that is run again, as the checkpoint is another, replaces its rows
+        streams.search_stream(stream(), table, 3, str(tmp_path / "out"), str(tmp_path / f"ck{k}"), "l2").awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knn_join(asked, table, 3).collect()))
+    times = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), "ab"[m % 2]) for m in (0, 1, 2, 11, 12)], "t timestamp, k string")
+    times.write.parquet(str(tmp_path / "t"))
+    counts = streams.counts_by_window(spark.readStream.schema(times.schema).parquet(str(tmp_path / "t")), "t", "10 minutes", "1 hour", "k")
+    counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.window.start.minute, r.k, r.n) for r in spark.table("counts").collect()) == [(0, "a", 2), (0, "b", 1), (10, "a", 1), (10, "b", 1)]
+
+
+def test_faiss(spark):
+    class Flat:
+        ntotal = 3
+
+        def reconstruct_n(self, at, n):
+            return np.arange(6, dtype=np.float32).reshape(3, 2)[at : at + n]
+
+    class Mapped:
+        ntotal, index = 3, Flat()
+
+        class id_map:
+            @staticmethod
+            def at(i):
+                return 10 * i
+
+    assert [(r.id, r.vector) for r in files.from_faiss(spark, Flat()).orderBy("id").collect()] == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5])]
+    assert [r.id for r in files.from_faiss(spark, Mapped()).orderBy("id").collect()] == [0, 10, 20]
+
+
 def test_the_rest_stands_without_the_subpackage(tmp_path):
     """As if the subpackage and the pipeline had been deleted."""
     import shutil
