@@ -178,6 +178,17 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
+def analyzed(text: str | None, unicode: bool = False, stop_words: bool = False, stemming: bool = False) -> list[str]:
+    """analyze() of one text, without a Spark job."""
+    if unicode:
+        tokens = unicode_tokens(text)
+    else:
+        tokens = [t for t in re.split(SEPARATORS, (text or "").translate(str.maketrans(UPPER, LOWER))) if t]
+    if stop_words:
+        tokens = [t for t in tokens if t not in STOP_WORDS]
+    return [stem(t) if stemming and re.fullmatch("[a-z']+", t) else t for t in tokens]
+
+
 def analyze(text: Column, unicode: bool = False, stop_words: bool = False, stemming: bool = False) -> Column:
     """tokenize(), or Unicode tokens; then without English stop words; then stems of tokens of a-z and '."""
     tokens = tokenize(text)

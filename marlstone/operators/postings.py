@@ -6,7 +6,9 @@ Changes add segments; the last segment of an id counts. Compaction makes one seg
 
 from __future__ import annotations
 
+import math
 import uuid
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +30,24 @@ class Postings(Folder):
     """
 
     def __init__(self, spark: SparkSession, path: str, model: BM25 | None = BM25(), buckets: int = 64, id: str = "id") -> None:
-        super().__init__(spark, path, {"lsn": 0, "segments": [], "buckets": buckets, "dead": 0, "live": 0, "gone": []})
+        super().__init__(spark, path, {"lsn": 0, "segments": [], "buckets": buckets, "dead": 0, "live": 0, "texts": 0, "id": "bigint", "gone": []})
         self.model, self.id = model, id
 
     # changes
 
     def _segment(self, posts: DataFrame, docs: DataFrame, m: dict) -> None:
         name = f"segment-{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64("term"), F.lit(m["buckets"])).cast("int")
+        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(m["buckets"])).cast("int")
         rows = posts.withColumn("bucket", bucket).withColumnRenamed(self.id, "id")
         # a bucket's rows go to one task; AQE splits one that is large
         rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
         rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{name}/postings")
         docs.withColumnRenamed(self.id, "id").write.option("compression", "zstd").parquet(f"{self.path}/{name}/documents")
         m["lsn"] += 1
-        m["segments"].append({"name": name, "lsn": m["lsn"]})
+        made = self._fs.listStatus(self._p(f"{name}/postings"))
+        buckets = [int(x) for s in made if (x := s.getPath().getName().removeprefix("bucket=")).isdigit()]
+        m["segments"].append({"name": name, "lsn": m["lsn"], "buckets": sorted(buckets)})
+        m["id"] = dict(docs.dtypes)[self.id]
 
     def _changed(self, posts: DataFrame, docs: DataFrame) -> int:
         with self.writing():
@@ -59,8 +64,8 @@ class Postings(Folder):
         return added
 
     def _counted(self, m: dict) -> None:
-        """Live documents, and rows of documents that have been replaced or removed."""
-        m["live"] = self._live(m).count()
+        """Live documents, those with terms, and rows of documents that have been replaced or removed."""
+        m["live"], m["texts"] = self._live(m).agg(F.count("*"), F.count(F.when(F.col("counts"), 1))).first()
         m["dead"] = self._documents(m).count() - m["live"]
 
     def upsert(self, df: DataFrame, text: str = "text", indices: str = "indices", values: str = "values") -> int:
@@ -128,8 +133,9 @@ class Postings(Folder):
     # reading
 
     def _documents(self, m: dict) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.path}/{s['name']}/documents").withColumn("lsn", F.lit(s["lsn"])) for s in m["segments"]]
-        out = parts[0] if parts else self.spark.createDataFrame([], "id long, counts boolean, removed boolean, lsn int")
+        schema = f"id {m['id']}, counts boolean, removed boolean"
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{s['name']}/documents").withColumn("lsn", F.lit(s["lsn"])) for s in m["segments"]]
+        out = parts[0] if parts else self.spark.createDataFrame([], schema).withColumn("lsn", F.lit(0))
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
@@ -146,18 +152,22 @@ class Postings(Folder):
         return self._live(self.manifest())
 
     def _postings(self, m: dict, terms: Sequence[str] | None = None) -> DataFrame:
-        schema = f"id {dict(self._documents(m).dtypes)['id']}, term string, frequency long, weight double, bucket int"
+        schema = f"id {m['id']}, term string, frequency long, weight double, bucket int"
         parts = []
         for s in m["segments"]:
-            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{s['name']}/postings")
-            if terms is not None:
-                buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(m["buckets"])).cast("int") for t in terms]
-                rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms))) if terms else rows.limit(0)
+            base = f"{self.path}/{s['name']}/postings"
+            wanted = s["buckets"] if terms is None else sorted({zlib.crc32(t.encode()) % m["buckets"] for t in terms} & set(s["buckets"]))
+            if not wanted:
+                continue
+            # only the folders that are read are listed
+            paths = [base] if terms is None else [f"{base}/bucket={b}" for b in wanted]
+            rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+            rows = rows if terms is None else rows.where(F.col("term").isin(list(terms)))
             parts.append(rows.withColumn("lsn", F.lit(s["lsn"])))
         out = parts[0] if parts else self.spark.createDataFrame([], schema).withColumn("lsn", F.lit(0))
         for p in parts[1:]:
             out = out.unionByName(p)
-        if len(parts) > 1:
+        if len(m["segments"]) > 1:
             out = out.join(self._live(m).select("id", "lsn"), ["id", "lsn"], "left_semi")
         return out.select("id", "term", "frequency", "weight")
 
@@ -194,11 +204,8 @@ class Postings(Folder):
 
     def query_weights(self, query: str) -> dict[str, float]:
         """The idf of each term of a text, once for each time it occurs; terms of no document are left out."""
-        import math
-
         m = self.manifest()
-        asked = self.spark.createDataFrame([(query,)], "q string").select(self.model.tokens(F.col("q"))).first()[0]
-        n = self._live(m).where("counts").count()
+        asked, n = self.model.words(query), m["texts"]
         df = {r["term"]: r["df"] for r in self._postings(m, sorted(set(asked))).groupBy("term").agg(F.count("*").alias("df")).collect()}  # the query's terms
         out: dict[str, float] = {}
         for t in asked:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import analyze
+from marlstone.functions.text import analyze, analyzed
 from marlstone.operators.filters import where
 
 
@@ -30,6 +30,10 @@ class BM25:
     def tokens(self, text: Column) -> Column:
         return analyze(text, self.unicode, self.stop_words, self.stemming)
 
+    def words(self, text: str) -> list[str]:
+        """The tokens of one text."""
+        return analyzed(text, self.unicode, self.stop_words, self.stemming)
+
     def fit(self, df: DataFrame, text: str = "text") -> BM25:
         mean = df.where(F.col(text) != "").select(F.avg(F.size(self.tokens(F.col(text))))).first()[0]
         return BM25(self.k1, self.b, mean or 100.0, self.unicode, self.stop_words, self.stemming)
@@ -85,9 +89,7 @@ def top(scores: DataFrame, k: int, id: str = "id") -> DataFrame:
 def bm25_search(df: DataFrame, query: str, k: int, model: BM25 = BM25(), id: str = "id", text: str = "text", flt=None, among: DataFrame | None = None) -> DataFrame:
     """rank, id, score, by one scan of the texts; postings.Postings keeps what it finds. Statistics cover all documents
     with a text; the filter, and a table of ids that may be found, apply to the results."""
-    spark = df.sparkSession
-    terms = spark.createDataFrame([(query,)], "q string").select(model.tokens(F.col("q"))).first()[0]
-    posts = postings(df, model, id, text, terms)  # other terms are never shuffled
+    posts = postings(df, model, id, text, model.words(query))  # other terms are never shuffled
     documents = df.where(F.col(text) != "").count()
     scores = sparse_scores(posts, query_weights(posts, documents, query, model))
     if flt is not None:

@@ -46,7 +46,9 @@ class Folder:
         if not self._fs.exists(self._p("MANIFEST")):
             return {"version": VERSION} | json.loads(json.dumps(self._empty))
         try:
-            found = json.loads(self.spark.read.text(f"{self.path}/MANIFEST", wholetext=True).first()[0])
+            stream = self._fs.open(self._p("MANIFEST"))
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
         except Exception as e:
             raise FormatError(f"the manifest of {self.path} can't be read") from e
         if not OLDEST <= found.get("version", 0) <= VERSION:

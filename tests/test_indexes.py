@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -39,8 +40,9 @@ def test_postings_are_what_a_scan_finds(spark, tmp_path):
     assert {r.id % 3 for r in index.search("rare", 10, docs, {"g": 1}).collect()} == {1}
     assert {r.id for r in index.search("common", 10, among=docs.where("id < 3").select("id")).collect()} == {1, 2}
     assert {r.term: r.df for r in index.document_frequency(["rare", "doc", "no"]).collect()} == {"rare": 6, "doc": 300}
-    plan = index.postings(["rare"])._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "PushedFilters" in plan
+    rare = index.postings(["rare"])
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,rare)]" in rare._jdf.queryExecution().toString()
+    assert {f.split("bucket=")[1].split("/")[0] for f in rare.inputFiles()} == {str(zlib.crc32(b"rare") % 64)}
 
 
 def test_postings_follow_changes(spark, tmp_path):

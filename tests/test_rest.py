@@ -31,6 +31,8 @@ def test_text(spark):
     assert {w: text.stem(w) for w in words} == words
     got = spark.createDataFrame([("the running dogs and cats",)], "t string").select(text.analyze(F.col("t"), stop_words=True, stemming=True)).first()[0]
     assert got == ["run", "dog", "cat"] and len(text.STOP_WORDS) > 150
+    for options in ({}, {"unicode": True}, {"stop_words": True, "stemming": True}, {"unicode": True, "stemming": True}):
+        assert [text.analyzed(r, **options) for r in rows] == [r[0] for r in t.select(text.analyze(F.col("t"), **options)).collect()]
     ids = spark.createDataFrame([("abc",), ("é",), ("",)], "t string").select(text.term_id(F.col("t"))).collect()
     assert [r[0] for r in ids] == [440920331, 513665217, 2166136261]
     assert spark.createDataFrame([("k",)], "t string").select(text.key_ids("t")).first()[0] % 2**64 == text.id_of("k")
