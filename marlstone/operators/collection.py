@@ -170,7 +170,7 @@ class Collection:
     def count_where(self, flt=None) -> int:
         """From the index's counts, where they tell and nothing has changed or can expire; else by a scan."""
         index = self._fresh("payload", PayloadIndex)
-        if index is not None and not self.manifest_has_expiry():
+        if index is not None and not self._may_expire():
             n = index.exact_count(flt)
             if n is not None:
                 return n
@@ -179,7 +179,7 @@ class Collection:
     def facets(self, requests, flt=None, ids=None) -> dict:
         """From the index's counts for values of indexed fields over all documents; else by a scan."""
         requests = [aggregates.FacetRequest(r) if isinstance(r, str) else r for r in requests]
-        index = self._fresh("payload", PayloadIndex) if flt is None and ids is None and not self.manifest_has_expiry() else None
+        index = self._fresh("payload", PayloadIndex) if flt is None and ids is None and not self._may_expire() else None
         known = index.fields() if index is not None else []
         out = {}
         for r in requests:
@@ -203,9 +203,11 @@ class Collection:
 
     def _built(self, kind: str, **more) -> None:
         m = self.store.manifest()
-        self.store.set(built=m.get("built", {}) | {kind: m["lsn"]}, **more)
+        expiry = not self.table().where(F.col(mutations.EXPIRES).isNotNull()).isEmpty()
+        self.store.set(built=m.get("built", {}) | {kind: m["lsn"]}, expiry=expiry, **more)
 
-    def manifest_has_expiry(self) -> bool:
+    def _may_expire(self) -> bool:
+        """Whether a document had a time to expire when an index was built, or new ones get one."""
         return self.ttl_ms is not None or self.store.manifest().get("expiry", True)
 
     def create_payload_index(self, name: str) -> None:
@@ -215,9 +217,8 @@ class Collection:
         self._index_payload(sorted({*self.payload_indexes(), name}))
 
     def _index_payload(self, names: list[str]) -> None:
-        table = self.table()
-        PayloadIndex(self.spark, f"{self.store.path}/index-payload").build(table, names)
-        self._built("payload", indexes=names, expiry=not table.where(F.col(mutations.EXPIRES).isNotNull()).isEmpty())
+        PayloadIndex(self.spark, f"{self.store.path}/index-payload").build(self.table(), names)
+        self._built("payload", indexes=names)
 
     def payload_indexes(self) -> list[str]:
         return self.store.manifest()["indexes"]
@@ -281,7 +282,7 @@ class Collection:
 
     def near(self, vector, k: int = 10, flt=None, probes: int | None = None, stats: dict | None = None) -> DataFrame:
         """rank, id, distance by vector alone, through the index of vectors if there is one that is up to date."""
-        index = self._fresh("vector", ListIndex) if not self.manifest_has_expiry() else None
+        index = self._fresh("vector", ListIndex) if not self._may_expire() else None
         if index is not None:
             return index.search(vector, k, probes or PRESETS[self.store.manifest().get("preset", "balanced")]["probes"], flt=flt, stats=stats)
         payload = self._fresh("payload", PayloadIndex)

@@ -163,9 +163,12 @@ def test_collection_names_and_statistics(spark, tmp_path, monkeypatch):
     assert c.search(5, text="blue").first().id == 8
     c.refresh()
     assert c.search(5, text="blue").first().id == 8
-    stats = {}
-    c.create_vector_index(lists=2)
-    assert [r.id for r in c.near([0, 1], 1, stats=stats).collect()] == [c.get("b")["id"]]
+    for old, found in ((True, "selectivity"), (False, "matches")):  # an index of vectors knows nothing of expiry
+        stats = {}
+        if not old:
+            assert c.remove_expired() == 1
+        c.create_vector_index(lists=2)
+        assert [r.id for r in c.near([0, 1], 1, stats=stats).collect()] == [c.get("b")["id"]] and found in stats and ("matches" in stats) != old
 
 
 def test_collection_in_and_out(spark, tmp_path):
