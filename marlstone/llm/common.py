@@ -226,22 +226,27 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges from which the least neighbours are settled: below, no hub has rows enough to be worth the further jobs.
+SETTLED = 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b): root is the smallest node of its component.
 
     Alternates the large-star and small-star steps, whose rows never exceed twice the edges, until nothing changes. The
-    least neighbours are settled before rows meet them, so that adaptive execution splits a hub's rows. Null ends are
-    left out. No edges: no rows.
+    least neighbours of many edges are settled before rows meet them, so that adaptive execution splits a hub's rows.
+    Null ends are left out. No edges: no rows.
     """
     from pyspark.sql import functions as F
 
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
+    hold = settle if e.count() >= SETTLED else lambda df: df
     before = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = hold(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = hold(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = hold(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(F.col("v")).alias("x"), "m", "u")
         small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = settle(small)

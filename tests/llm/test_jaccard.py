@@ -89,12 +89,13 @@ def test_empty(spark):
 
 
 def test_components_go_on_until_nothing_changes(spark, monkeypatch):
-    """However few rounds a bound would leave."""
+    """A chain needs many rounds; with and without settled steps."""
     from marlstone.llm import common
 
-    monkeypatch.setattr(common, "range", lambda *_: [0], raising=False)
-    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
-    assert {tuple(r) for r in common.components(edges).collect()} == {(k, 0) for k in range(31)}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(None, 1), (2, None), (40, 40)], "a long, b long")
+    for settled in (0, 1000):
+        monkeypatch.setattr(common, "SETTLED", settled)
+        assert {tuple(r) for r in common.components(edges).collect()} == {(k, 0) for k in range(31)}
 
 
 def test_words_that_agree_in_a_polynomial_are_different(spark):
