@@ -227,7 +227,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 #: Edges from which the least neighbours are settled: below, no hub has rows enough to be worth the further jobs.
-SETTLED = 50_000
+SETTLED = 20_000
 
 
 def components(edges: DataFrame) -> DataFrame:
