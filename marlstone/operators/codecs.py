@@ -191,12 +191,15 @@ CODECS = {"sq8": Scalar8, "binary": Binary, "pq": Product, "f16": Half, "bf16":
 
 
 def train(df: DataFrame, codec: str, vector: str = "vector", id: str = "id", sample: int = 100_000):
-    """A codec fitted on at most `sample` vectors, chosen by a hash. The scalar one takes its bounds from all rows."""
+    """A codec fitted on at most `sample` vectors, chosen by a hash. The scalar one takes its bounds from all rows, the binary one its means."""
     if codec not in CODECS:
         raise ValueError(f"unknown codec {codec!r}")
     if codec == "sq8":
         rows = scalar_bounds(df, vector).orderBy("dim").collect()  # a row per dimension
         return Scalar8(np.array([r["low"] for r in rows]), np.array([r["step"] for r in rows]))
+    if codec == "binary":
+        rows = binary_means(df, vector).orderBy("dim").collect()
+        return Binary(np.array([r["mean"] for r in rows], np.float64), np.array([r["spread"] for r in rows], np.float64))
     got = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id)).select(vector).limit(sample).toArrow()
     x = np.array(got.column(0).to_pylist(), np.float32)
     return CODECS[codec].train(x, True) if codec == "bf16" else CODECS[codec].train(x)
@@ -209,6 +212,13 @@ def scalar_bounds(df: DataFrame, vector: str = "vector") -> DataFrame:
     return each.groupBy("dim").agg(low.alias("low"), ((high - low) / 255).alias("step"))
 
 
+def binary_means(df: DataFrame, vector: str = "vector") -> DataFrame:
+    """dim, mean, spread of the binary codec, over all rows."""
+    each = df.select(F.posexplode(F.col(vector).cast("array<float>")).alias("dim", "x")).select("dim", F.col("x").cast("double"))
+    means = each.groupBy("dim").agg(F.avg("x").alias("mean"))
+    return each.join(F.broadcast(means), "dim").groupBy("dim", "mean").agg(F.avg(F.abs(F.col("x") - F.col("mean"))).alias("spread"))
+
+
 def encode(df: DataFrame, model, vector: str = "vector", code: str = "code") -> DataFrame:
     """df with a binary column of codes."""
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -95,6 +95,27 @@ def test_codecs(table, name, least):
     assert codecs.error(table, model).first()[0] >= 0
 
 
+def test_binary_codes_take_the_means_of_all_rows(spark, table, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from marlstone.plans.queries import QUERIES, SQL
+
+    model = codecs.train(table, "binary", sample=50)
+    assert np.allclose(model.mean, X.mean(0, dtype=float), atol=1e-12) and np.allclose(model.spread, np.abs(X - model.mean).mean(0), atol=1e-12)
+    empty = spark.createDataFrame([(0, [None, 1.0]), (1, [None, 3.0]), (2, None)], "id long, vector array<float>")
+    assert codecs.train(empty, "binary").encode(np.array([[np.nan, 1], [np.nan, 3]], np.float32)).tolist() == [[0], [2]]
+    n = 100_400  # more than a sample
+    x = np.random.default_rng(6).normal(size=n * 64).astype(np.float32)
+    rows = pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(np.arange(0, n * 64 + 1, 64, np.int32), pa.array(x)), "label": np.zeros(n, np.int32)})
+    pq.write_table(rows, tmp_path / "embeddings.parquet")
+    got = QUERIES["binary_codes"](spark, str(tmp_path)).toArrow().sort_by("id").column("total").to_pylist()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/embeddings.parquet')")
+        assert got == [total for _, total in con.execute(f"{SQL['binary_codes']} ORDER BY id").fetchall()]
+
+
 def test_codec_rules():
     with pytest.raises(ValueError):
         codecs.Half.train(X).encode(np.array([[1e6]]))
